@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The characters treated as whitespace, and the token and sentence-end patterns.
-SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The characters treated as whitespace (as a class and as a list), and the token pattern.
+SPACE = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TOKEN = r"[A-Za-z0-9가-힣]{2,}"
 
 
 def strip(c: Column) -> Column:
     """Drop whitespace of any kind from both ends (``trim`` only drops spaces)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -58,13 +62,23 @@ def literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_seen(arr: Column, limit: int | None = None) -> Column:
     """Case-insensitive dedupe of a string array; keeps the first spelling and the order."""
-    lowered = F.transform(arr, F.lower)
-    keys = F.array_distinct(lowered)
-    if limit is not None:
-        keys = F.slice(keys, 1, limit)
-    return F.transform(keys, lambda key: F.get(arr, F.array_position(lowered, key).cast("int") - 1))
+
+    def pick(pair: Column) -> Column:
+        keys = F.array_distinct(pair["lowered"])
+        if limit is not None:
+            keys = F.slice(keys, 1, limit)
+        at = lambda key: F.array_position(pair["lowered"], key).cast("int") - 1
+        return F.transform(keys, lambda key: F.get(pair["arr"], at(key)))
+
+    with_keys = let(arr, lambda a: F.struct(a.alias("arr"), F.transform(a, F.lower).alias("lowered")))
+    return let(with_keys, pick)
 
 
 def literal_count(text: Column, needle: Column) -> Column:

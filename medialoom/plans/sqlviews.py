@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from medialoom.functions.columns import SPACE, TOKEN
+from medialoom.functions.columns import TOKEN
 from medialoom.functions.lexemes import FUNCTION_WORDS, LANGUAGE_COUNTRY, TAG_RULES
 
+# The same whitespace class in the regex dialect of the checking engine.
+SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 
 def s_strip(e: str) -> str:
     return f"regexp_replace({e}, '^{SPACE}+|{SPACE}+$', '', 'g')"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.functions.columns import SPACE, blank_to_null, clamp01, first_text, strip, surrogate_id
+from medialoom.functions.columns import blank_to_null, clamp01, first_text, strip, surrogate_id
 from medialoom.functions.lexemes import CAPTION_LANGUAGES, FUNCTION_WORDS
 from medialoom.operators import text as T
 from medialoom.plans.registry import query
 from medialoom.plans.sqlviews import (
+    SPACE,
     s_clean_list,
     s_sentences,
     s_squeeze,
