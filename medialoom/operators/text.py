@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 from medialoom.functions.columns import (
     SPACE,
     first_seen,
+    let,
     ratio,
     squeeze,
     strip,
@@ -68,6 +69,30 @@ def split_sentences_by_language(df: DataFrame, text: str, language: str = "langu
     return _numbered(df, pieces, text)
 
 
+def prepared_sentences(df: DataFrame, text: str, pieces: Column | None = None) -> DataFrame:
+    """Split and prepared sentences in one pass, with their index among the kept ones and the total.
+
+    Everything is done on the row's own array, so scoring needs no window to number sentences.
+    """
+    if pieces is None:
+        pieces = F.split(F.col(text), SENTENCE_END)
+    split = F.filter(F.transform(pieces, strip), lambda s: s != "")
+    numbered = F.transform(split, lambda s, i: F.struct(i.alias("id"), squeeze(s).alias("text")))
+    kept = F.filter(numbered, lambda s: F.length(s["text"]) >= MIN_CHARS)
+    keep = [c for c in df.columns if c != text]
+    rows = df.withColumn("_kept", kept).select(
+        *keep, F.size("_kept").alias("total"), F.posexplode("_kept").alias("index", "_s")
+    )
+    return rows.select(
+        *keep,
+        F.col("_s.id").alias("sentence_id"),
+        F.col("_s.id").alias("sentence_order"),
+        F.col("_s.text").alias("sentence_text"),
+        "index",
+        "total",
+    )
+
+
 # --- long chunks -------------------------------------------------------------------------------------
 
 _TRANSITION = re.compile("|".join(map(re.escape, TRANSITIONS)))
@@ -145,33 +170,25 @@ def prepare(sentences: DataFrame, expected_language: Column | None = None) -> Da
     )
     out = out.filter(F.length("sentence_text") >= MIN_CHARS)
     if expected_language is not None:
-        out = detect_language(out, "sentence_text").filter(F.col("detected") == expected_language)
-        out = out.drop("detected")
+        out = out.filter(detected_language(F.col("sentence_text")) == expected_language)
     return out
 
 
-def detect_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
+def detected_language(text: Column) -> Column:
     """Language with the most function words; the first by name on a tie; null without any.
 
     The words are extracted once per row and each list is counted on them.
     """
-    vocabulary = [w for words in FUNCTION_WORDS.values() for w in words]
-    words = F.filter(
-        F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*sorted(set(vocabulary)))
-    )
+    vocabulary = sorted({w for words in FUNCTION_WORDS.values() for w in words})
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*vocabulary))
 
-    def votes(language: str) -> Column:
+    def votes(found: Column, language: str) -> Column:
         listed = FUNCTION_WORDS[language]
-        hits = F.size(F.filter(F.col("_words"), lambda w: w.isin(*listed)))
+        hits = F.size(F.filter(found, lambda w: w.isin(*listed)))
         return F.struct((-hits).alias("votes"), F.lit(language).alias("language"))
 
-    best = F.array_min(F.array(*[votes(k) for k in FUNCTION_WORDS]))
-    return (
-        df.withColumn("_words", words)
-        .withColumn("_best", best)
-        .withColumn(out, F.when(F.col("_best.votes") < 0, F.col("_best.language")))
-        .drop("_words", "_best")
-    )
+    best = let(words, lambda found: F.array_min(F.array(*[votes(found, k) for k in FUNCTION_WORDS])))
+    return let(best, lambda b: F.when(b["votes"] < 0, b["language"]))
 
 
 @F.pandas_udf(StringType())

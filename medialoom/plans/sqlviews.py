@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from medialoom.functions.columns import TOKEN
-from medialoom.functions.lexemes import FUNCTION_WORDS, LANGUAGE_COUNTRY, TAG_RULES
+from medialoom.functions.lexemes import (
+    BASE_BLOCKLIST,
+    EMOTION_NOUN_MARKERS,
+    EMOTION_NOUN_SUFFIXES,
+    FUNCTION_WORDS,
+    LANGUAGE_COUNTRY,
+    NEGATIVE_LABELS,
+    POSITIVE_LABELS,
+    SPAN_BOUNDARY,
+    TAG_RULES,
+)
 
 # The same whitespace class in the regex dialect of the checking engine.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -59,6 +69,35 @@ def s_votes(text: str) -> str:
     )
 
 
+SQL_BOUNDARY = "".join("\\" + ch if ch in "[]-^" else ch for ch in SPAN_BOUNDARY).replace("'", "''")
+
+
+def s_resolve(match_seed: bool, threshold: float | None) -> str:
+    """Decision per candidate row with columns keyword_text, tag, allowed and the hit list ``hits``."""
+    unsigned = "h.polarity = 0 OR " if match_seed else ""
+    signed = f"list_filter(hits, lambda h: {unsigned}list_contains(allowed, h.polarity))"
+    noun = " OR ".join([f"contains(keyword_text, '{m}')" for m in EMOTION_NOUN_MARKERS] + [f"ends_with(keyword_text, '{m}')" for m in EMOTION_NOUN_SUFFIXES])
+    ok = f"(tag LIKE 'VA%' OR tag = 'XR' OR (tag = 'NNG' AND ({noun})))"
+    seeded = "list_filter(signed, lambda h: keyword_text IN (h.clean_seed, h.embed_text, h.word))"
+    similar = f"list_filter(signed, lambda h: {ok} AND h.score >= 0.93::DOUBLE AND h.category = 'DIRECT_EMOTION')"
+    chosen = f"CASE WHEN len({seeded}) > 0 THEN {seeded} ELSE {similar} END" if match_seed else "signed"
+    first = "list_filter(chosen, lambda h, i: list_position(list_transform(chosen, lambda x: x.clean_seed), h.clean_seed) = i)"
+    none = (
+        "CASE WHEN len(picked) = 0 AND len(signed) > 0 THEN 'seed_mismatch' WHEN len(picked) = 0 AND len(hits) = 0 THEN 'no_hit' "
+        "WHEN len(picked) = 0 THEN 'polarity_mismatch' "
+        if match_seed
+        else "CASE WHEN len(picked) = 0 THEN 'polarity_mismatch' "
+    )
+    score = s_round4("greatest(0::DOUBLE, least(1::DOUBLE, picked[1].score))")
+    return f"""SELECT * EXCLUDE (hits, signed, chosen, picked), {none} WHEN picked[1].score < 0.88::DOUBLE THEN 'below_threshold'
+    WHEN picked[1].score - picked[2].score < 0.06::DOUBLE THEN 'low_margin' END AS decision, {score} AS score, picked[1].word AS hit_word
+    FROM (SELECT *, {first} AS picked FROM (SELECT *, {chosen} AS chosen FROM (SELECT *, {signed} AS signed FROM (
+    SELECT c.*, coalesce(h.hits, []) AS hits FROM cand c LEFT JOIN (SELECT q, list({{'rank': rank, 'score': score, 'word': word,
+    'embed_text': embed_text, 'clean_seed': clean_seed, 'polarity': polarity, 'category': category}} ORDER BY rank) AS hits
+    FROM slot_hits {'WHERE score >= ' + str(threshold) + '::DOUBLE' if threshold else ''} GROUP BY q) h
+    ON h.q = ('0x' || substr(md5(c.keyword_text), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)))))"""
+
+
 _COUNTRY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGE_COUNTRY.items())
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -74,7 +113,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "prepared": (
         ("sentences",),
-        f"""SELECT * FROM (SELECT doc_id, language, sentence_id, sentence_id AS sentence_order,
+        f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) - 1 AS idx,
+        count(*) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, language, sentence_id, sentence_id AS sentence_order,
         sentence_id + 1 AS position, {s_squeeze('sentence_text')} AS sentence_text FROM sentences)
         WHERE length(sentence_text) >= 5""",
     ),
@@ -87,7 +127,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "words": (
         ("classified",),
         f"""SELECT * EXCLUDE (l), {s_tag('form')} AS tag FROM (
-        SELECT doc_id, sentence_id, label, confidence, l, unnest(l) AS form, generate_subscripts(l, 1) - 1
+        SELECT doc_id, sentence_id, idx, total, label, confidence, l, unnest(l) AS form, generate_subscripts(l, 1) - 1
         AS token_index FROM (SELECT *, regexp_extract_all(sentence_text, '{TOKEN}') AS l FROM classified))""",
     ),
     "lexicon": (
@@ -101,9 +141,79 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "lspans": (
         ("words", "lexicon"),
-        """SELECT doc_id, sentence_id, token_index, form AS matched_word, score_hint AS score, polarity
+        """SELECT doc_id, sentence_id, idx, total, token_index, form AS matched_word, score_hint AS score, polarity
         FROM words JOIN lexicon ON lower(form) = word WHERE label = 'opinion_like'""",
     ),
+    "decisions": (
+        ("lexicon",),
+        """SELECT CASE WHEN length(word) = 2 THEN 'block_confirmed' WHEN length(word) = 3 AND word LIKE 't%' THEN
+        'review_promoted_from_added_data' WHEN length(word) = 3 AND word LIKE '%n' THEN 'auto_review_blocked'
+        WHEN length(word) = 3 THEN 'keep_confirmed' ELSE 'review_pending' END AS section, word
+        FROM lexicon WHERE length(word) <= 4""",
+    ),
+    "blocked": (
+        ("decisions",),
+        f"""SELECT DISTINCT word FROM (SELECT word FROM decisions WHERE section IN ('block_confirmed',
+        'review_promoted_from_added_data', 'auto_review_blocked') UNION ALL SELECT unnest({s_list(BASE_BLOCKLIST)}))""",
+    ),
+    "gated": (
+        ("classified",),
+        f"""SELECT * EXCLUDE (ranked, kept), ranked[1].s AS gate_score, ranked[1].s >= 0.35::DOUBLE AND len(kept) > 0 AS gate_passed,
+        kept AS top_labels,
+        CASE WHEN len(list_intersect(kept, {s_list(NEGATIVE_LABELS)})) > 0 AND len(list_intersect(kept, {s_list(POSITIVE_LABELS)})) = 0 THEN [-2, -1]
+        WHEN len(list_intersect(kept, {s_list(POSITIVE_LABELS)})) > 0 AND len(list_intersect(kept, {s_list(NEGATIVE_LABELS)})) = 0 THEN [1, 2]
+        ELSE [-2, -1, 1, 2] END AS allowed
+        FROM (SELECT *, list_transform(list_slice(list_filter(ranked, lambda e: e.s >= 0.2::DOUBLE), 1, 3), lambda e: e.l) AS kept
+        FROM (SELECT *, list_transform(list_sort([{{'n': -e1, 'l': '화남/분노'}}, {{'n': -e2, 'l': '의심/불신'}},
+        {{'n': -e3, 'l': '기쁨'}}, {{'n': -e4, 'l': '행복'}}, {{'n': -0.1::DOUBLE, 'l': '없음'}}]), lambda e: {{'s': -e.n, 'l': e.l}}) AS ranked
+        FROM (SELECT *, least(1::DOUBLE, len(regexp_extract_all(sentence_text, '!')) / 2::DOUBLE) AS e1,
+        least(1::DOUBLE, len(regexp_extract_all(sentence_text, '[?]')) / 2::DOUBLE) AS e2,
+        (length(sentence_text) % 10) / 10::DOUBLE AS e3, (length(sentence_text) % 7) / 10::DOUBLE AS e4
+        FROM classified WHERE label = 'opinion_like')))""",
+    ),
+    "located": (
+        ("gated",),
+        f"""SELECT * EXCLUDE (g), sum(length(g) + length(form)) OVER w - length(form) AS start, {s_tag('form')} AS tag
+        FROM (SELECT doc_id, sentence_id, sentence_text, allowed, unnest(words) AS form, unnest(gaps[1:len(words)]) AS g,
+        generate_subscripts(words, 1) - 1 AS token_index FROM (SELECT *,
+        regexp_extract_all(sentence_text, '{TOKEN}') AS words, regexp_split_to_array(sentence_text, '{TOKEN}') AS gaps
+        FROM gated WHERE gate_passed)) WINDOW w AS (PARTITION BY doc_id, sentence_id ORDER BY token_index)""",
+    ),
+    "tokmarks": (
+        ("located", "blocked"),
+        """SELECT *, form IN (SELECT word FROM blocked) OR regexp_replace(form, '^[0-9]+', '') IN (SELECT word FROM blocked)
+        OR (form NOT LIKE '%다' AND (form || '다' IN (SELECT word FROM blocked) OR form || '하다' IN (SELECT word FROM blocked)
+        OR regexp_replace(form, '^[0-9]+', '') || '다' IN (SELECT word FROM blocked)
+        OR regexp_replace(form, '^[0-9]+', '') || '하다' IN (SELECT word FROM blocked))) AS is_blocked FROM located""",
+    ),
+    "filtered": (
+        ("tokmarks",),
+        """SELECT *, CASE WHEN tag = 'NNP' THEN 'proper_noun' WHEN tag NOT IN ('NNG', 'XR', 'VV') AND tag NOT LIKE 'VA%'
+        THEN 'invalid_pos' WHEN length(form) < 2 THEN 'too_short' WHEN is_blocked THEN 'blocked_stopword' END AS reject_reason
+        FROM tokmarks""",
+    ),
+    "tcands": (
+        ("filtered",),
+        f"""SELECT *, substr(sentence_text, start_offset::INT + 1, (end_offset - start_offset)::INT) AS matched_word FROM (
+        SELECT *, start AS start_offset, CASE WHEN tag = 'NNG' THEN form WHEN form LIKE '%다' THEN form ELSE form || '다' END
+        AS keyword_text, CASE WHEN tag = 'NNG' THEN start + length(form) ELSE start + length(form) +
+        length(regexp_extract(substr(sentence_text, (start + length(form))::INT + 1), '^[^{SPACE[1:-1]}{SQL_BOUNDARY}]*')) END AS end_offset
+        FROM filtered WHERE reject_reason IS NULL AND tag <> 'XR')""",
+    ),
+    "lexvec": (
+        ("lexicon",),
+        """SELECT *, ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM lexicon""",
+    ),
+    "pairsims": (
+        (),
+        """SELECT a.vec_id AS q, b.vec_id AS v, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
+        FROM embeddings a, embeddings b""",
+    ),
+    "slot_hits": (
+        ("lexvec", "pairsims"),
+        """SELECT q, rank, sim AS score, word, embed_text, clean_seed, polarity, category FROM (SELECT *, row_number() OVER
+        (PARTITION BY q ORDER BY sim DESC, word) AS rank FROM pairsims JOIN lexvec ON v = vec_id) WHERE rank <= 3""",
+    ),
     "videos": (
         (),
         f"""SELECT o_orderkey::VARCHAR AS video_id, o_orderkey AS target_id,

@@ -79,7 +79,8 @@ def sentence_prepare(spark, sf):
     ),
 )
 def language_vote(spark, sf):
-    return T.detect_language(V.prepared(spark, sf), "sentence_text").select(
+    voted = V.prepared(spark, sf).withColumn("detected", T.detected_language(F.col("sentence_text")))
+    return voted.select(
         "doc_id",
         "sentence_id",
         "detected",
@@ -88,7 +89,7 @@ def language_vote(spark, sf):
 
 
 def _sql_unescape(e: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         e = f"replace({e}, '{name}', '{char}')"
     return e
 

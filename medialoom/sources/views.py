@@ -38,7 +38,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_ops.prepare(sentences(spark, sf_dir))
+    docs = articles(spark, sf_dir).select(F.col("target_id").alias("doc_id"), "language", "raw_text")
+    return text_ops.prepared_sentences(docs, "raw_text")
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,88 @@ def lexicon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.dictionary_spans(words, lexicon(spark, sf_dir))
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review decisions as (section, item): short words of the reference passages, some as objects."""
+    w, size = F.col("word"), F.length("word")
+    return lexicon(spark, sf_dir).filter(size <= 4).select(
+        F.when(size == 2, "block_confirmed")
+        .when((size == 3) & w.startswith("t"), "review_promoted_from_added_data")
+        .when((size == 3) & w.endswith("n"), "auto_review_blocked")
+        .when(size == 3, "keep_confirmed")
+        .otherwise("review_pending")
+        .alias("section"),
+        F.when(size == 3, F.concat(F.lit('{"surface": " '), w, F.lit('", "reason": "short"}')))
+        .otherwise(F.concat(F.lit(" "), w))
+        .alias("item"),
+    )
+
+
+def blocked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from medialoom.operators import tagging
+
+    return tagging.blocklist(decisions(spark, sf_dir))
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinion sentences with label scores counted from their text, gated."""
+    from medialoom.operators import tagging
+
+    t = F.col("sentence_text")
+    scores = F.create_map(
+        F.lit("화남/분노"), F.least(F.lit(1.0), F.regexp_count(t, F.lit("!")) / 2.0),
+        F.lit("의심/불신"), F.least(F.lit(1.0), F.regexp_count(t, F.lit("[?]")) / 2.0),
+        F.lit("기쁨"), (F.length(t) % 10) / 10.0,
+        F.lit("행복"), (F.length(t) % 7) / 10.0,
+        F.lit("없음"), F.lit(0.1),
+    )
+    opinions = classified(spark, sf_dir).filter(F.col("label") == "opinion_like")
+    return tagging.emotion_gate(opinions.withColumn("label_scores", scores)).drop("label_scores")
+
+
+def opinion_tokens(spark: SparkSession, sf_dir: str, variant: bool = False) -> DataFrame:
+    """Filtered tokens of the gated opinion sentences, rejects included."""
+    from medialoom.operators import tagging
+
+    rows = tagging.token_rows(gated(spark, sf_dir).filter("gate_passed"), tag_of)
+    return tagging.filter_tokens(rows, blocked_words(spark, sf_dir), variant=variant)
+
+
+def lexicon_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = table(spark, sf_dir, "embeddings")
+    return word_vectors(lexicon(spark, sf_dir).select("word"), emb, "word")
+
+
+def keyword_vectors(spark: SparkSession, sf_dir: str):
+    emb = table(spark, sf_dir, "embeddings")
+    return lambda keywords: word_vectors(keywords, emb, "keyword_text")
+
+
+def resolved(spark: SparkSession, sf_dir: str, trace: bool = False, variant: bool = False) -> DataFrame:
+    """Candidates with their decision; ``trace`` searches without a score threshold."""
+    from medialoom.operators import tagging
+
+    tokens_ = opinion_tokens(spark, sf_dir, variant)
+    if variant:
+        passed = tokens_.filter("reject_reason IS NULL").withColumns(
+            {
+                "keyword_text": F.col("surface"),
+                "start_offset": F.col("start"),
+                "end_offset": F.col("start") + F.col("len"),
+                "matched_word": F.col("surface"),
+            }
+        )
+    else:
+        passed = tagging.build_candidates(tokens_).filter("reject_reason IS NULL")
+    hits = tagging.hit_lists(
+        passed,
+        lexicon(spark, sf_dir),
+        keyword_vectors(spark, sf_dir),
+        lexicon_vectors(spark, sf_dir),
+        threshold=None if trace or variant else tagging.SIMILARITY,
+    )
+    return tagging.resolve_hits(passed, hits, match_seed=not variant, allow_unsigned=not variant)
+
+
 def word_vectors(words: DataFrame, embeddings: DataFrame, word: str) -> DataFrame:
     """Vector of a word: the stored vector its hash points at."""
     size = embeddings.agg(F.count(F.lit(1)).alias("_size"))
