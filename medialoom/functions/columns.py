@@ -37,7 +37,8 @@ def first_text(*cs: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Value limited to [0, 1]; null stays null (``least`` alone would turn it into 1)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def round4(c: Column) -> Column:
