@@ -22,7 +22,7 @@ from medialoom.functions.columns import (
 )
 from medialoom.functions.lexemes import DEFAULT_ISSUE_KEYWORDS, SEARCH_STOPWORDS
 from medialoom.functions.ranking import top_n
-from medialoom.functions.vectors import cosine
+from medialoom.functions.vectors import dot
 
 # Relevance weights, similarity cut, view scale and list lengths.
 RELEVANCE = {
@@ -311,8 +311,8 @@ def related_features(
     """Features, reasons and relevance of each (source, candidate) pair.
 
     ``candidate_ids`` names every video a pair can point at. They come from short lists, so their contexts
-    are few and broadcast after a check; the source context is joined once. Pairs without a reason keep a
-    ``skip_reason``.
+    are few and broadcast after a check; the source context is joined once. Contexts carry ``unit_vec``, so
+    similarity is one dot product. Pairs without a reason keep a ``skip_reason``.
     """
     few = context.join(bounded_broadcast(candidate_ids.select("video_id").distinct()), "video_id", "left_semi")
     side = few.select(
@@ -325,7 +325,7 @@ def related_features(
         is_success().alias("analysis_success"),
         view_score().alias("view_score"),
         (F.coalesce("published_at", F.lit("")) != "").alias("has_date"),
-        "vec",
+        F.col("unit_vec").alias("c_vec"),
     )
     own = sources.select(
         F.col("video_id").alias("source_id"),
@@ -333,7 +333,7 @@ def related_features(
         F.col("entity_keys").alias("s_entities"),
         F.slice("keywords", 1, KEYWORDS_SOURCE).alias("s_keywords"),
         F.col("opinion_score").alias("s_opinion"),
-        F.col("vec").alias("s_vec"),
+        F.col("unit_vec").alias("s_vec"),
     )
     joined = pairs.join(bounded_broadcast(side), "video_id").join(own, "source_id")
     exact = F.filter("s_keywords", lambda k: F.array_contains("c_keywords", F.lower(k)))
@@ -345,7 +345,7 @@ def related_features(
             "shared_issues": F.array_sort(F.array_intersect("s_issues", "c_issues")),
             "shared_entities": F.array_sort(F.array_intersect("s_entities", "c_entities")),
             "shared_keywords": F.concat(F.array_sort(exact), near),
-            "semantic": clamp01(cosine(F.col("s_vec"), F.col("vec"))) if semantic else F.lit(None).cast("double"),
+            "semantic": clamp01(dot(F.col("s_vec"), F.col("c_vec"))) if semantic else F.lit(None).cast("double"),
             "opinion_distance": F.abs(F.col("s_opinion") - F.col("c_opinion")),
         }
     )
@@ -374,10 +374,20 @@ def related_features(
     )
     out = out.withColumns({"relevance": total, "score_breakdown": breakdown, "reasons": F.concat(found, closing)})
     return out.withColumn("skip_reason", F.when(F.size("reasons") == 0, "candidate_no_relation_signal")).drop(
-        "s_issues", "s_entities", "s_keywords", "s_vec", "vec", "c_issues", "c_entities", "c_keywords", "c_hay"
+        "s_issues", "s_entities", "s_keywords", "s_vec", "c_vec", "c_issues", "c_entities", "c_keywords", "c_hay"
     )
 
 
+def rank_related(pairs: DataFrame, n: int, first: list[Column] | None = None, by_opinion: bool = False) -> DataFrame:
+    """Best ``n`` pairs with a reason per (source, country).
+
+    Pairs without one are ordered last and dropped after the ranking: filtering first would make the
+    optimizer evaluate every feature twice.
+    """
+    order = [F.col("skip_reason").isNotNull(), *(first or []), *rank_order(by_opinion)]
+    return top_n(pairs, ["source_id", "country"], order, n).filter(F.col("skip_reason").isNull())
+
+
 def rank_order(by_opinion: bool = False) -> list[Column]:
     relevance_first = [F.col("relevance").desc(), F.col("video_id")]
     return [F.col("opinion_distance").asc_nulls_last(), *relevance_first] if by_opinion else relevance_first
@@ -398,8 +408,7 @@ def comparison_edges(direct: DataFrame, fallback: DataFrame, n: int) -> DataFram
     both = direct.select(*common, F.lit(0).alias("priority")).unionByName(
         fallback.select(*common, F.lit(1).alias("priority"))
     )
-    kept = both.filter(F.col("skip_reason").isNull())
-    chosen = top_n(kept, ["source_id", "country"], [F.col("priority"), *rank_order()], n)
+    chosen = rank_related(both, n, first=[F.col("priority")])
     return chosen.select(
         F.concat(F.lit("video:"), "source_id").alias("source"),
         F.concat(F.lit("video:"), "video_id").alias("target"),
@@ -537,7 +546,7 @@ def lexical_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def rank_by_vector(items: DataFrame, query: DataFrame, n: int, eps: float = 1e-9) -> DataFrame:
     """Items ordered by cosine to one query vector; a single row is broadcast."""
-    from medialoom.functions.vectors import dot, norm
+    from medialoom.functions.vectors import norm
 
     score = dot(F.col("vec"), F.col("query_vec")) / ((norm(F.col("vec")) + eps) * (norm(F.col("query_vec")) + eps))
     scored = items.join(F.broadcast(query.select(F.col("vec").alias("query_vec")).limit(1))).withColumn("score", round4(score))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medialoom.functions.columns import round4
-from medialoom.functions.vectors import cosine
+from medialoom.functions.vectors import cosine, unit
 from medialoom.functions.lexemes import SEARCH_STOPWORDS
 from medialoom.operators import graph as P
 from medialoom.plans.registry import query
@@ -100,7 +100,7 @@ class Graph:
         emb = V.table(self.spark, self.sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
         size = emb.agg(F.count(F.lit(1)).alias("_n"))
         keyed = self.context().join(F.broadcast(size)).withColumn("vec_id", F.col("target_id") % F.col("_n"))
-        return materialize(keyed.join(emb, "vec_id").drop("_n", "vec_id"), "context")
+        return materialize(keyed.join(emb, "vec_id").withColumn("unit_vec", unit(F.col("vec"))).drop("_n", "vec_id", "vec"), "context")
 
     def related(self):
         ctx = self.with_vectors()
@@ -242,8 +242,7 @@ def same_issue_pairs(spark, sf):
 def related_rank(spark, sf):
     ctx, best, direct = Graph(spark, sf).related()
     pairs = direct.select("source_id", "source_country", "country", "video_id")
-    rows = P.related_features(pairs, ctx, ctx, best).filter(F.col("skip_reason").isNull())
-    ranked = P.top_n(rows, ["source_id", "country"], P.rank_order(), N)
+    ranked = P.rank_related(P.related_features(pairs, ctx, ctx, best), N)
     return ranked.select(
         "source_id", "country", "video_id", "issue_overlap_count", "shared_keyword_count", "shared_entity_count", "relevance",
         round4(F.col("opinion_distance")).alias("opinion_distance"), "rank",
@@ -356,8 +355,7 @@ def clicked_compare(spark, sf):
 def pair_comparison(spark, sf):
     ctx, best, direct = Graph(spark, sf).related()
     pairs = direct.select("source_id", "source_country", "country", "video_id")
-    rows = P.related_features(pairs, ctx, ctx, best).filter(F.col("skip_reason").isNull())
-    first = P.top_n(rows, ["source_id", "country"], P.rank_order(), 1)
+    first = P.rank_related(P.related_features(pairs, ctx, ctx, best), 1)
     titles = ctx.select("video_id", "title")
     edges = (
         first.join(titles.select(F.col("video_id").alias("source_id"), F.col("title").alias("source_focus")), "source_id")
