@@ -327,7 +327,10 @@ def variant_scores(rows: DataFrame, variants: dict[str, tuple[float, ...]]) -> D
         ]
     )
     values = [F.col(f).cast("int").cast("double") if f in ("analysis_success", "published_at") else F.col(f).cast("double") for f in FEATURES]
-    placed = rows.select(*GROUP, "candidate_id", "relevance", F.array(*values).alias("f")).repartition(*GROUP)
+    slim = rows.select(*GROUP, "candidate_id", "relevance", F.array(*values).alias("f"))
+    # A fixed number keeps adaptive execution from merging partitions that are about to grow many times.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = slim.repartition(parts, *GROUP)
     out = placed.select("*", F.inline(grid))
     score = F.lit(0.0)
     for i in range(len(FEATURES)):

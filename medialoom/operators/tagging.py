@@ -154,7 +154,9 @@ def block_keys(blocked: DataFrame) -> DataFrame:
     )
 
 
-def mark_blocked(words: DataFrame, blocked: DataFrame, form: str = "form", surface: str = "surface") -> DataFrame:
+def mark_blocked(
+    words: DataFrame, blocked: DataFrame, form: str = "form", surface: str = "surface", strip_digits: bool = True
+) -> DataFrame:
     """``blocked`` flag: surface or form, with or without leading digits or predicate endings, is listed."""
     keys = bounded_broadcast(block_keys(blocked))
     out = words
@@ -165,6 +167,10 @@ def mark_blocked(words: DataFrame, blocked: DataFrame, form: str = "form", surfa
         "_k2": (F.col(surface), False),
         "_k3": (F.regexp_replace(surface, digits, ""), False),
     }
+    if not strip_digits:
+        probes = {k: v for k, v in probes.items() if k in ("_k0", "_k2")}
+    if form == surface:
+        probes = {k: v for k, v in probes.items() if k in ("_k0", "_k1")}
     hits = []
     for name, (probe, stems) in probes.items():
         side = keys.select(F.col("key").alias(name), F.col("exact").alias(f"{name}x"))
