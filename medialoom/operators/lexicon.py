@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.functions.columns import among, bounded_broadcast, round4, strip, tokens
+from medialoom.functions.columns import among, bounded_broadcast, let, round4, strip, tokens
 from medialoom.functions.lexemes import (
     ADJECTIVE_NOUNS,
     BLOCK_PREDICATES,
@@ -168,24 +168,43 @@ def mine_lexicon(
 ) -> DataFrame:
     """Seeds of a labelled corpus with one dominant sign.
 
-    ``corpus(text, labels ARRAY<STRING>)``. A seed counts once per text: repeats are removed inside the
-    row's own array, so there is no distinct over the corpus. Blocking is decided once per form.
+    ``corpus(text, labels ARRAY<STRING>)``. A seed counts once per text: its forms are grouped inside the
+    row's own array, so there is no distinct over the corpus, and blocking is decided once per form list.
     """
+    def seed_of(form: Column) -> Column:
+        return let(
+            tag(form),
+            lambda kind: F.when((kind == "NNG") & among(form, emotion_nouns), form)
+            .when((kind == "NNG") & among(form, ADJECTIVE_NOUNS), root_seed(form))
+            .when(kind.startswith("VA") | kind.startswith("VV"), predicate_seed(form))
+            .when(kind == "XR", root_seed(form)),
+        )
+
     signed = corpus.select(tokens(F.col("text")).alias("_w"), row_polarity(F.col("labels")).alias("sign")).filter("sign IS NOT NULL")
-    words = signed.select(F.explode(F.array_distinct("_w")).alias("form"), "sign").filter(F.col("form").rlike(script))
-    counted = words.groupBy("form").agg(F.count_if(F.col("sign") < 0).alias("neg"), F.count_if(F.col("sign") > 0).alias("pos"))
-    marked = mark_generic(counted, blocked, "form").filter(
-        ~F.col("generic") & ~among(F.col("form"), LEXICON_BLACKLIST) & ~among(F.col("form"), MINING_STOPWORDS)
+    pairs = F.transform(F.array_distinct("_w"), lambda f: F.struct(seed_of(f).alias("seed"), f.alias("form")))
+    usable = lambda p: (
+        p["seed"].isNotNull() & p["form"].rlike(script) & ~among(p["form"], LEXICON_BLACKLIST) & ~among(p["form"], MINING_STOPWORDS)
+    )
+    named = signed.select("sign", F.filter(pairs, usable).alias("_p"))
+    seeds = F.array_distinct(F.transform("_p", lambda p: p["seed"]))
+    alone = F.transform("_p", lambda p: F.struct(p["seed"].alias("seed"), F.array(p["form"]).alias("forms")))
+    grouped = F.transform(
+        seeds,
+        lambda s: F.struct(
+            s.alias("seed"),
+            F.array_sort(F.transform(F.filter("_p", lambda p: p["seed"] == s), lambda p: p["form"])).alias("forms"),
+        ),
     )
-    form, kind = F.col("form"), tag(F.col("form"))
-    seed = (
-        F.when((kind == "NNG") & among(form, emotion_nouns), form)
-        .when((kind == "NNG") & among(form, ADJECTIVE_NOUNS), root_seed(form))
-        .when(kind.rlike("^(VA|VV)"), predicate_seed(form))
-        .when(kind == "XR", root_seed(form))
+    entries = F.when(F.size(seeds) == F.size("_p"), alone).otherwise(grouped)
+    counted = (
+        named.select("sign", F.inline(entries))
+        .groupBy("seed", "forms")
+        .agg(F.count_if(F.col("sign") < 0).alias("neg"), F.count_if(F.col("sign") > 0).alias("pos"))
     )
-    sums = marked.select(seed.alias("embed_text"), "neg", "pos").filter("embed_text IS NOT NULL")
-    sums = sums.groupBy("embed_text").agg(F.sum("neg").alias("neg_count"), F.sum("pos").alias("pos_count"))
+    each = counted.select("seed", "forms", "neg", "pos", F.explode("forms").alias("form"))
+    open_forms = mark_generic(each, blocked, "form").filter(~F.col("generic"))
+    once = open_forms.groupBy("seed", "forms").agg(F.max("neg").alias("neg"), F.max("pos").alias("pos"))
+    sums = once.groupBy(F.col("seed").alias("embed_text")).agg(F.sum("neg").alias("neg_count"), F.sum("pos").alias("pos_count"))
     total = F.col("neg_count") + F.col("pos_count")
     share = F.greatest("neg_count", "pos_count") / total
     polarity = F.when(F.col("neg_count") >= F.col("pos_count"), -1).otherwise(1)

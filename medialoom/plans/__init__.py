@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_queries", "tag_queries", "score_queries", "graph_queries", "report_queries", "evaluate_queries", "lexicon_queries")
+MODULES = ("text_queries", "tag_queries", "score_queries", "graph_queries", "report_queries", "evaluate_queries", "lexicon_queries", "ingest_queries")
 
 
 def load_all() -> None:

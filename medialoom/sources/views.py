@@ -57,11 +57,14 @@ def tag_of(form: Column) -> Column:
 
 
 def word_rows(labelled: DataFrame) -> DataFrame:
-    """One row per token of each sentence, without offsets; stays in the JVM."""
-    return labelled.select(
-        *[c for c in labelled.columns if c != "sentence_text"],
-        F.posexplode(tokens(F.col("sentence_text"))).alias("token_index", "form"),
-    ).withColumn("tag", tag_of(F.col("form")))
+    """One row per token of each sentence, without offsets; stays in the JVM.
+
+    Tags are set before the explode: a later filter then cannot make the optimizer tag a word twice.
+    """
+    tagged = F.transform(tokens(F.col("sentence_text")), lambda f: F.struct(f.alias("form"), tag_of(f).alias("tag")))
+    keep = [c for c in labelled.columns if c != "sentence_text"]
+    rows = labelled.select(*keep, F.posexplode(tagged).alias("token_index", "_t"))
+    return rows.select(*keep, "token_index", F.col("_t.form").alias("form"), F.col("_t.tag").alias("tag"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
