@@ -73,7 +73,8 @@ def with_noun_quota(
     """
     noun = ~F.col("keyword").endswith("다")
     head = top_n(ranked, group, order, limit, "slot").withColumn("is_noun", noun)
-    best_nouns = top_n(ranked.filter(noun), group, order, limit + quota, "place")
+    # Nouns are ordered first instead of filtered first: both rankings then read the same shuffle.
+    best_nouns = top_n(ranked, group, [noun.desc(), *order], limit + quota, "place").filter(noun)
     below = best_nouns.join(head.select(*group, "keyword"), [*group, "keyword"], "left_anti")
     by_place = Window.partitionBy(*group).orderBy("place")
     spare = below.withColumn("j", F.row_number().over(by_place)).filter(F.col("j") <= quota).drop("place")

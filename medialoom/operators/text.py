@@ -79,17 +79,16 @@ def prepared_sentences(df: DataFrame, text: str, pieces: Column | None = None) -
     split = F.filter(F.transform(pieces, strip), lambda s: s != "")
     numbered = F.transform(split, lambda s, i: F.struct(i.alias("id"), squeeze(s).alias("text")))
     kept = F.filter(numbered, lambda s: F.length(s["text"]) >= MIN_CHARS)
+    sized = let(kept, lambda k: F.transform(k, lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"), F.size(k).alias("n"))))
     keep = [c for c in df.columns if c != text]
-    rows = df.withColumn("_kept", kept).select(
-        *keep, F.size("_kept").alias("total"), F.posexplode("_kept").alias("index", "_s")
-    )
+    rows = df.select(*keep, F.posexplode(sized).alias("index", "_s"))
     return rows.select(
         *keep,
         F.col("_s.id").alias("sentence_id"),
         F.col("_s.id").alias("sentence_order"),
         F.col("_s.text").alias("sentence_text"),
         "index",
-        "total",
+        F.col("_s.n").alias("total"),
     )
 
 

@@ -12,7 +12,7 @@ from medialoom.functions.lexemes import (
     NEGATIVE_LABELS,
     POSITIVE_LABELS,
     SPAN_BOUNDARY,
-    TAG_RULES,
+    TAG_SUFFIXES,
 )
 
 # The same whitespace class in the regex dialect of the checking engine.
@@ -50,8 +50,8 @@ def s_list(words: list[str]) -> str:
 
 
 def s_tag(form: str) -> str:
-    arms = " ".join(f"WHEN regexp_matches({form}, '{p}') THEN '{t}'" for p, t in TAG_RULES)
-    return f"CASE {arms} ELSE 'NNG' END"
+    arms = " ".join(f"WHEN ends_with({form}, '{p}') THEN '{t}'" for p, t in TAG_SUFFIXES)
+    return f"CASE WHEN regexp_matches({form}, '^[0-9]+$') THEN 'SN' WHEN regexp_matches({form}, '^[A-Z]') THEN 'NNP' {arms} ELSE 'NNG' END"
 
 
 def s_first_seen(lst: str) -> str:

@@ -41,13 +41,13 @@ _KO = (
     FROM (SELECT doc_id, {s_clean_list(_KO)} AS l FROM documents)""",
 )
 def sentence_split_ko(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.text_table(spark, sf, "documents").select("doc_id", "text")
     return T.split_sentences_ko(docs, "text").select("doc_id", "sentence_id", "sentence_text")
 
 
 @query("sentence_split_long")
 def sentence_split_long(spark, sf):
-    return T.split_long(V.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return T.split_long(V.text_table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
 _VOTE_ORDER = sorted(FUNCTION_WORDS)
@@ -100,7 +100,7 @@ def _sql_unescape(e: str) -> str:
     AS clean_text FROM pages""",
 )
 def clean_transcript(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", T.clean_transcript(F.col("html")).alias("clean_text"))
+    return V.text_table(spark, sf, "pages").select("page_id", T.clean_transcript(F.col("html")).alias("clean_text"))
 
 
 @query(
@@ -124,7 +124,7 @@ def script_ratio_filter(spark, sf):
     AND NOT regexp_matches(x, '^\\p{{Nd}}+$')) AS l FROM pages)""",
 )
 def caption_lines(spark, sf):
-    return T.caption_lines(V.table(spark, sf, "pages").select("page_id", "html"), "html")
+    return T.caption_lines(V.text_table(spark, sf, "pages").select("page_id", "html"), "html")
 
 
 @query("caption_merge")
@@ -167,7 +167,7 @@ def caption_track_pick(spark, sf):
     WHERE length(text) > 0)""",
 )
 def fixed_chunks(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.text_table(spark, sf, "documents").select("doc_id", "text")
     return T.fixed_chunks(docs, "text").select("doc_id", "chunk_index", "chunk_text")
 
 
@@ -178,7 +178,7 @@ def fixed_chunks(spark, sf):
 )
 def transcript_status(spark, sf):
     body = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    return V.table(spark, sf, "pages").select(
+    return V.text_table(spark, sf, "pages").select(
         "page_id",
         T.transcript_status(body).alias("transcript_status"),
         F.length(strip(body)).cast("bigint").alias("n_chars"),

@@ -56,7 +56,7 @@ def closed_daily_counts(stream: DataFrame, time: str, delay: str = "1 day") -> D
 def daily_stream(spark: SparkSession, stream: DataFrame, time: str) -> DataFrame:
     out = scratch_path(spark, "daily")
     run_to_end(closed_daily_counts(stream, time), _write_batch(out), scratch_path(spark, "daily-state"))
-    return spark.read.schema("day date, event_type string, n bigint").parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def dedupe_stream(spark: SparkSession, stream: DataFrame, time: str, keys: list[str], horizon: str) -> DataFrame:
@@ -64,7 +64,7 @@ def dedupe_stream(spark: SparkSession, stream: DataFrame, time: str, keys: list[
     fresh = stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys).select(*keys)
     out = scratch_path(spark, "dedupe")
     run_to_end(fresh, _write_batch(out), scratch_path(spark, "dedupe-state"))
-    return spark.read.schema(fresh.schema).parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def upsert_stream(spark: SparkSession, stream: DataFrame, key: list[str], order: list[str], created: str) -> DataFrame:
