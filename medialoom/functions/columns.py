@@ -63,7 +63,7 @@ def literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is computed once however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialoom.functions.columns import bounded_broadcast
+
 BUCKETS = 256
 
 
@@ -36,7 +38,7 @@ def dense_position(
     key range); cumulative sums run over those counts only, and the row numbers inside one such cell. No
     task ever holds a whole group, even when all of its scores are equal.
     """
-    bounds = df.groupBy(*group).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    bounds = bounded_broadcast(df.groupBy(*group).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
     cell = df.join(bounds, list(group)).withColumn(
         "_cell", F.floor((F.col(key) - F.col("_lo")) * F.lit(BUCKETS) / width).cast("int")

@@ -15,6 +15,7 @@ from medialoom.functions.columns import (
     bounded_broadcast,
     clamp01,
     first_seen,
+    let,
     literal_count,
     round4,
     strip,
@@ -212,6 +213,11 @@ def expand_terms(terms: DataFrame, dictionary: DataFrame, limit: int = 2) -> Dat
 # --- pairs -------------------------------------------------------------------------------------------
 
 
+def _without_repeats(items: Column) -> Column:
+    """Sorted items without those equal to their predecessor; sorting beats comparing structs pairwise."""
+    return F.filter(items, lambda x, i: (i == 0) | (x["video_id"] != F.get(items, i - 1)["video_id"]))
+
+
 _ORDER_KEYS = ["status", "view_count", "published_at"]
 
 
@@ -237,7 +243,8 @@ def same_issue_pairs(videos: DataFrame, part_of: DataFrame, best: DataFrame, n:
     met = (
         edges.join(bounded_broadcast(packed), "issue_id")
         .groupBy("source_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("_best"))).alias("_best"))
+        .agg(F.sort_array(F.flatten(F.collect_list("_best"))).alias("_best"))
+        .withColumn("_best", let("_best", _without_repeats))
         .join(own, "source_id")
         .select("source_id", "source_country", F.inline("_best"))
     )

@@ -226,7 +226,7 @@ def term_expand(spark, sf):
 @query("same_issue_pairs", with_views("direct", "SELECT source_id, country, rank::INT AS rank, video_id FROM direct"))
 def same_issue_pairs(spark, sf):
     g = Graph(spark, sf)
-    best = P.best_per_issue(g.videos, g.part_of, N)
+    best = materialize(P.best_per_issue(g.videos, g.part_of, N), "best")
     return P.same_issue_pairs(g.videos, g.part_of, best, N).select("source_id", "country", "rank", "video_id")
 
 

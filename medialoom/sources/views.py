@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from medialoom.functions.columns import round4, strip, tokens
 from medialoom.functions.lexemes import LANGUAGE_COUNTRY, TAG_SUFFIXES
 from medialoom.operators import text as text_ops
+from medialoom.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,7 +192,8 @@ def resolved(spark: SparkSession, sf_dir: str, trace: bool = False, variant: boo
         lexicon_vectors(spark, sf_dir),
         threshold=None if trace or variant else tagging.SIMILARITY,
     )
-    return tagging.resolve_hits(passed, hits, match_seed=not variant, allow_unsigned=not variant)
+    # Written once: the hit table is counted for the broadcast and then joined.
+    return tagging.resolve_hits(passed, materialize(hits, "hits"), match_seed=not variant, allow_unsigned=not variant)
 
 
 def word_vectors(words: DataFrame, embeddings: DataFrame, word: str) -> DataFrame:
