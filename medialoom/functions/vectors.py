@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from medialoom.functions.columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -22,7 +24,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Vector scaled to length one; a zero vector is kept as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(a, lambda x: x.cast("double"))
-    )
+    doubles = F.transform(a, lambda x: x.cast("double"))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(doubles, lambda x: x / n)).otherwise(doubles))

@@ -97,10 +97,10 @@ class Graph:
         return P.video_context(self.videos, self.part_of, self.entity, self.keywords, cluster_type)
 
     def with_vectors(self):
-        emb = V.table(self.spark, self.sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+        emb = V.table(self.spark, self.sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("unit_vec"))
         size = emb.agg(F.count(F.lit(1)).alias("_n"))
         keyed = self.context().join(F.broadcast(size)).withColumn("vec_id", F.col("target_id") % F.col("_n"))
-        return materialize(keyed.join(emb, "vec_id").withColumn("unit_vec", unit(F.col("vec"))).drop("_n", "vec_id", "vec"), "context")
+        return materialize(keyed.join(emb, "vec_id").drop("_n", "vec_id"), "context")
 
     def related(self):
         ctx = self.with_vectors()
