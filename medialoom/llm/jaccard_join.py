@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,17 +105,18 @@ def may_link(percent: int, n_a: str, n_b: str, pos_a: str, pos_b: str):
     return length & (most * (100 + percent) >= (a + b) * percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sets reach the similarity. Each pair is looked at once.
+def bitmaps_near(percent: int, n_a: str, n_b: str, bits_a: str, bits_b: str):
+    """Suffix filter on sets partitioned by hash: sets whose parities differ in d parts differ in d shingles at least."""
+    both = F.col(n_a) + F.col(n_b)
+    parts = [F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))) for i in range(BITMAP_WORDS)]
+    return (both - sum((F.bit_count(x) for x in parts), F.lit(0))) * (100 + percent) >= both * 2 * percent
 
-    The suffix filter partitions both sets by hash and compares parities: sets whose parities differ in d places
-    differ in d shingles at least. Sets are built again only for the documents of the pairs that are left.
+
+def verified(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` whose sets reach the similarity. Each pair is looked at once.
+
+    Sets are built again, for the documents of the pairs only.
     """
-    left, right = (bitmaps.select(F.col("id").alias(x), F.col("bitmap").alias(f"m{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    differ = sum((F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(BITMAP_WORDS)), F.lit(0))
-    both = F.col("na") + F.col("nb")
-    near = pairs.distinct().join(left, "a").join(right, "b").where((both - differ) * (100 + percent) >= both * 2 * percent)
-    near = materialize(near.select("a", "b"), "candidates")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -143,7 +145,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when the Jaccard similarity of their sets of k-word shingles is at least ``percent`` percent.
     Documents with equal sets are one class, represented by its smallest id, so exact copies cost one row each.
-    Classes that share one of their rarest shingles are candidates. They are first compared with the smallest class
+    Classes that share one of their rarest shingles, of sizes that allow it, are candidates. They are first compared with the smallest class
     that has the shingle; what that links falls together. Shingles whose classes are then all in one component are
     done; for the others every pair of classes in different components is compared. So no link that could join two
     components is lost, and a large group of near copies does not expand into its pairs.
@@ -157,34 +159,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = live.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
     posting = reps.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
-    lead = (
-        posting.groupBy("key")
-        .agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.max("id").alias("last"))
-        .where("lead.id < last")
-    )
-    shared = materialize(posting.join(lead, "key"), "postings")
-    bitmaps = reps.select("id", "n", "bitmap").dropDuplicates(["id"])
-    args = (docs, bitmaps, id_col, text_col, k, percent)
-
-    star = shared.select(
-        F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"),
-        F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"),
-    ).where(F.col("a") < F.col("b"))
-    star = materialize(star.where(may_link(percent, "na", "nb", "pa", "pb")).select("a", "b").distinct(), "pairs")
+    known = posting.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    width = math.log(100 / percent) * 1.000001
+    bitmaps = reps.select("id", "bitmap").dropDuplicates(["id"])
+    shared = posting.join(known, "key").join(bitmaps, "id").withColumn("home", F.floor(F.log("n") / width))
+    shared = shared.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size", F.col("home") + F.col("step"))
+    shared = shared.select("key", "size", "step", "id", "n", "pos", "bitmap")
+    lead = shared.groupBy("key", "size").agg(F.min(F.struct("id", "step", "n", "pos", "bitmap")).alias("lead"), F.max("id").alias("last"), F.min("step").alias("least"))
+    shared = materialize(shared.join(lead.where("lead.id < last AND least = 0"), ["key", "size"]), "postings")
+    fits = may_link(percent, "na", "nb", "pa", "pb") & bitmaps_near(percent, "na", "nb", "ma", "mb") & (F.col("ta") + F.col("tb") < 2)
+    args = (docs, id_col, text_col, k, percent)
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        cols = {"id": x, "n": f"n{x}", "pos": f"p{x}", "bitmap": f"m{x}", "step": f"t{x}"}
+        return df.select("key", "size", *[F.col(c).alias(to) for c, to in cols.items()], *more)
+
+    star = side(shared, "b", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("lead.bitmap").alias("ma"), F.col("lead.step").alias("ta"))
+    star = materialize(star.where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
     links = materialize(verified(star, *args), "links")
     comps = materialize(connected_components(links, "a", "b"), "components")
 
-    named = shared.select("key", "id", "n", "pos").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = shared.drop("lead", "last", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "postings")
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = named.join(open_keys, "key")
-    left = rest.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    cross = left.join(
-        right,
-        (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(percent, "na", "nb", "pa", "pb"),
-    )
-    cross = cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    several = named.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
+    rest = named.join(several, ["key", "size"])
+    left, right = side(rest, "a", F.col("component").alias("ca")), side(rest, "b", F.col("component").alias("cb"))
+    met = (left["key"] == right["key"]) & (left["size"] == right["size"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits
+    cross = left.join(right, met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    cross = materialize(cross, "pairs")
     links = links.unionByName(verified(cross, *args))
     comps = materialize(connected_components(links, "a", "b"), "components")
 
