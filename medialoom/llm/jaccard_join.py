@@ -160,13 +160,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = live.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
     posting = reps.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
     known = posting.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    known = materialize(known, "keys")  # joins with written tables can be split at hot keys
     width = math.log(100 / percent) * 1.000001
     bitmaps = reps.select("id", "bitmap").dropDuplicates(["id"])
     shared = posting.join(known, "key").join(bitmaps, "id").withColumn("home", F.floor(F.log("n") / width))
     shared = shared.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size", F.col("home") + F.col("step"))
     shared = shared.select("key", "size", "step", "id", "n", "pos", "bitmap")
     lead = shared.groupBy("key", "size").agg(F.min(F.struct("id", "step", "n", "pos", "bitmap")).alias("lead"), F.max("id").alias("last"), F.min("step").alias("least"))
-    shared = materialize(shared.join(lead.where("lead.id < last AND least = 0"), ["key", "size"]), "postings")
+    lead = materialize(lead.where("lead.id < last AND least = 0"), "leads")
+    shared = materialize(shared.join(lead, ["key", "size"]), "postings")
     fits = may_link(percent, "na", "nb", "pa", "pb") & bitmaps_near(percent, "na", "nb", "ma", "mb") & (F.col("ta") + F.col("tb") < 2)
     args = (docs, id_col, text_col, k, percent)
 
@@ -182,7 +184,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = shared.drop("lead", "last", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "postings")
     several = named.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    rest = named.join(several, ["key", "size"])
+    rest = named.join(materialize(several, "keys"), ["key", "size"])
     left, right = side(rest, "a", F.col("component").alias("ca")), side(rest, "b", F.col("component").alias("cb"))
     met = (left["key"] == right["key"]) & (left["size"] == right["size"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits
     cross = left.join(right, met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medialoom.functions.columns import bounded_broadcast
 from medialoom.llm.common import map_slices
+from medialoom.session import materialize
 
 ROWS_PER_LANGUAGE = 600
 LANDMARKS_PER_LANGUAGE = 64
@@ -84,9 +86,13 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str) -> Model | None:
     """Fit on at most ``ROWS_PER_LANGUAGE`` rows of each language, chosen by a hash; the first of them are landmarks."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).withColumn("key", F.xxhash64("text"))
+    # hashes below a share of each language's rows leave about three times the rows wanted, whatever the input
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    low = F.pmod("key", F.lit(1 << 40)) / float(1 << 40) * F.col("n") <= 3.0 * ROWS_PER_LANGUAGE
+    keys = rows.select("lang", "key").join(bounded_broadcast(sizes), "lang").where(low).select("lang", "key").distinct()
     order = Window.partitionBy("lang").orderBy("key")
-    keys = rows.select("lang", "key").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= ROWS_PER_LANGUAGE)
-    sample = rows.join(keys, ["lang", "key"]).dropDuplicates(["lang", "key"])
+    keys = materialize(keys.withColumn("at", F.row_number().over(order)).where(F.col("at") <= ROWS_PER_LANGUAGE), "keys")
+    sample = rows.join(bounded_broadcast(keys), ["lang", "key"]).dropDuplicates(["lang", "key"])
 
     def pack(cols: dict) -> dict:
         x = np.zeros((len(cols["text"]), 1 << GRAM_BITS), np.uint8)

@@ -77,7 +77,7 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str, line_chars: int, bloc
     single = hashed.select("id", F.explode(F.arrays_zip("lines", "chars")).alias("x")).where(F.col("x.chars") >= line_chars)
     single = single.select("id", F.col("x.lines").alias("line"))
     shared = single.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = shared.where("first < last").select("line", "first")
+    shared = materialize(shared.where("first < last").select("line", "first"), "shared")  # so that hot lines can be split
     pairs = single.join(shared, "line").where("id > first").select("id", "first").distinct()
     earlier = hashed.select(F.col("id").alias("first"), F.col("lines").alias("a"))
     met = pairs.join(earlier, "first").join(hashed, "id").select("id", F.xxhash64("lines").alias("digest"), "a", F.col("lines").alias("b"), "chars")

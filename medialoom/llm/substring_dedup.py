@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialoom.llm.common import map_slices
+from medialoom.session import materialize
 
 WORDS_IN_CHUNK = 5
 LEAST_BYTES = 64
@@ -59,7 +60,8 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, words: int, least_by
     """``(id, spans)``: byte spans of chunks that a document of smaller id has too, runs of ``least_bytes`` and more."""
     chunks = chunk_rows(docs, doc_id, text, words)
     known = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    again = chunks.join(known.select("digest", "first"), "digest").where("id > first")
+    known = materialize(known.select("digest", "first"), "digests")  # so that the join's hot digests can be split
+    again = chunks.join(known, "digest").where("id > first")
     spans = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
 
     def join(acc, x):
