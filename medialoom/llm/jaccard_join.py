@@ -19,7 +19,7 @@ from medialoom.session import materialize
 SLOT_BITS = 20
 BLOCKS = 64
 FAN_IN = 64
-BITMAP_WORDS = 4
+BITMAP_WORDS = 16
 
 
 def slot_counts(texts: DataFrame, k: int) -> np.ndarray:
@@ -163,30 +163,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = materialize(known, "keys")  # joins with written tables can be split at hot keys
     width = math.log(100 / percent) * 1.000001
     bitmaps = reps.select("id", "bitmap").dropDuplicates(["id"])
-    shared = posting.join(known, "key").join(bitmaps, "id").withColumn("home", F.floor(F.log("n") / width))
+    shared = posting.join(known, "key").withColumn("home", F.floor(F.log("n") / width))
     shared = shared.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size", F.col("home") + F.col("step"))
-    shared = shared.select("key", "size", "step", "id", "n", "pos", "bitmap")
-    lead = shared.groupBy("key", "size").agg(F.min(F.struct("id", "step", "n", "pos", "bitmap")).alias("lead"), F.max("id").alias("last"), F.min("step").alias("least"))
+    shared = shared.select("key", "size", "step", "id", "n", "pos")
+    lead = shared.groupBy("key", "size").agg(F.min(F.struct("id", "step", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.min("step").alias("least"))
     lead = materialize(lead.where("lead.id < last AND least = 0"), "leads")
     shared = materialize(shared.join(lead, ["key", "size"]), "postings")
-    fits = may_link(percent, "na", "nb", "pa", "pb") & bitmaps_near(percent, "na", "nb", "ma", "mb") & (F.col("ta") + F.col("tb") < 2)
+    fits = may_link(percent, "na", "nb", "pa", "pb") & (F.col("ta") + F.col("tb") < 2)
+    near = bitmaps_near(percent, "na", "nb", "ma", "mb")
     args = (docs, id_col, text_col, k, percent)
 
     def side(df: DataFrame, x: str, *more: str) -> DataFrame:
-        cols = {"id": x, "n": f"n{x}", "pos": f"p{x}", "bitmap": f"m{x}", "step": f"t{x}"}
+        cols = {"id": x, "n": f"n{x}", "pos": f"p{x}", "step": f"t{x}"}
         return df.select("key", "size", *[F.col(c).alias(to) for c, to in cols.items()], *more)
 
-    star = side(shared, "b", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("lead.bitmap").alias("ma"), F.col("lead.step").alias("ta"))
-    star = materialize(star.where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
+    star = side(shared, "b", *[F.col(f"lead.{c}").alias(to) for c, to in (("id", "a"), ("n", "na"), ("pos", "pa"), ("step", "ta"))])
+    star = star.where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
+    ends = [bitmaps.select(F.col("id").alias(x), F.col("bitmap").alias(f"m{x}")) for x in "ab"]
+    star = materialize(star.join(ends[0], "a").join(ends[1], "b").where(near).select("a", "b"), "pairs")
     links = materialize(verified(star, *args), "links")
     comps = materialize(connected_components(links, "a", "b"), "components")
 
     named = shared.drop("lead", "last", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "postings")
     several = named.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    rest = named.join(materialize(several, "keys"), ["key", "size"])
-    left, right = side(rest, "a", F.col("component").alias("ca")), side(rest, "b", F.col("component").alias("cb"))
-    met = (left["key"] == right["key"]) & (left["size"] == right["size"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits
+    rest = named.join(materialize(several, "keys"), ["key", "size"]).join(bitmaps, "id")
+    left, right = (side(rest, x, F.col("component").alias(f"c{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
+    met = (left["key"] == right["key"]) & (left["size"] == right["size"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & near
     cross = left.join(right, met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     cross = materialize(cross, "pairs")
     links = links.unionByName(verified(cross, *args))
