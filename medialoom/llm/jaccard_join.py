@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialoom.functions.columns import bounded_broadcast
 from medialoom.llm.common import WordHashes, map_slices, shingle_set
 from medialoom.llm.components import connected_components
 from medialoom.session import materialize
@@ -118,6 +119,7 @@ def verified(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
     Sets are built again, for the documents of the pairs only.
     """
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    wanted = bounded_broadcast(materialize(wanted, "wanted"), 1_000_000)  # counted; beyond that a shuffle join
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def shingles(cols: dict) -> dict:
