@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialoom.functions.columns import bounded_broadcast
-from medialoom.llm.common import WordHashes, map_slices, shingle_set
+from medialoom.llm.common import WordHashes, map_slices, shingle_set, words_of
 from medialoom.llm.components import connected_components
 from medialoom.session import materialize
 
@@ -21,6 +23,7 @@ SLOT_BITS = 20
 BLOCKS = 64
 FAN_IN = 64
 BITMAP_WORDS = 16
+SETS_AT_ONCE = 32
 
 
 def slot_counts(texts: DataFrame, k: int) -> np.ndarray:
@@ -107,38 +110,42 @@ def may_link(percent: int, n_a: str, n_b: str, pos_a: str, pos_b: str):
 
 
 def bitmaps_near(percent: int, n_a: str, n_b: str, bits_a: str, bits_b: str):
-    """Suffix filter on sets partitioned by hash: sets whose parities differ in d parts differ in d shingles at least."""
+    """Suffix filter on sets partitioned by hash: sets whose parities differ in d parts differ in d shingles at least.
+
+    A null bitmap rules nothing out.
+    """
     both = F.col(n_a) + F.col(n_b)
-    parts = [F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))) for i in range(BITMAP_WORDS)]
+    parts = [F.coalesce(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))), F.lit(0)) for i in range(BITMAP_WORDS)]
     return (both - sum((F.bit_count(x) for x in parts), F.lit(0))) * (100 + percent) >= both * 2 * percent
 
 
 def verified(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` whose sets reach the similarity. Each pair is looked at once.
 
-    Sets are built again, for the documents of the pairs only.
+    Only the documents of the pairs are looked at again. Their compressed words travel, a fraction of the sets' size, and
+    the sets are built where a pair is compared.
     """
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     wanted = bounded_broadcast(materialize(wanted, "wanted"), 1_000_000)  # counted; beyond that a shuffle join
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def shingles(cols: dict) -> dict:
-        hashes = shingles.__dict__.setdefault("hashes", WordHashes())
-        sets = [shingle_set(t.as_py(), k, hashes).tobytes() for t in cols["text"]]
-        return {"id": cols["id"], "shingles": pa.array(sets, pa.binary())}
+    def squeeze(cols: dict) -> dict:
+        packed = [zlib.compress(b" ".join(words_of(t.as_py())), 6) for t in cols["text"]]
+        return {"id": cols["id"], "words": pa.array(packed, pa.binary())}
 
-    sets = materialize(map_slices(texts.join(wanted, "id"), shingles, "id bigint, shingles binary"), "sets")
+    words = materialize(map_slices(texts.join(wanted, "id"), squeeze, "id bigint, words binary"), "words")
 
     def compare(cols: dict) -> dict:
-        keep = []
-        for x, y in zip(cols["sa"], cols["sb"], strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        hashes, keep = compare.__dict__.setdefault("hashes", WordHashes()), []
+        sets = lru_cache(SETS_AT_ONCE)(lambda packed: shingle_set(zlib.decompress(packed).decode(), k, hashes))
+        for x, y in zip(cols["wa"], cols["wb"], strict=True):
+            x, y = sets(x.as_py()), sets(y.as_py())
             shared = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
         mask = pa.array(keep, pa.bool_())
         return {c: cols[c].filter(mask) for c in "ab"}
 
-    first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    first, second = (words.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
     return map_slices(near.join(first, "a").join(second, "b"), compare, "a bigint, b bigint").distinct()
 
 
@@ -159,41 +166,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meta = materialize(prefixes(docs, id_col, text_col, k, percent, counts), "prefixes")
     live = meta.where("n > 0 AND id IS NOT NULL")
     classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = live.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
+    reps = live.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select("id", "n", "bitmap", "prefix")
+    reps = materialize(reps, "reps")
     posting = reps.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
-    known = posting.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    known = posting.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     known = materialize(known, "keys")  # joins with written tables can be split at hot keys
+    shared = materialize(posting.join(known, "key"), "postings")
+    # an id that stands for several texts has no bitmap of its own
+    bitmaps = reps.groupBy("id").agg(F.first("bitmap").alias("bitmap"), F.count("*").alias("texts"))
+    bitmaps = bitmaps.select("id", F.when(F.col("texts") == 1, F.col("bitmap")).alias("bitmap"))
     width = math.log(100 / percent) * 1.000001
-    bitmaps = reps.select("id", "bitmap").dropDuplicates(["id"])
-    shared = posting.join(known, "key").withColumn("home", F.floor(F.log("n") / width))
-    shared = shared.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size", F.col("home") + F.col("step"))
-    shared = shared.select("key", "size", "step", "id", "n", "pos")
-    lead = shared.groupBy("key", "size").agg(F.min(F.struct("id", "step", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.min("step").alias("least"))
-    lead = materialize(lead.where("lead.id < last AND least = 0"), "leads")
-    shared = materialize(shared.join(lead, ["key", "size"]), "postings")
-    fits = may_link(percent, "na", "nb", "pa", "pb") & (F.col("ta") + F.col("tb") < 2)
+    shared = shared.withColumn("home", F.floor(F.log("n") / width)).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    shared = shared.select("key", (F.col("home") + F.col("step")).alias("size"), F.struct("id", "step", "n", "pos").alias("x"))
+    lead = shared.groupBy("key", "size").agg(F.min("x").alias("lead"), F.max("x.id").alias("last"), F.min("x.step").alias("least"))
+    lead = materialize(lead.where("lead.id < last AND least = 0").select("key", "size", "lead"), "leads")
+    shared = materialize(shared.join(lead, ["key", "size"]).where("x != lead"), "postings")
     near = bitmaps_near(percent, "na", "nb", "ma", "mb")
     args = (docs, id_col, text_col, k, percent)
 
-    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
-        cols = {"id": x, "n": f"n{x}", "pos": f"p{x}", "step": f"t{x}"}
-        return df.select("key", "size", *[F.col(c).alias(to) for c, to in cols.items()], *more)
+    def fits(a: str, b: str):
+        sizes = may_link(percent, f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos")
+        return (F.col(f"{a}.id") < F.col(f"{b}.id")) & sizes & (F.col(f"{a}.step") + F.col(f"{b}.step") < 2)
 
-    star = side(shared, "b", *[F.col(f"lead.{c}").alias(to) for c, to in (("id", "a"), ("n", "na"), ("pos", "pa"), ("step", "ta"))])
-    star = star.where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
-    ends = [bitmaps.select(F.col("id").alias(x), F.col("bitmap").alias(f"m{x}")) for x in "ab"]
-    star = materialize(star.join(ends[0], "a").join(ends[1], "b").where(near).select("a", "b"), "pairs")
+    ends = [F.col(f"{x}.{c}").alias(to) for x, i in (("lead", "a"), ("x", "b")) for c, to in (("id", i), ("n", f"n{i}"))]
+    star = shared.where(fits("lead", "x")).select(*ends).distinct()
+    both = [bitmaps.select(F.col("id").alias(x), F.col("bitmap").alias(f"m{x}")) for x in "ab"]
+    star = materialize(star.join(both[0], "a").join(both[1], "b").where(near).select("a", "b"), "pairs")
     links = materialize(verified(star, *args), "links")
     comps = materialize(connected_components(links, "a", "b"), "components")
 
-    named = shared.drop("lead", "last", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = materialize(named, "postings")
+    # every pair with a lead has been compared; what is left of a key matters if it lies in several components
+    named = shared.select("key", "size", "x", F.col("x.id").alias("id")).join(comps, "id", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "id")), "postings")
     several = named.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    rest = named.join(materialize(several, "keys"), ["key", "size"]).join(bitmaps, "id")
-    left, right = (side(rest, x, F.col("component").alias(f"c{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
-    met = (left["key"] == right["key"]) & (left["size"] == right["size"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & near
-    cross = left.join(right, met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    cross = materialize(cross, "pairs")
+    rest = named.join(materialize(several, "keys"), ["key", "size"])
+    rest = materialize(rest.join(bitmaps, "id").select("key", "size", "x", "component", "bitmap"), "rest")
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.component") != F.col("r.component"))
+    met &= fits("l.x", "r.x") & bitmaps_near(percent, "l.x.n", "r.x.n", "l.bitmap", "r.bitmap")
+    cross = rest.alias("l").join(rest.alias("r"), met).select(F.col("l.x.id").alias("a"), F.col("r.x.id").alias("b")).distinct()
+    cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(cross, *args))
     comps = materialize(connected_components(links, "a", "b"), "components")
 
