@@ -62,3 +62,11 @@ def test_long_text_repeated_row_and_empty_table(spark):
     df = spark.createDataFrame([(1, long, 0, ""), (2, long + " end", 0, ""), (2, long + " end", 0, "")], SCHEMA)
     assert sorted(map(tuple, jaccard_components(df).collect())) == [(1, 69996, 1), (2, 69997, 1), (2, 69997, 1)]
     assert jaccard_components(df.where("false")).count() == 0
+
+
+def test_one_id_with_several_texts_links_by_each_of_them(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (6, one + " end"), (7, two + " end"), (8, "nothing like these at all")]
+    df = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_components(df).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 8)}
