@@ -13,20 +13,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each step hangs every vertex's neighbours on the smallest of them, first the larger neighbours, then the smaller
     ones. A step aggregates minima with map-side combine and joins them back, so no neighbourhood is gathered; every
-    step is written to the shared folder. Edges with a null end, self loops and repeated edges add nothing. An empty
-    edge table gives an empty result.
+    step is written to the shared folder. Steps end when the edges are stars, which edges that come as stars are at
+    once. Edges with a null end, self loops and repeated edges add nothing. An empty edge table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
     cur = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     cur = materialize(cur.distinct(), "edges")
-    seen = None
-    while True:
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                cur.select(F.col("v").alias("id"), F.col("v").alias("component"))
-            ).distinct()
-        seen = state
+    while not are_stars(cur):
         both = cur.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             cur.select(F.col("v").alias("x"), F.col("u").alias("y"))
         )
@@ -36,3 +29,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        cur.select(F.col("v").alias("id"), F.col("v").alias("component"))
+    ).distinct()
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end ``u`` of the distinct edges has one edge and is nobody's smaller end ``v``."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1)).isEmpty()

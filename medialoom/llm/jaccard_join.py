@@ -205,7 +205,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met &= fits("l.x", "r.x") & bitmaps_near(percent, "l.x.n", "r.x.n", "l.bitmap", "r.bitmap")
     cross = rest.alias("l").join(rest.alias("r"), met).select(F.col("l.x.id").alias("a"), F.col("r.x.id").alias("b")).distinct()
     cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(cross, *args))
+    # the stars of the first search stand for its links
+    links = comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(cross, *args))
     comps = materialize(connected_components(links, "a", "b"), "components")
 
     of_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
