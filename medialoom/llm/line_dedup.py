@@ -5,15 +5,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialoom.llm.common import map_slices
 from medialoom.session import materialize
 
-LINE_CHARS = 20
 BLOCK_CHARS = 50
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -68,25 +71,57 @@ def common_lines(a: list[int], b: list[int], chars: list[int], least: int) -> li
     return found
 
 
-def removed_lines(docs: DataFrame, doc_id: str, text: str, line_chars: int, block_chars: int) -> DataFrame:
+def runs_of(lines: np.ndarray, chars: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of lines that just reach ``least`` characters, from each line on and up to each line.
+
+    ``edges`` part the lines into documents; no run crosses them. Any longer run is covered by such runs within it.
+    """
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+    places = np.arange(n)
+    doc = np.searchsorted(edges, places, side="right")
+    on = np.searchsorted(total, total[:-1] + least, side="left")
+    up = np.searchsorted(total, total[1:] - least, side="right") - 1
+    fits, reaches = on <= edges[doc], up >= edges[doc - 1]
+    pairs = np.unique(np.concatenate([np.stack([places, on], 1)[fits], np.stack([up, places + 1], 1)[reaches]]), axis=0)
+    start, stop = pairs[:, 0], pairs[:, 1]
+    # a polynomial of the line hashes modulo 2^64, divided by the power of its first line, is the same at any place
+    up_powers, down_powers = (np.cumprod(np.array([1] + [x] * n, np.uint64), dtype=np.uint64) for x in (BASE, BACK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * up_powers[:-1], dtype=np.uint64)])
+    key = (sums[stop] - sums[start]) * down_powers[start] + (stop - start).astype(np.uint64)
+    return start, stop, key.view(np.int64)
+
+
+def removed_lines(docs: DataFrame, doc_id: str, text: str, block_chars: int) -> DataFrame:
     """``(id, removed)``: numbers of the lines that go, for documents that lose any; ids repeat as often as rows do."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lines").isNotNull()).withColumn("lines", F.transform("lines", lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
     hashed = rows.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
-    hashed = materialize(hashed, "lines")
-    single = hashed.select("id", F.explode(F.arrays_zip("lines", "chars")).alias("x")).where(F.col("x.chars") >= line_chars)
-    single = single.select("id", F.col("x.lines").alias("line"))
-    shared = single.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = materialize(shared.where("first < last").select("line", "first"), "shared")  # so that hot lines can be split
-    pairs = single.join(shared, "line").where("id > first").select("id", "first").distinct()
+    hashed = materialize(hashed.withColumn("digest", F.xxhash64("lines")), "lines")
+
+    def cut(cols: dict) -> dict:
+        edges = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(cols["lines"])))]).astype(np.int64)
+        start, stop, key = runs_of(np.asarray(cols["lines"].flatten()), np.asarray(cols["chars"].flatten()), edges, block_chars)
+        doc = np.searchsorted(edges, start, side="right") - 1
+        at = pa.array(doc)
+        places = {c: pa.array((x - edges[doc]).astype(np.int32)) for c, x in (("start", start), ("stop", stop))}
+        return {"id": cols["id"].take(at), "digest": cols["digest"].take(at)} | places | {"run": pa.array(key)}
+
+    runs = map_slices(hashed, cut, "id bigint, digest bigint, start int, stop int, run bigint")
+    shared = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = materialize(shared.where("first < last").select("run", "first"), "shared")  # so that hot runs can be split
+    met = runs.join(shared, "run").where("id > first").groupBy("id", "digest", "first").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     earlier = hashed.select(F.col("id").alias("first"), F.col("lines").alias("a"))
-    met = pairs.join(earlier, "first").join(hashed, "id").select("id", F.xxhash64("lines").alias("digest"), "a", F.col("lines").alias("b"), "chars")
+    later = hashed.select("id", "digest", F.col("lines").alias("b"), "chars")
+    met = met.join(earlier, "first").join(later, ["id", "digest"]).select("id", "digest", "runs", "a", "b", "chars")
 
     def align(cols: dict) -> dict:
-        found = [
-            common_lines(a.as_py(), b.as_py(), c.as_py(), block_chars)
-            for a, b, c in zip(cols["a"], cols["b"], cols["chars"], strict=True)
-        ]
+        found = []
+        for a, b, c, held in zip(cols["a"], cols["b"], cols["chars"], cols["runs"], strict=True):
+            gone = set(common_lines(a.as_py(), b.as_py(), c.as_py(), block_chars))
+            for run in held.as_py():  # held by the earlier document, aligned or not
+                gone.update(range(run["start"], run["stop"]))
+            found.append(sorted(gone))
         return {"id": cols["id"], "digest": cols["digest"], "lines": pa.array(found, pa.list_(pa.int32()))}
 
     aligned = map_slices(met, align, "id bigint, digest bigint, lines array<int>")
@@ -95,21 +130,23 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str, line_chars: int, bloc
 
 
 def dedup_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """All rows and columns of ``docs`` with repeated blocks of lines deleted from the text, and ``n_lines``, ``n_removed``.
 
-    Lines are compared without white space at their ends. Every line of at least ``line_chars`` characters that several
-    documents hold pairs each later document with its first holder, the one of smallest id: as many pairs as shared
-    lines at most, however many documents share one. Each pair is aligned by patience diff; aligned runs of lines with at
-    least ``block_chars`` characters are deleted from the later document.
+    Lines are compared without white space at their ends. Every run of consecutive lines that just reaches ``block_chars``
+    characters, short and empty lines included, leads later documents that hold it to its first holder, the one of smallest
+    id: at most two runs a line, however many documents share one. Each pair is aligned by patience diff; aligned runs of
+    at least ``block_chars`` characters are deleted from the later document, and so are shared runs that the alignment
+    leaves out, because a line is not unique or the order differs. So a line goes exactly if it is in a run of at least
+    ``block_chars`` characters that a document of smaller id has too.
 
     A null text stays null with 0 lines; an empty text is one empty line. Rows with a null id are never changed. Rows of
     equal id are not compared with each other. Columns named ``n_lines`` or ``n_removed`` are replaced. An empty table
     gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs, doc_id, text, line_chars, block_chars).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, doc_id, text, block_chars).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed"))
     lines = F.split(F.col(text).cast("string"), "\n")
     digest = F.xxhash64(F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c")))))
     met = docs.select(*names).join(gone, (F.col(doc_id).cast("bigint") == F.col("_id")) & (digest == F.col("_digest")), "left")

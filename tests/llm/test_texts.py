@@ -116,6 +116,40 @@ def test_lines_of_the_later_document_go(spark):
     assert dedup_lines(docs(spark, rows).where("false")).count() == 0
 
 
+def lines_held_before(rows, least=50):
+    """For each row, the lines in runs of ``least`` characters that a row of smaller id has, by trying every run."""
+    out, held = [], set()
+    for _, text in rows:
+        lines, gone, own = text.split("\n"), set(), set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(map(len, lines[i:j])) >= least:
+                    own.add(tuple(lines[i:j]))
+                    if tuple(lines[i:j]) in held:
+                        gone |= set(range(i, j))
+        held |= own
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_lines_like_every_run(spark):
+    passage = "a first line of the passage\nand its second line, longer"
+    x, y = "line x of thirty characters ok", "line y of thirty characters ok"
+    short = "\n".join(f"short line {i}" for i in range(6))
+    other = "one more block, which is long enough to be one by itself"
+    rows = [(1, f"{passage}\nbetween\n{passage}"), (2, f"own 2\n{passage}"), (3, f"{passage}\nown 3")]  # twice in the first
+    rows += [(11, f"{x}\n11"), (12, f"{y}\n12"), (13, f"{x}\n{y}\n13"), (14, f"14\n{x}\n{y}")]  # lines first seen apart
+    rows += [(21, f"{short}\n21"), (22, f"22\n{short}")]  # no line of 20 characters
+    rows += [(31, f"{short} \nq\n{other}"), (32, f"{other}\nr\n{short}\n{other}")]  # other order, twice in the later
+    rng = random.Random(5)
+    parts = ["", "tiny", "sixteen letters.", x, y, other, "z" * 49]
+    rows += [(100 + i, "\n".join(rng.choice(parts) + rng.choice(["", "", str(rng.randrange(3))]) for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(spark, rows)).collect()}
+    want = lines_held_before([(i, text.replace(" \n", "\n")) for i, text in rows])
+    assert [got[i].replace(" \n", "\n") for i, _ in rows] == want
+    assert got[2] == "own 2" and got[3] == "own 3" and got[14] == "14" and got[22] == "22" and got[32] == "r"
+
+
 def test_repeated_passages_go(spark):
     rng = random.Random(6)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
