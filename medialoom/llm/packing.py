@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import cache
 
@@ -20,33 +21,35 @@ ROWS_IN_BLOCK = 20_000
 
 
 @cache
-def encoder(ranks_path: str):
-    """The byte-level BPE of a rank file; text that spells a special token is ordinary text."""
+def encoder(ranks_path: str, vocabulary_path: str):
+    """The byte-level BPE of a rank file; text that spells an added token of the vocabulary is that token."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary_path, encoding="utf-8") as vocabulary:
+        added = {x["content"]: x["id"] for x in json.load(vocabulary)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def default_ranks() -> str:
+def default_path(kind: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
-def token_pieces(docs: DataFrame, doc_id: str, text: str, limit: int, ranks_path: str, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, doc_id: str, text: str, limit: int, ranks_path: str, vocabulary_path: str, keep_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``, with ``ids`` on demand: every document's tokens and an end token.
 
     Only documents longer than ``limit`` are cut, into pieces of ``limit``; the first piece takes what is left over.
     """
 
     def cut(cols: dict) -> dict:
-        bpe = encoder(ranks_path)
+        bpe = encoder(ranks_path, vocabulary_path)
         rows: dict[str, list] = {c: [] for c in ("at", "piece", "start", "length", "ids_crc32", "ids")}
         for at, value in enumerate(cols["text"]):
-            ids = bpe.encode_to_numpy((value.as_py() or "").encode("utf-8", "replace").decode(), disallowed_special=())
+            ids = bpe.encode_to_numpy((value.as_py() or "").encode("utf-8", "replace").decode(), allowed_special="all")
             ids = np.append(ids, END_ID).astype("<u4")
             first = len(ids) % limit or limit
             edges = [0, *range(first, len(ids) + 1, limit)]
@@ -111,7 +114,8 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[list[int], int]]:
 
 
 def pack(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, ranks_path: str | None = None, keep_ids: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, ranks_path: str | None = None, keep_ids: bool = False,
+    vocabulary_path: str | None = None,
 ) -> DataFrame:
     """One row per piece: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, and ``ids`` on demand.
 
@@ -120,9 +124,10 @@ def pack(
     which sequence and place a piece gets. So only the length counts reach the driver.
 
     A null or empty text is a document of the end token alone. Null ids and repeated rows are documents like others.
-    Other columns are ignored; an empty table gives an empty result. ``ranks_path`` must be readable on every node.
+    Other columns are ignored; an empty table gives an empty result. ``ranks_path`` and ``vocabulary_path``, the JSON file
+    that has the added tokens, must be readable on every node.
     """
-    pieces = materialize(token_pieces(docs, doc_id, text, limit, ranks_path or default_ranks(), keep_ids), "pieces")
+    pieces = materialize(token_pieces(docs, doc_id, text, limit, ranks_path or default_path("tiktoken"), vocabulary_path or default_path("json"), keep_ids), "pieces")
     spark = docs.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, base, used = [], 0, dict.fromkeys(counts, 0)

@@ -101,6 +101,15 @@ def test_pack(spark):
     assert pack(df.where("false")).count() == 0
 
 
+def test_pack_like_tokenizers_by_default(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n  y", "<|endoftext |> <|im_start|>", "it's 2,500 été 日本 😀\t  z ", "word <|endoftext|>" * 900]
+    got = pack(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), keep_ids=True).collect()
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        ids = [x for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start) for x in r.ids]
+        assert ids == [*bpe.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(9)
     prose = lambda n: "\n".join(" ".join("".join(rng.choice("thsandowei") for _ in range(rng.randrange(2, 8))) for _ in range(12)) for _ in range(n))
