@@ -13,20 +13,35 @@ from medialoom.session import materialize
 
 WORDS_IN_CHUNK = 5
 LEAST_BYTES = 64
+#: Longer chunks get edges at any code point, about every ``POINTS_IN_CHUNK``-th; none is longer than ``LONGEST_BYTES``.
+LONG_BYTES, POINTS_IN_CHUNK, LONGEST_BYTES = 256, 16, 1024
 GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def edges(data: bytes, words: int = WORDS_IN_CHUNK) -> np.ndarray:
     """Chunk edges, 0 and the length included. An edge may stand after white space or before a wide character, about
-    every ``words``-th such place has one; which, depends on the 16 bytes before it alone."""
+    every ``words``-th such place has one; which, depends on the 16 bytes before it alone. Where that leaves more than
+    ``LONG_BYTES`` without an edge, as in text without white space, any code point may start a chunk, by a stricter mask of the
+    same hash. Only text of a short period has no edge then either; it is cut every ``LONGEST_BYTES`` or a little less."""
     b = np.frombuffer(data, np.uint8)
     h = GEAR[b]
     for by in (1, 2, 4, 8):
         h[by:] = h[by:] + (h[:-by] << np.uint32(by))
     may = SPACE[b[:-1]] & ~SPACE[b[1:]] | (b[1:] >= 0xE3)
-    cut = np.nonzero(may & ((h[:-1] >> np.uint32(8) & np.uint32(0xFF)) < 256 // words))[0] + 1
-    return np.concatenate([[0], cut, [len(b)]])
+    part = h[:-1] >> np.uint32(8) & np.uint32(0xFF)
+    found = np.concatenate([[0], np.nonzero(may & (part < 256 // words))[0] + 1, [len(b)]])
+    if (np.diff(found) <= LONG_BYTES).all():
+        return found
+    starts = (b & 0xC0) != 0x80
+    more = np.nonzero(starts[1:] & (part < 256 // POINTS_IN_CHUNK))[0] + 1
+    at = np.searchsorted(found, more, side="right")
+    found = np.union1d(found, more[found[at] - found[at - 1] > LONG_BYTES])
+    forced = [np.arange(x + LONGEST_BYTES, y, LONGEST_BYTES) for x, y in zip(found[:-1], found[1:], strict=True) if y - x > LONGEST_BYTES]
+    if not forced:
+        return found
+    point = np.maximum.accumulate(np.where(starts, np.arange(len(b)), 0))
+    return np.union1d(found, point[np.concatenate(forced)])
 
 
 def chunk_rows(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -81,7 +96,7 @@ def dedup_substrings(
     """One row per input row: ``(doc_id, n_bytes, removed_bytes, spans, text)``.
 
     Text is cut where a gear rolling hash says so, into chunks of about ``words`` words, so an insertion moves no edge
-    beyond the next few words. A chunk is repeated if it follows or precedes the same chunk in a document of smaller
+    beyond the next few words; text without white space is cut between code points instead. A chunk is repeated if it follows or precedes the same chunk in a document of smaller
     id; runs of repeated chunks of ``least_bytes`` and more are removed, ``spans`` has their bytes. The document of
     smallest id keeps a passage.
 

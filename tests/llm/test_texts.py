@@ -169,6 +169,27 @@ def test_repeated_passages_go(spark):
     assert dedup_substrings(docs(spark, rows).where("false")).count() == 0
 
 
+def test_repeated_passages_without_white_space_go(spark):
+    rng = random.Random(7)
+    kinds = {"thai": [chr(x) for x in range(0xE01, 0xE2F)], "khmer": [chr(x) for x in range(0x1780, 0x17B3)], "base64": [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"], "nbsp": [*"abcdefgh", "\u00a0"]}
+    rows, want = [], []
+    for n, some in enumerate(kinds.values()):
+        make = lambda k: "".join(rng.choice(some) for _ in range(k))  # noqa: B023, E731
+        passage = make(600)
+        copy = make(900)
+        rows += [(10 * n, make(500) + passage + make(300)), (10 * n + 1, make(333) + passage + make(111)), (10 * n + 2, copy), (10 * n + 3, copy[:400] + some[0] + copy[400:])]
+        want += [(10 * n + 1, passage), (10 * n + 3, copy)]
+    rows += [(100, "ก" * 2000 + "x"), (101, "y" + "ก" * 3000)]
+    got = {r.doc_id: r for r in dedup_substrings(docs(spark, rows)).collect()}
+    before = dict(rows)
+    for i, passage in want:
+        size = len(passage.encode())
+        assert 0.6 * size < got[i].removed_bytes <= size and "\ufffd" not in got[i].text
+    assert all(got[i].removed_bytes == 0 and got[i].text == before[i] for i in before if i % 10 in (0, 2))
+    assert got[101].removed_bytes > 3000 and set(got[101].text) <= {"y", "ก"}
+    assert max(x - y for text in before.values() for x, y in zip(edges(text.encode())[1:], edges(text.encode())[:-1])) <= 1030
+
+
 def test_edges_follow_the_content():
     text = ("some words that go on " * 3 + " ".join(str(i * 7919) for i in range(400))).encode()
     a, b = edges(text), edges(b"inserted " + text)
