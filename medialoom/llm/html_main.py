@@ -31,6 +31,7 @@ HINTS = frozenset(
     "masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription signup "
     "login popup modal overlay paywall toolbar pagination pager contentinfo complementary search".split()
 )
+FRAMES = frozenset("area bar block bottom box button buttons container field form group holder inner item left links list outer right top unit wrap wrapper".split())
 PUNCTUATION = frozenset(string.punctuation + "。，、；：？！…“”‘’«»")
 CLOSES_P = frozenset(
     "p div article aside blockquote dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section "
@@ -38,23 +39,37 @@ CLOSES_P = frozenset(
 )
 
 
-def hinted(attributes: str) -> bool:
+def unseen(attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name.lower() != "style" and HINTS & set(re.split(r"[^a-z]+", value)):
+        if name.lower() == "hidden" or name.lower() == "style" and "display:none" in "".join(values).lower().replace(" ", ""):
             return True
     return False
 
 
+def hinted(attributes: str) -> bool:
+    """Whether a whole token of class, id or role is a hint: made of hints, and words for a frame, alone."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("hidden", "style"):
+            continue
+        for token in "".join(values).lower().split():
+            pieces = set(re.split(r"[^a-z]+", token)) - {""}
+            if pieces & HINTS and pieces <= HINTS | FRAMES:
+                return True
+    return False
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The page's text blocks in order: path of block elements, text, characters within links.
 
-    What stands in elements that never hold the article is left out; a page header only outside an article.
+    What stands in elements that never hold the article is left out; a page header only outside an article. Hinted elements
+    are left out unless they are, or hold, an article or main element, or hold more than half of the text outside links.
     """
     found, words, linked = [], [], 0
     stack: list[tuple[str, bool]] = []
+    marked: list[tuple[int, int]] = []  # hinted elements: depth and number
+    within: list[tuple[int, ...]] = []  # numbers of the hinted elements around each block
+    holding: set[int] = set()
+    hints = 0
     path: tuple[str, ...] = ()
     outside = in_link = 0
 
@@ -63,6 +78,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             found.append((path, text, min(linked, len(text))))
+            within.append(tuple(n for _, n in marked))
         words.clear()
         linked = 0
 
@@ -75,6 +91,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         while stack:
             top, out = stack.pop()
             outside -= out
+            if marked and marked[-1][0] > len(stack):
+                marked.pop()
             if top == name:
                 break
         path = tuple(n for n, _ in stack)
@@ -115,12 +133,23 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close(name)
         flush()
         in_article = any(n in ("article", "main") for n, _ in stack)
-        out = name in OUTSIDE or name == "header" and not in_article or name not in ("html", "body") and hinted(m[3])
+        out = name in OUTSIDE or name == "header" and not in_article or name not in ("html", "body") and unseen(m[3])
         stack.append((name, out))
+        if name in ("article", "main"):
+            holding.update(n for _, n in marked)
+        elif name not in ("html", "body") and not outside and not out and hinted(m[3]):
+            marked.append((len(stack), hints))
+            hints += 1
         outside += out
         path = (*path, name)
     flush()
-    return found
+    sizes = [len(text) - in_links for _, text, in_links in found]
+    inside = [0] * hints
+    for size, around in zip(sizes, within, strict=True):
+        for n in around:
+            inside[n] += size
+    drop = {n for n in range(hints) if n not in holding and 2 * inside[n] <= sum(sizes)}
+    return [x for x, around in zip(found, within, strict=True) if drop.isdisjoint(around)]
 
 
 def smooth(values: np.ndarray) -> np.ndarray:

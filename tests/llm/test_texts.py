@@ -215,3 +215,14 @@ def test_main_text(spark):
     assert by_id[2].text == by_id[3].text == by_id[4].text == "" and by_id[None].text == "plain words"
     assert by_id[5].text == "\n\n".join(["x <b>"] * 20_000)
     assert extract_main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_main_text_in_hinted_wrappers():
+    body = "<h1>Head</h1><p>The first paragraph, with some words; it goes on.</p><p>The second paragraph, which is long as well.</p>"
+    text = "Head\n\nThe first paragraph, with some words; it goes on.\n\nThe second paragraph, which is long as well."
+    more = "<div class='ad'><p>Buy this, now!</p></div><div class='sidebar'><p>Other things, too.</p></div>"
+    for tag in ["div class='content with-sidebar'", "div id='page' class='no-ads'", "main class='search-results'", "article class='post category-social'", "article class=comments", "div class='related'", "section id=sidebar"]:
+        page = f"<html><body><{tag}>{body}</{tag.split()[0]}>{more}</body></html>"
+        assert main_text(page) == text, tag
+    assert main_text(f"<body><div class='widget'><article>{body}</article></div>{more}</body>") == text
+    assert main_text(f"<body><div class='wrap'>{body}<div class='ad-box comment'>Buy, buy.</div></div></body>") == text
