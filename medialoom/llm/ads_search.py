@@ -84,14 +84,14 @@ def nearest(
     """The ``k`` rows of largest inner product with each query row: ``(query_id, rank, vec_id, score)``.
 
     Rows go to the nearest of ``lists`` centres fitted on about ``SAMPLE_ROWS`` rows; a query looks into its ``probes``
-    nearest lists. A list is cut into blocks of about ``ROWS_IN_BLOCK`` rows, its queries into blocks of
+    nearest lists, and on into the next ones until those hold ``k`` candidates. A list is cut into blocks of about ``ROWS_IN_BLOCK`` rows, its queries into blocks of
     ``QUERIES_IN_BLOCK``; a task joins one of each and scans rotated column blocks, abandoning candidates by hypothesis
     tests. Scores are double-precision inner products of the original vectors; ties go to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components, null ids, and vectors whose length is not
     the most frequent one (ties: the smaller) take no part. A query never finds rows of its own id; repeated rows are
-    found once each. Fewer candidates than ``k`` are all returned as far as probed lists hold them. Other columns are
-    ignored; an empty table gives an empty result.
+    found once each. Fewer candidates than ``k`` are all returned. Other columns are ignored; an empty table gives an empty
+    result.
     """
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("ask"))
     rows = rows.where(usable("v") & F.col("id").isNotNull())
@@ -111,7 +111,7 @@ def nearest(
             x = matrix(b.column("v"), width)
             own = squared(lifted(x, top), centres).argmin(1)
             ask = np.asarray(b.column("ask").fill_null(False))
-            order = np.argsort(squared(lifted_query(x), centres), axis=1, kind="stable")[:, :probes]
+            order = np.argsort(squared(lifted_query(x), centres), axis=1, kind="stable")
             asked = [o if a else None for o, a in zip(order.astype(np.int32), ask, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {"id": b.column("id"), "v": b.column("v"), "list": pa.array(own.astype(np.int32)), "asked": pa.array(asked, pa.list_(pa.int32()))}
@@ -121,7 +121,13 @@ def nearest(
         return np.hstack([x, np.zeros((len(x), 1))]) @ rotation(width + 1)
 
     index = materialize(rows.mapInArrow(assign, "id bigint, v array<double>, list int, asked array<int>"), "index")
-    queries = index.where("asked IS NOT NULL").select("id", "v", F.explode("asked").alias("list"))
+    # one number a list; no id has more than ``copies`` rows of its own among the candidates
+    held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    copies = index.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    in_list = F.array(*[F.lit(held.get(i, 0)).cast("bigint") for i in range(len(centres))])
+    before = lambda i: F.aggregate(F.slice("asked", 1, i), F.lit(0).cast("bigint"), lambda n, x: n + F.get(in_list, x))
+    asked = F.filter("asked", lambda x, i: (i < probes) | (before(i) < k + copies))
+    queries = index.where("asked IS NOT NULL").select("id", "v", F.explode(asked).alias("list"))
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         counts = F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / size).alias("blocks")))  # one row per list

@@ -84,3 +84,16 @@ def test_nearest_of_few_rows(spark):
     got = [tuple(r) for r in nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
     assert nearest(few.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_of_small_tables_is_whole(spark):
+    rng = np.random.default_rng(11)
+    for n in (14, 16, 18, 21, 40):
+        x = rng.standard_normal((n, 16))
+        rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+        got = nearest(spark.createDataFrame(rows, SCHEMA), F.lit(True)).groupBy("query_id").count().collect()
+        assert [r["count"] for r in got] == [min(20, n - 1)] * n
+        if n <= 21:  # every other row is asked for, so the order is exact
+            some = {r.query_id: r.vec_id for r in nearest(spark.createDataFrame(rows, SCHEMA), F.lit(True)).where("rank = 1").collect()}
+            score = x @ x.T - 1e9 * np.eye(n)
+            assert [some[i] for i in range(n)] == score.argmax(1).tolist()
