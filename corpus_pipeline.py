@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialoom.llm.common import WORD
 from medialoom.llm.jaccard_join import jaccard_components
-from medialoom.llm.language import UNKNOWN, predict_language
+from medialoom.llm.language import UNKNOWN, held_out, predict_language
 from medialoom.llm.line_dedup import dedup_lines
 from medialoom.llm.mixing import mixed_documents
 from medialoom.llm.packing import pack
@@ -15,8 +15,19 @@ from medialoom.session import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without text or without a letter go."""
-    return predict_language(docs).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents in a learned language, with the predicted one in ``lang``; those without text or without a letter go.
+
+    A document goes too if its score is below the least that a labelled document outside the learned rows has for its own
+    language, so none of those does. Without any to measure, or without a model, letters alone decide, and without a model
+    ``lang`` stays as it is.
+    """
+    found = materialize(predict_language(docs), "predicted")
+    own = held_out("doc_id") & (F.col("lang_pred") == F.col("lang"))
+    seen = found.agg(F.min(F.when(own, F.col("score"))).alias("least"), F.max(F.col("lang_pred") != UNKNOWN).alias("learned")).first()
+    if not seen["learned"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    fine = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= (seen["least"] or 0.0))
+    return found.where(fine).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

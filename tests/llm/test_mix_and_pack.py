@@ -110,6 +110,24 @@ def test_pack_like_tokenizers_by_default(spark):
         assert ids == [*bpe.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_language_stage_decides(spark):
+    letters = {"en": "thsandowe", "de": "schünßtei", "fr": "çéèauxlou"}
+    rng = random.Random(4)
+    text = lambda some: " ".join("".join(rng.choice(some) for _ in range(rng.randrange(3, 9))) for _ in range(40))
+    rows = [(i, text(letters[lang]), lang, "s", 1) for i in range(200) for lang in [rng.choice(list(letters))]]
+    wrong = next(i for i in range(910, 950) if zlib.crc32(str(i).encode()) % 3 == 1)  # not learned from
+    odd = [(900, text(letters["de"]), None, "s", 1), (wrong, text(letters["fr"]), "en", "s", 1), (902, text("жщфыйцукен"), None, "s", 1), (903, "12 !", "en", "s", 1), (904, None, "en", "s", 1)]
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    got = {r.doc_id: r.lang for r in stage(spark, spark.createDataFrame(rows + odd, DOCS), "").collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert len(held) > 30 and all(got[r[0]] == r[2] for r in held)
+    want = {900: "de", wrong: "fr", 902: None, 903: None, 904: None}
+    assert {r[0]: got.get(r[0]) for r in odd} == {r[0]: want[r[0]] for r in odd}
+    unlabelled = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows + odd], DOCS)
+    kept = stage(spark, unlabelled, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r[0] for r in rows + odd if r[0] not in (903, 904)) and {r.lang for r in kept} == {None}
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(9)
     prose = lambda n: "\n".join(" ".join("".join(rng.choice("thsandowei") for _ in range(rng.randrange(2, 8))) for _ in range(12)) for _ in range(n))
