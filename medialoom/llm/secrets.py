@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex")
+KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_lower", "entropy_upper")
 LEAST_ASSIGNED = 12
 
 # Character classes: candidate pattern, alphabet, window, least entropy in bits, and what a candidate must have.
@@ -24,9 +24,14 @@ CLASSES = {
         r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])",
     ),
     "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", "0123456789ABCDEF", 32, 3.0, r"^(?=.*[0-9])(?=.*[A-Fa-f])"),
+    "entropy_lower": (r"(?<![A-Za-z0-9])[a-z0-9]{24,}(?![A-Za-z0-9])", "abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.7, r"^(?=.*[0-9])(?=.*[a-z])"),
+    "entropy_upper": (r"(?<![A-Za-z0-9])[A-Z0-9]{24,}(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 3.7, r"^(?=.*[0-9])(?=.*[A-Z])"),
 }
-# Candidates that are no secrets: place holders, and paths of words.
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|1234567|abcdefg|^(?:[a-z]+[/_+-])+[a-z]+$"
+# Hot stretches that are no secrets: those with a place holder in them, and paths of words. A place holder that is a part
+# between other characters than letters and digits by itself only parts the stretches.
+HOLDERS = "example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|1234567|abcdefg"
+ALLOWED = rf"(?i){HOLDERS}|^(?:[a-z]+[/_+-])+[a-z]+$"
+PARTING = rf"(?i)(?:(?<![a-z0-9])(?=(?:{HOLDERS})(?![a-z0-9]))|(?!^)\G)[a-z0-9]"
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -50,12 +55,12 @@ def located(text: Column, pattern: str, found: Column, kind: int, keep: Column |
     return F.when(F.size(found) > 0, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
-def hot_window(candidate: Column, alphabet: str, width: int, least: float) -> Column:
-    """``struct(lo, hi)``: the stretch of ``candidate`` covered by windows of at least ``least`` bits; lo < 0: none.
+def hot_windows(candidate: Column, alphabet: str, width: int, least: float) -> Column:
+    """``array(struct(lo, hi))``: the maximal stretches of ``candidate`` covered by windows of at least ``least`` bits.
 
+    Windows with a character outside the alphabet do not count.
     Counts per character and the sum of c log2 c change by one entering and one leaving character at a time.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     f = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(0.0)
 
     def add(state: Column, code: Column, by: int) -> tuple[Column, Column]:
@@ -63,30 +68,42 @@ def hot_window(candidate: Column, alphabet: str, width: int, least: float) -> Co
         counts = F.transform(state["counts"], lambda c, k: F.when(k == code, c + by).otherwise(c))
         return counts, state["sum"] + f(was + by) - f(was)
 
-    def step(state: Column, at: Column) -> Column:
-        counts, total = add(state, F.get(codes_of(state), at), 1)
+    def step(codes: Column, state: Column, at: Column) -> Column:
+        counts, total = add(state, F.get(codes, at), 1)
         grown = F.struct(counts.alias("counts"), total.alias("sum"))
-        counts, total = add(grown, F.get(codes_of(state), at - width), -1)
+        counts, total = add(grown, F.get(codes, at - width), -1)
         moved = F.when(at >= width, F.struct(counts.alias("counts"), total.alias("sum"))).otherwise(grown)
-        hot = (at >= width - 1) & (F.lit(math.log2(width)) - moved["sum"] / width >= least)
+        other = F.when(F.get(codes, at) < 0, at).otherwise(state["other"])
+        return once(moved, lambda m: once(other, lambda o: stretched(state, at, m, o)))
+
+    def stretched(state: Column, at: Column, moved: Column, other: Column) -> Column:
+        hot = (at - other >= width) & (F.lit(math.log2(width)) - moved["sum"] / width >= least)
+        apart = hot & (state["hi"] >= 0) & (state["hi"] < at - width + 1)
+        past = F.array(F.struct(state["lo"].alias("lo"), state["hi"].alias("hi")))
         return F.struct(
-            state["codes"].alias("codes"),
             moved["counts"].alias("counts"),
             moved["sum"].alias("sum"),
-            F.when(hot & (state["lo"] < 0), at - width + 1).otherwise(state["lo"]).alias("lo"),
+            F.when(apart | hot & (state["lo"] < 0), at - width + 1).otherwise(state["lo"]).alias("lo"),
             F.when(hot, at + 1).otherwise(state["hi"]).alias("hi"),
+            other.alias("other"),
+            F.when(apart, F.concat(state["past"], past)).otherwise(state["past"]).alias("past"),
         )
 
-    codes_of = lambda state: state["codes"]
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731  evaluated one time, used often
+
     start = F.struct(
-        codes.alias("codes"),
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
         F.lit(0.0).alias("sum"),
         F.lit(-1).alias("lo"),
         F.lit(-1).alias("hi"),
+        F.lit(-1).alias("other"),
+        F.array().cast("array<struct<lo:int,hi:int>>").alias("past"),
     )
     places = F.sequence(F.lit(0), F.length(candidate) - 1)
-    return F.aggregate(places, start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    every = lambda s: F.concat(s["past"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    # the codes are no part of the state, which is copied at each step
+    return F.filter(once(codes, lambda c: F.aggregate(places, start, lambda s, at: step(c, s, at), every)), lambda w: w["lo"] >= 0)
 
 
 def entropy_spans(text: Column, found: Column, name: str) -> Column:
@@ -96,9 +113,9 @@ def entropy_spans(text: Column, found: Column, name: str) -> Column:
     def narrowed(span: Column) -> Column:
         candidate = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
         plain = F.upper(candidate) if name == "entropy_hex" else candidate
-        window = F.when(candidate.rlike(has) & ~candidate.rlike(ALLOWED), hot_window(plain, alphabet, width, least))
+        windows = F.when(candidate.rlike(has), hot_windows(F.regexp_replace(plain, PARTING, " "), alphabet, width, least))
         return F.transform(
-            F.filter(F.array(window), lambda w: w["lo"] >= 0),
+            F.filter(F.coalesce(windows, F.array().cast("array<struct<lo:int,hi:int>>")), lambda w: ~F.substring(candidate, w["lo"] + 1, w["hi"] - w["lo"]).rlike(ALLOWED)),
             lambda w: F.struct((span["start"] + w["lo"]).alias("start"), F.lit(kind).alias("kind"), (span["start"] + w["hi"]).alias("stop")),
         )
 
@@ -113,8 +130,8 @@ def written(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of every row, over the whole text.
 
-    Base spans are the matches of the three fixed patterns. The method adds, per character class, the stretch of each
-    candidate string whose sliding windows reach the class's entropy, unless it is on the allow-list or overlaps a
+    Base spans are the matches of the three fixed patterns. The method adds, per character class, every stretch of
+    a candidate string whose sliding windows reach the class's entropy, unless it is on the allow-list or overlaps a
     base span. A span is kind:start:end in code points, end exclusive, in order of start, then kind.
 
     A null text is empty: no spans. Null ids and repeated rows are scanned like others. Other columns are ignored; an

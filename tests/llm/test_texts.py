@@ -64,6 +64,19 @@ def test_entropy_windows(spark):
     assert got[7] == "" and got[8] == "" and got[9] == ""
 
 
+def test_secrets_in_parts_and_single_case(spark):
+    a, b = "kJ8sQ2vX9zLm4NpR7tYw3BcD6fGh1AaE", "Zq7Wm2Xc9Vb4Ny6Lk1Jh8Gf3Ds5TpRoU"
+    lower, upper = "k3v9q2x7m4z8w1p6t5r0y2b7n9", "GEZDGNBVGY3TQOJQKV4WM2XC7P"
+    texts = [f"see https://host.com/sample/{a} now", f"{a}{'/aaaa' * 12}/{b}", f"my {lower} here", f"my {upper} here", f"pre {a[:12]}EXAMPLE{a[12:24]} x", "word" * 12 + "1"]
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in scan_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    spans = lambda i, kind: [texts[i][int(x):int(y)] for k, x, y in got[i] if k == kind]
+    assert len(spans(0, "entropy_base64")) == 1 and spans(0, "entropy_base64")[0].strip("/") == a
+    first, second = spans(1, "entropy_base64")
+    assert first.startswith(a) and second.endswith(b) and len(first + second) < len(texts[1]) - 20
+    assert spans(2, "entropy_lower") == [lower] and spans(3, "entropy_upper") == [upper]
+    assert got[4] == got[5] == []
+
+
 def test_secrets_of_an_empty_table(spark):
     assert scan_secrets(docs(spark, SECRETS and [(1, "x")]).where("false")).count() == 0
     assert re.fullmatch(ACCESS, "AKIA" + "A" * 14) and re.fullmatch(HEX, "0" * 16)
