@@ -1,7 +1,7 @@
 """The operators of this subpackage bound to the given tables, with production parameters.
 
-None of them has SQL that DuckDB could run beside it on whole tables; the tests in ``tests/llm`` hold each against a
-brute-force version instead.
+Operators 11 to 13 have SQL that DuckDB can run beside them on whole tables; the tests in ``tests/llm`` hold the others
+against a brute-force version instead.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialoom.llm.ads_search import nearest
+from medialoom.llm.collocations import collocations
+from medialoom.llm.hard_negatives import mine_negatives
 from medialoom.llm.html_main import extract_main_text
 from medialoom.llm.itq_neardup import embedding_components
 from medialoom.llm.jaccard_join import jaccard_components
@@ -19,6 +21,7 @@ from medialoom.llm.language import language_report
 from medialoom.llm.line_dedup import dedup_lines
 from medialoom.llm.mixing import mix
 from medialoom.llm.packing import pack
+from medialoom.llm.reply_trees import LEARNED, format_turns, read_back
 from medialoom.llm.secrets import scan_secrets
 from medialoom.llm.substring_dedup import dedup_substrings
 
@@ -69,7 +72,89 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, LEARNED, said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = read_back(F.col("formatted"), F.col("mask"))
+    out = format_turns(turns).withColumns(back)
+    lines = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("texts").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("op") and callable(fn)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS anchor_id, r.vec_id, q.label = r.label AS same, list_dot_product(q.e, r.e)::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5""",
+    "op12_reply_trees": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+said AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*)(/?s>|</?SYS>>|\|[A-Za-z0-9_]+\|>)', '\1\\\2\3', 'g'),
+    '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') AS escaped
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(escaped))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+words AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM listed GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*)::HUGEINT AS a
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+    FROM listed, (VALUES (1), (2), (3), (4), (5)) AS t(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING a >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, n, h.k AS cut, 1000 * c.a * n // (h.a * t.a) AS score
+  FROM grams c JOIN grams h ON h.lang = c.lang AND h.k < c.k AND starts_with(c.phrase, h.phrase || ' ')
+    JOIN grams t ON t.lang = c.lang AND t.k = c.k - h.k AND t.phrase = substring(c.phrase, length(h.phrase) + 2)
+    JOIN words ON words.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM grams g WHERE g.lang = b.lang AND length(g.phrase) > length(b.phrase) AND g.a >= b.a
+      AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000""",
+}
