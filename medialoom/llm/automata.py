@@ -9,6 +9,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
+import zstandard
 
 Words = tuple[bytes, ...]
 
@@ -78,10 +79,11 @@ class CountAutomaton:
         text = b"\n".join(self.words)
         head = struct.pack("<5q", len(self.words), len(text), len(self.starts), len(self.labels), len(self.counts))
         small = [np.asarray(x, np.int32).tobytes() for x in (self.starts, self.labels, self.targets)]
-        return b"".join([head, text, *small, np.packbits(self.final).tobytes(), np.asarray(self.counts, np.int64).tobytes()])
+        return zstandard.compress(b"".join([head, text, *small, np.packbits(self.final).tobytes(), np.asarray(self.counts, np.int64).tobytes()]))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountAutomaton:
+        data = zstandard.decompress(data)
         n_words, size, states, arcs, strings = struct.unpack_from("<5q", data)
         at = struct.calcsize("<5q")
         words = data[at : at + size].split(b"\n") if n_words else []

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ UNKNOWN = "und"
 
 BYTES_AT_ONCE = 4 << 20
 IDS_HELD, WINDOWS_HELD = 400_000, 1_000_000
-# Slots for counting: one for 16 words, at most 2^26, so that the two bitmaps sent to the executors have 16 MB at most.
-LEAST_BITS, MOST_BITS, CHUNK = 16, 26, 1 << 16
-WORDS_IN_RANGE = 1 << 24
+# Slots for counting: enough for rare words to stay far below the least count together, but at most 2^26, so that the
+# bitmaps sent to the executors have 24 MB at most. Words, pairs and triples have a bitmap each.
+LEAST_BITS, MOST_BITS, CHUNK, LEVELS = 16, 26, 1 << 16, 3
+WORDS_IN_RANGE = 1 << 20
 
 
 class WordIds(dict):
@@ -63,12 +66,9 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out * FINISH
 
 
-def word_slots(hashes: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(hashes, lang) >> np.uint64(64 - bits)
-
-
-def pair_slots(first: np.ndarray, second: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(mixed(first, second), lang) >> np.uint64(64 - bits)
+def slots(hashes: list[np.ndarray], lang: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of word sequences, from the hashes of their first words, of their second words, and so on."""
+    return mixed(reduce(mixed, hashes), lang) >> np.uint64(64 - bits)
 
 
 def range_of(first: np.ndarray, second: np.ndarray | None, bits: int) -> np.ndarray:
@@ -101,35 +101,33 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
         yield from held.items()
 
 
-def pair_places(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] != BREAK) & (ids[1:] != BREAK)
+def both(ok: np.ndarray) -> np.ndarray:
+    """From where sequences of a length may start to where those one word longer may."""
+    return np.append(ok[:-1] & ok[1:], False)
 
 
 def frequent_slots(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Two bitmaps over slots of word hashes and of word pair hashes: whether a slot's words, or pairs, count ``least``."""
+    """Bitmaps over slots of the hashes of words, pairs and triples: whether all that a slot holds counts ``least``."""
     dtype = np.uint8 if least < 256 else np.uint32
     top = min(least, np.iinfo(dtype).max)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << bits), dtype)
+        counts = np.zeros((LEVELS, 1 << bits), dtype)
         ids = WordIds()
         for lang, texts in slices(batches):
             code = word_hash(lang.encode())
             read = ids.read(texts)
-            hashes = ids.hashes
-            seen = np.bincount(read, minlength=2)
-            seen[BREAK] = 0
-            own = np.nonzero(seen)[0]
-            places = np.nonzero(pair_places(read))[0]
-            pairs = np.unique(pair_slots(hashes[read[places]], hashes[read[places + 1]], code, bits).astype(np.uint32), return_counts=True)
-            words = np.unique(word_slots(hashes[own], code, bits), return_inverse=True)
-            for level, (slot, n) in enumerate(((words[0], np.bincount(words[1], seen[own]).astype(np.int64)), pairs)):
-                counts[level][slot] = np.minimum(counts[level][slot].astype(np.int64) + n, top)
+            hashes, ok = ids.hashes[read], read != BREAK
+            for level in range(LEVELS):
+                places = np.nonzero(ok)[0]
+                slot, n = np.unique(slots([hashes[places + j] for j in range(level + 1)], code, bits).astype(np.uint32), return_counts=True)
+                counts[level][slot] = np.minimum(counts[level][slot] + n, top)
+                ok = both(ok)
             if len(ids) > IDS_HELD:
                 ids = WordIds()
         for level, row in enumerate(counts):
             for chunk in np.nonzero(row.reshape(-1, CHUNK).any(1))[0]:
-                part = row[chunk * CHUNK : (chunk + 1) * CHUNK].tobytes()
+                part = zstandard.compress(row[chunk * CHUNK : (chunk + 1) * CHUNK].tobytes())
                 yield pa.RecordBatch.from_pydict({"level": [level], "chunk": [int(chunk)], "counts": [part]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +142,13 @@ def frequent_slots(rows: DataFrame, least: int, bits: int) -> np.ndarray:
                     if at:
                         yield row()
                     at, total = (level.as_py(), chunk.as_py()), np.zeros(CHUNK, np.int64)
-                total = np.minimum(total + np.frombuffer(part.as_py(), dtype), least)
+                total = np.minimum(total + np.frombuffer(zstandard.decompress(part.as_py()), dtype), least)
         if at:
             yield row()
 
     sums = rows.mapInArrow(count, "level bigint, chunk bigint, counts binary").repartition("level", "chunk").sortWithinPartitions("level", "chunk")
-    out = np.zeros((2, (1 << bits) // 8), np.uint8)
-    for r in sums.mapInArrow(add, "level bigint, chunk bigint, bits binary").collect():  # of a fixed size, at most 16 MB
+    out = np.zeros((LEVELS, (1 << bits) // 8), np.uint8)
+    for r in sums.mapInArrow(add, "level bigint, chunk bigint, bits binary").collect():  # of a bounded size, at most 24 MB
         out[r["level"], r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -169,8 +167,9 @@ class Shard:
         self.windows: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.held = 0
 
-    def hit(self, level: int, slots: np.ndarray) -> np.ndarray:
-        return (self.bitmaps[level][slots >> np.uint64(3)] >> (7 - (slots & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    def hit(self, hashes: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
+        at = slots(hashes, lang, self.bits)
+        return (self.bitmaps[len(hashes) - 1][at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         code, read = word_hash(lang.encode()), self.ids.read(texts)
@@ -183,22 +182,23 @@ class Shard:
         self.words[lang] = seen
         known = np.zeros(len(self.ids), bool)
         own = np.nonzero(seen)[0]
-        known[own] = self.hit(0, word_slots(hashes[own], code, self.bits))
-        places = np.nonzero(pair_places(read) & known[read[:-1]] & known[read[1:]])[0]
-        places = places[self.hit(1, pair_slots(hashes[read[places]], hashes[read[places + 1]], code, self.bits))]
-        if len(places):
-            run = np.zeros(len(read) + self.width, bool)
-            run[places] = True
-            window = np.full((len(places), self.width), EMPTY, np.int64)
-            window[:, 0] = read[places]
-            alive = np.ones(len(places), bool)
-            for j in range(1, self.width):
-                alive &= run[places + j - 1]
-                window[alive, j] = read[places[alive] + j]
+        known[own] = self.hit([hashes[own]], code)
+        ok, window = known[read], None
+        for length in range(2, self.width + 1):
+            ok = both(ok)
+            places = np.nonzero(ok)[0]
+            if length <= LEVELS:
+                fine = self.hit([hashes[read[places + j]] for j in range(length)], code)
+                ok[places[~fine]] = False
+                places = places[fine]
+            if window is None:
+                window, row = np.full((len(places), self.width), EMPTY, np.int64), np.zeros(len(read), np.int64)
+                row[places] = np.arange(len(places))
+                window[:, 0] = read[places]
+            window[row[places], length - 1] = read[places + length - 1]
+        if len(window):
             self.windows.setdefault(lang, []).append((window, np.ones(len(window), np.int64)))
             self.held += len(window)
-            if self.held > WINDOWS_HELD:
-                self.shrink()
 
     def shrink(self) -> None:
         """Equal windows become one with a count."""
@@ -212,6 +212,9 @@ class Shard:
         self.held = sum(len(parts[0][0]) for parts in self.windows.values())
 
     def full(self) -> bool:
+        """To be asked after every ``add``: words, or windows that differ, are as many as may be held."""
+        if self.held > WINDOWS_HELD // 2:
+            self.shrink()
         return len(self.ids) > IDS_HELD or self.held > WINDOWS_HELD // 2
 
     def given_out(self) -> Iterator[tuple[str, int, bytes]]:
@@ -220,7 +223,7 @@ class Shard:
         hashes = self.ids.hashes
         for lang, seen in self.words.items():
             own = np.nonzero(seen)[0]
-            own = own[self.hit(0, word_slots(hashes[own], word_hash(lang.encode()), self.bits))]
+            own = own[self.hit([hashes[own]], word_hash(lang.encode()))]
             one = np.full((len(own), self.width), EMPTY, np.int64)
             one[:, 0] = own
             window, n = self.windows[lang][0] if lang in self.windows else (one[:0], seen[:0])
@@ -250,7 +253,7 @@ def count_automata(rows: DataFrame, least: int, longest: int) -> tuple[DataFrame
     """The united automata ``(lang, range, automaton)``, the words ``(lang, n)`` of every language, and the ranges' bits."""
     size = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     words = size // 6 + 1
-    bits = min(MOST_BITS, max(LEAST_BITS, (words // 16).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * words // least).bit_length()))
     range_bits = max(4, (words // WORDS_IN_RANGE).bit_length())
     bitmaps = rows.sparkSession.sparkContext.broadcast(frequent_slots(rows, least, bits))
 
@@ -328,9 +331,9 @@ def collocations(
 
     At every place the window of up to ``longest`` words counts, and a phrase's count is the sum over the windows that
     start with it. A shard sorts its windows and builds count automata from them, cut by prefix range; the automata of a
-    range are united, and the parts of candidates are composed with them. Windows end where a word or a pair of words can't
-    occur ``least`` times, which two tables of hashed counts over all texts tell. Their size is bounded, and they decide
-    only how much is shuffled. Ranges grow in number with the texts, so none grows in size.
+    range are united, and the parts of candidates are composed with them. Windows end where a word, a pair or a
+    triple can't occur ``least`` times, which tables of hashed counts over all texts tell. Their size is bounded, and they
+    decide only how much is shuffled. Ranges grow in number with the texts, so none grows in size.
 
     A null text is empty, a null language is ``und``; very long texts are read whole, in parts of whole pieces. Repeated rows count
     each. Other columns are ignored; an empty table gives an empty result.

@@ -76,7 +76,7 @@ def test_shards_and_flushes_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(module, "WINDOWS_HELD", 50)
     monkeypatch.setattr(module, "BYTES_AT_ONCE", 100)
     assert [b for t in (b"abc. d" * 50, b"x" * 500) for b in [b"".join(module.cut_long(t))]] == [b"abc. d" * 50, b"x" * 500]
-    every = np.full((2, (1 << 16) // 8), 255, np.uint8)
+    every = np.full((module.LEVELS, (1 << 16) // 8), 255, np.uint8)
     one, total = module.Shard(every, 16, 4, 5), Counter()
     for text, lang in rows:
         for part in module.cut_long((text or "").encode()):
