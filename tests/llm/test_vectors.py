@@ -79,6 +79,48 @@ def test_recall_with_production_parameters(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_at_a_larger_size(spark):
+    """20,000 rows in overlapping groups: the lists are many more than at the given size, and far more are left out."""
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((60, 32))
+    x = centres[rng.integers(60, size=20_000)] + 0.7 * rng.standard_normal((20_000, 32))
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 400 == 0).collect()
+    assert len(got) == 50 * 20
+    hits = 0
+    for i in range(0, 20_000, 400):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len({r.vec_id for r in got if r.query_id == i} & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 1000
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one id are one row: as a query they get k distinct rows, as candidates they are found once."""
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    for repeats in (2, 41):
+        more = [rows[20]] * (repeats - 1) + [rows[7]] * 3
+        got = nearest(spark.createDataFrame(rows + more, SCHEMA), F.col("vec_id") % 20 == 0, k=20).collect()
+        for i in (0, 20, 40):
+            score = x @ x[i]
+            score[i] = -np.inf
+            mine = sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)
+            assert [r.rank for r in mine] == list(range(1, 21))
+            assert [r.vec_id for r in mine] == np.argsort(-score, kind="stable")[:20].tolist()
+    unlike = [(5, [9.0] * 8, 1, "x"), (5, [-9.0] * 8, 1, "x")]
+    got = nearest(spark.createDataFrame(rows[:5] + rows[6:] + unlike, SCHEMA), F.lit(True), k=100).collect()
+    assert len({(r.query_id, r.vec_id) for r in got}) == len(got) == 60 * 59
+    assert {r.score for r in got if r.query_id == 5 and r.vec_id == 8} == {float(np.einsum("i,i", [-9.0] * 8, x[8]))}
+
+
+def test_shorter_vectors_end_in_zeros(spark):
+    rows = [(0, [1.0, 2.0], 1, ""), (1, [3.0], 1, ""), (2, [0.0, 1.0, 7.0], 1, "")]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 3.0), (0, 2, 2, 2.0)]
+
+
 def test_nearest_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, ""), (1, [1.0, 1.0], 1, ""), (2, [1.0, 1.0], 1, "")], SCHEMA)
     got = [tuple(r) for r in nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
