@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -34,6 +33,7 @@ from medialoom.functions.lexemes import (
     POSITIVE_LABELS,
     SPAN_BOUNDARY,
 )
+from medialoom.operators.similarity import top_k_by_lists, top_k_similar  # noqa: F401
 
 # Thresholds of the gate and the similarity match.
 GATE_SCORE, LABEL_SCORE, LABELS_KEPT = 0.35, 0.20, 3
@@ -278,112 +278,6 @@ def build_candidates(filtered: DataFrame) -> DataFrame:
     )
 
 
-# --- similarity search -------------------------------------------------------------------------------
-
-MAX_TABLE_BYTES = 256 << 20
-
-
-def _unit_rows(vectors) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype="float64").reshape(len(vectors), -1)
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=m, where=length > 0)
-
-
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise top ``k`` by score, then by column order (columns are sorted by id)."""
-    rounded = np.round(scores, 6)
-    order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-    return order, np.take_along_axis(rounded, order, axis=1)
-
-
-def top_k_similar(
-    queries: DataFrame,
-    table: DataFrame,
-    query_id: str,
-    table_id: str,
-    k: int = TOP_K,
-    threshold: float | None = None,
-    max_bytes: int = MAX_TABLE_BYTES,
-) -> DataFrame:
-    """Exact ``k`` most similar table vectors of each query vector (column ``vec`` on both sides).
-
-    The table is a dictionary of bounded size. Its bytes are counted first; tables within ``max_bytes`` are
-    held by every task as one matrix and each Arrow batch of queries costs one matrix product. A larger
-    table is searched in slices of that size and the best of all slices kept, so results stay exact.
-    """
-    slim = table.select(F.col(table_id).cast("string").alias("hit_id"), "vec")
-    size = slim.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("width")
-    ).first()
-    slices = max(1, -(-size["n"] * size["width"] * 8 // max_bytes))
-    parts = [
-        _search_slice(queries, slim.filter(F.pmod(F.xxhash64("hit_id"), F.lit(slices)) == i), query_id, k, threshold)
-        for i in range(slices)
-    ]
-    if slices == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    from medialoom.functions.ranking import top_n
-
-    ranked = top_n(merged.drop("rank"), [query_id], [F.col("score").desc(), F.col("hit_id")], k)
-    return ranked.withColumn("rank", F.col("rank").cast("int"))
-
-
-def _search_slice(queries, piece, query_id, k, threshold):
-    spark = queries.sparkSession
-    rows = piece.orderBy("hit_id").toPandas()
-    if rows.empty:
-        schema = StructType([queries.schema[query_id]])
-        return spark.createDataFrame([], schema).selectExpr(
-            query_id, "cast(null as int) rank", "cast(null as string) hit_id", "cast(null as double) score"
-        )
-    held = spark.sparkContext.broadcast((rows["hit_id"].to_numpy(), _unit_rows(rows["vec"])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = held.value
-        for batch in batches:
-            if batch.empty:
-                continue
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                order, score = _best(_unit_rows(part["vec"]) @ matrix.T, k)
-                width = order.shape[1]
-                out = pd.DataFrame(
-                    {
-                        query_id: np.repeat(part[query_id].to_numpy(), width),
-                        "rank": np.tile(np.arange(1, width + 1, dtype="int32"), len(part)),
-                        "hit_id": names[order.ravel()],
-                        "score": score.ravel(),
-                    }
-                )
-                yield out if threshold is None else out[out["score"] >= threshold]
-
-    kind = queries.schema[query_id].dataType.simpleString()
-    return queries.select(query_id, "vec").mapInPandas(
-        search, f"{query_id} {kind}, rank int, hit_id string, score double"
-    )
-
-
-def similar_lsh(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_distance: float, bucket: float = 1.0
-) -> DataFrame:
-    """Approximate neighbours within a Euclidean distance of unit vectors, for two large sides."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=4, seed=42
-    )
-    a = left.select(F.col(left_id), array_to_vector("vec").alias("v"))
-    b = right.select(F.col(right_id), array_to_vector("vec").alias("v"))
-    model = lsh.fit(a)
-    joined = model.approxSimilarityJoin(a, b, max_distance, "distance")
-    return joined.select(
-        F.col(f"datasetA.{left_id}").alias(left_id),
-        F.col(f"datasetB.{right_id}").alias(right_id),
-        (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("score"),
-    )
-
-
 # --- emotion spans -----------------------------------------------------------------------------------
 
 
@@ -393,7 +287,7 @@ def hit_lists(keywords: DataFrame, lexicon: DataFrame, word_vectors, lexicon_vec
     Searching distinct keywords, not tokens, keeps the work proportional to the vocabulary.
     """
     vocabulary = keywords.select("keyword_text").filter(F.col("keyword_text").isNotNull()).distinct()
-    hits = top_k_similar(word_vectors(vocabulary), lexicon_vectors, "keyword_text", "word", **search)
+    hits = top_k_similar(word_vectors(vocabulary), lexicon_vectors, "keyword_text", "word", k=TOP_K, **search)
     entry = F.struct(
         "rank",
         "score",

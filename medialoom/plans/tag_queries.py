@@ -95,8 +95,8 @@ def vector_topk(spark, sf):
 @query("vector_topk_lsh")
 def vector_topk_lsh(spark, sf):
     queries = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    near = G.similar_lsh(queries, V.lexicon_vectors(spark, sf).select("word", "vec"), "vec_id", "word", 0.5)
-    return near.select("vec_id", "word", round4(F.col("score")).alias("score"))
+    near = G.top_k_by_lists(queries, V.lexicon_vectors(spark, sf), "vec_id", "word")
+    return near.select("vec_id", "rank", F.col("hit_id").alias("word"), "score")
 
 
 _SPAN = """SELECT doc_id, sentence_id, start_offset::BIGINT AS start_offset, end_offset::BIGINT AS end_offset, matched_word, score
