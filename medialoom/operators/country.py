@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions.columns import ratio, round4
 from medialoom.functions.ranking import top_n
+from medialoom.operators.terms import FEW_TERMS, term_hits
 
 # Marks and weights of the approach scorecard, and its acceptance marks.
 MARKS = {
@@ -32,7 +33,8 @@ def _views() -> Column:
 def issue_records(context: DataFrame, countries: list[str], issues: list[str], date_from: str, date_to: str) -> DataFrame:
     """Usable videos with the issues their title, keywords or issue names mention, in configured order.
 
-    All conditions are plain filters on the scan; the few issue texts are literals.
+    All conditions are plain filters on the scan. A few issue texts are literals; more are searched by one automaton in
+    title and keywords, which a zero character parts.
     """
     kept = context.filter(
         F.upper("country").isin(*[c.upper() for c in countries])
@@ -42,6 +44,9 @@ def issue_records(context: DataFrame, countries: list[str], issues: list[str], d
         & (F.coalesce("video_id", F.lit("")) != "")
     )
 
+    if len(issues) > FEW_TERMS:
+        return issues_by_terms(kept, issues)
+
     def mentions(issue: str) -> Column:
         text = F.lit(issue.lower())
         return F.contains(F.lower("title"), text) | F.exists("keywords", lambda k: F.contains(F.lower(k), text))
@@ -50,6 +55,16 @@ def issue_records(context: DataFrame, countries: list[str], issues: list[str], d
     return kept.withColumn("issues", matched).filter(F.size("issues") > 0)
 
 
+def issues_by_terms(kept: DataFrame, issues: list[str]) -> DataFrame:
+    """Rows of ``kept(video_id, title, keywords, ...)`` with the issues they mention, in the order of ``issues``."""
+    spark = kept.sparkSession
+    listed = spark.createDataFrame([(i.lower(), n, i) for n, i in enumerate(issues)], "term string, place int, issue string")
+    text = F.lower(F.concat_ws("\x00", "title", F.array_join("keywords", "\x00")))
+    found = term_hits(kept.select("video_id", text.alias("text")), ["video_id"], "text", listed.select("term"))
+    named = found.join(listed, "term").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("place", "issue"))).alias("_issues"))
+    return kept.join(named, "video_id").withColumn("issues", F.col("_issues.issue")).drop("_issues")
+
+
 def balanced_sample(records: DataFrame, issues: list[str], size: int) -> DataFrame:
     """Equal newest share per issue without repeats, topped up with the newest of the rest.
 

@@ -15,6 +15,7 @@ from medialoom.functions.columns import ratio, round4
 from medialoom.functions.ranking import dense_position, first_per_key, top_n
 from medialoom.operators.graph import RELEVANCE
 from medialoom.operators.scoring import check_weights
+from medialoom.operators.terms import FEW_TERMS, term_hits
 from medialoom.operators.text import text_template
 
 # Confirmation bounds, gate tolerance, grids and named weight sets.
@@ -157,7 +158,16 @@ def threshold_grid(hits: DataFrame, gold: DataFrame, n: int = 5) -> DataFrame:
 
 
 def keyword_hits(rows: DataFrame, targets: list[str]) -> DataFrame:
-    """Predicted sentences that contain target words; the words are literals."""
+    """Predicted sentences that contain target words, in the order of ``targets``.
+
+    A few words are literals; more are searched by one automaton in the distinct sentences.
+    """
+    if len(targets) > FEW_TERMS:
+        listed = rows.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(targets))), "place int, term string")
+        pred = rows.filter("pred")
+        hits = term_hits(pred.select("sentence_text").distinct(), ["sentence_text"], "sentence_text", listed)
+        per = hits.join(listed, "term").groupBy("sentence_text").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("_found"))
+        return pred.join(per, "sentence_text").withColumn("matched", F.col("_found.term")).select(*pred.columns, "matched")
     found = F.array_compact(F.array(*[F.when(F.contains("sentence_text", F.lit(w)), F.lit(w)) for w in targets]))
     return rows.filter("pred").withColumn("matched", found).filter(F.size("matched") > 0)
 

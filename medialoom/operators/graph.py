@@ -18,12 +18,15 @@ from medialoom.functions.columns import (
     let,
     literal_count,
     round4,
+    squeeze,
     strip,
     tokens,
 )
 from medialoom.functions.lexemes import DEFAULT_ISSUE_KEYWORDS, SEARCH_STOPWORDS
 from medialoom.functions.ranking import top_n
 from medialoom.functions.vectors import dot
+from medialoom.operators.terms import FEW_TERMS, term_hits
+from medialoom.session import materialize
 
 # Relevance weights, similarity cut, view scale and list lengths.
 RELEVANCE = {
@@ -180,8 +183,48 @@ def search_score(terms: list[str], hay: Column) -> tuple[Column, Column]:
     return matched, score
 
 
+def needles(terms: DataFrame) -> DataFrame:
+    """``(term, needle, points, word)``: a term counts two points an occurrence, each of its words one.
+
+    ``word`` tells words from the whole term; a word that the term holds twice counts twice.
+    """
+    term = F.lower(strip(F.col("term"))).alias("term")
+    each = terms.select(term).filter("term <> ''").distinct()
+    split = F.split(squeeze(F.translate(F.col("term"), "-/", "  ")), " ")
+    words = each.select("term", F.explode(split).alias("needle")).filter(~F.lower("needle").isin(*SEARCH_STOPWORDS) & (F.col("needle") != ""))
+    words = words.groupBy("term", "needle").agg(F.count(F.lit(1)).cast("double").alias("points")).withColumn("word", F.lit(True))
+    return each.select("term", F.col("term").alias("needle"), F.lit(2.0).alias("points"), F.lit(False).alias("word")).unionByName(words)
+
+
+def search_videos_by_terms(context: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """``search_videos`` for any number of terms: one pass over the texts, then a join of what was found.
+
+    A term matches where all its words occur, and a term without words where it occurs itself. So a text is joined to the
+    terms whose rarest word it holds, and only those are tried.
+    """
+    wanted = materialize(needles(terms), "needles")
+    texts = context.withColumn("_hay", haystack())
+    found = term_hits(texts, ["video_id"], "_hay", wanted.select(F.col("needle").alias("term"))).withColumnRenamed("term", "needle")
+    found = materialize(found, "found")
+    spread = found.groupBy("needle").agg(F.count(F.lit(1)).alias("_texts"))
+    words = wanted.filter("word").join(spread, "needle", "left").groupBy("term").agg(
+        F.min_by("needle", F.struct(F.coalesce("_texts", F.lit(0)), "needle")).alias("rarest"), F.collect_list(F.struct("needle", "points")).alias("words")
+    )
+    tried = wanted.filter("NOT word").select("term").join(words, "term", "left").withColumn("rarest", F.coalesce("rarest", "term"))
+    held = found.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("needle", "n"))).alias("_held"))
+    met = held.select("video_id", "_held", F.explode(F.map_keys("_held")).alias("rarest")).join(tried, "rarest")
+    count = lambda needle: F.coalesce(F.try_element_at("_held", needle), F.lit(0)).cast("double")
+    every = F.coalesce(F.forall("words", lambda w: F.map_contains_key("_held", w["needle"])), F.lit(True))
+    points = F.coalesce(F.aggregate("words", F.lit(0.0), lambda s, w: s + w["points"] * count(w["needle"])), F.lit(0.0))
+    hits = met.filter(every).groupBy("video_id").agg(F.sum(points + 2.0 * count(F.col("term"))).alias("_points"))
+    scored = context.join(hits, "video_id").withColumn("score", round4(base_score() + F.col("_points"))).drop("_points")
+    return top_n(scored, ["country"], [F.col("score").desc(), F.col("video_id")], n)
+
+
 def search_videos(context: DataFrame, terms: list[str], n: int) -> DataFrame:
-    """Best matches of every country; the terms are literals, so matching needs no join."""
+    """Best matches of every country. A few terms are literals of one expression, more are searched by an automaton."""
+    if len(terms) > FEW_TERMS:
+        return search_videos_by_terms(context, context.sparkSession.createDataFrame([(t,) for t in terms], "term string"), n)
     matched, points = search_score(terms, F.col("_hay"))
     scored = context.withColumn("_hay", haystack()).filter(matched).withColumn("score", round4(base_score() + points))
     return top_n(scored.drop("_hay"), ["country"], [F.col("score").desc(), F.col("video_id")], n)

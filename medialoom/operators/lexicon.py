@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.functions.columns import among, bounded_broadcast, let, round4, strip, tokens
+from medialoom.functions.columns import among, let, round4, strip, tokens
 from medialoom.functions.lexemes import (
     ADJECTIVE_NOUNS,
     BLOCK_PREDICATES,
@@ -29,6 +29,7 @@ from medialoom.functions.lexemes import (
 )
 from medialoom.functions.ranking import first_per_key, top_n
 from medialoom.operators.tagging import mark_blocked
+from medialoom.operators.terms import term_hits
 
 HANGUL = "[가-힣]"
 GENERIC = sorted({*LEXICON_BLACKLIST, *DESCRIPTOR_NOUNS, *GENERIC_NOUNS, *GENERIC_PREDICATES})
@@ -125,7 +126,7 @@ def surface_rows(cleaned: DataFrame, blocked: DataFrame, tag, script: str = HANG
     """Surface entries from word and root, first row per (text, polarity).
 
     A text is dropped when it is listed, contains a listed word once spaces are removed, or holds a general
-    word. The list is small, so the containment test is a broadcast anti join.
+    word. All listed words are searched at once, by one automaton.
     """
     texts = cleaned.filter(F.col("polarity").isNotNull()).select(
         "row_id", "polarity", "clean_seed", "category", F.posexplode(F.array("word", "word_root")).alias("place", "embed_text")
@@ -134,8 +135,10 @@ def surface_rows(cleaned: DataFrame, blocked: DataFrame, tag, script: str = HANG
         texts.filter((F.col("embed_text") != "") & F.col("embed_text").rlike(script)), ["embed_text", "polarity"], ["row_id", "place"]
     )
     listed = first.filter(~among(F.col("embed_text"), LEXICON_BLACKLIST) & ~among(F.col("embed_text"), RAW_BLACKLIST))
-    words = bounded_broadcast(blocked.select(F.replace("word", F.lit(" "), F.lit("")).alias("_w")).filter("_w <> ''"))
-    clear = listed.join(words, F.contains(F.replace("embed_text", F.lit(" "), F.lit("")), F.col("_w")), "left_anti")
+    words = blocked.select(F.replace("word", F.lit(" "), F.lit("")).alias("term"))
+    compact = listed.select("embed_text", F.replace("embed_text", F.lit(" "), F.lit("")).alias("_compact")).distinct()
+    holding = term_hits(compact, ["embed_text"], "_compact", words).select("embed_text").distinct()
+    clear = listed.join(holding, "embed_text", "left_anti")
     each = clear.select("embed_text", "polarity", F.explode(content_tokens(F.col("embed_text"), tag, script)).alias("_t"))
     generic = mark_generic(each.select("embed_text", "polarity", F.col("_t.form").alias("form")), blocked, "form")
     bad = generic.filter("generic").select("embed_text", "polarity").distinct()

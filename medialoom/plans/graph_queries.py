@@ -8,6 +8,7 @@ from medialoom.functions.columns import round4
 from medialoom.functions.vectors import cosine, unit
 from medialoom.functions.lexemes import SEARCH_STOPWORDS
 from medialoom.operators import graph as P
+from medialoom.operators.terms import term_hits
 from medialoom.plans.registry import query
 from medialoom.plans.sqlviews import VIEWS, s_in, s_round4, with_views
 from medialoom.session import materialize
@@ -204,6 +205,40 @@ def search_rank(spark, sf):
     return P.search_videos(Graph(spark, sf).context(), TERMS, N).select("country", "rank", "video_id", "score")
 
 
+_COUNT = "(length(hay) - length(replace(hay, {0}, ''))) // length({0})"
+
+
+@query(
+    "search_rank_terms",
+    with_views(
+        "ctx",
+        f"""WITH terms AS (SELECT DISTINCT lower(keywords[1] || ' ' || keywords[2]) AS term FROM ctx WHERE len(keywords) >= 2),
+        split AS (SELECT term, list_filter(string_split_regex(trim(translate(term, '-/', '  ')), ' +'), lambda w: w <> '' AND lower(w) NOT IN {s_in(SEARCH_STOPWORDS)}) AS words FROM terms),
+        hits AS (SELECT video_id, {_COUNT.format('term')} * 2 + list_sum([0] || list_transform(words, lambda w: {_COUNT.format('w')})) AS points
+        FROM split JOIN ctx ON contains(hay, term) OR len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(hay, w))) = 0),
+        scored AS (SELECT country, video_id, {s_round4(f'{_BASE} + points')} AS score FROM ctx JOIN (SELECT video_id, sum(points)::DOUBLE AS points FROM hits GROUP BY 1) USING (video_id))
+        SELECT * FROM (SELECT country, row_number() OVER (PARTITION BY country ORDER BY score DESC, video_id)::INT AS rank, video_id, score FROM scored) WHERE rank <= 5""",
+    ),
+)
+def search_rank_terms(spark, sf):
+    context = materialize(Graph(spark, sf).context(), "context")
+    terms = context.filter(F.size("keywords") >= 2).select(F.concat_ws(" ", F.col("keywords")[0], F.col("keywords")[1]).alias("term"))
+    return P.search_videos_by_terms(context, terms, N).select("country", "rank", "video_id", "score")
+
+
+@query(
+    "term_counts",
+    """WITH terms AS (SELECT DISTINCT substr(text, 1, 12) AS term FROM documents WHERE length(text) >= 12)
+    SELECT term, count(*) AS n_docs, sum((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n
+    FROM terms JOIN documents ON contains(text, term) GROUP BY 1""",
+)
+def term_counts(spark, sf):
+    """In how many documents, and how often, the first words of any document occur."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    terms = docs.filter(F.length("text") >= 12).select(F.substring("text", 1, 12).alias("term"))
+    return term_hits(docs, ["doc_id"], "text", terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
+
+
 @query(
     "term_expand",
     """WITH t AS (SELECT DISTINCT p_name AS term FROM part), w AS (SELECT term, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (
