@@ -653,28 +653,35 @@ def kmeans_clusters(items: DataFrame, k: int | None = None, seeds: int = 10) ->
 def compare_unknown(requests: DataFrame, pool: DataFrame, context: DataFrame, n: int) -> DataFrame:
     """Best pool candidates per country for videos the graph does not hold.
 
-    ``requests(event_id, selected_id, keyword)``: the keyword is the only signal such a source has. Matches
-    are found once per distinct keyword, then joined to the requests.
+    ``requests(event_id, selected_id, keyword)``: the keyword is the only signal such a source has. Candidates that hold
+    it are searched once per distinct keyword. Of the others a country's first ``n`` are the same for every keyword, so
+    these few are all that is put beside each of them.
     """
-    side = context.join(bounded_broadcast(pool.select("video_id")), "video_id", "left_semi").select(
-        "video_id",
-        "country",
-        haystack().alias("_hay"),
-        is_success().alias("analysis_success"),
-        view_score().alias("view_score"),
-        (F.coalesce("published_at", F.lit("")) != "").alias("has_date"),
-    )
-    hit = F.contains("_hay", F.lower("keyword"))
-    words = requests.select("keyword").distinct()
-    met = words.join(bounded_broadcast(side)).withColumns(
-        {
-            "issue_overlap_count": F.lit(0),
-            "shared_keyword_count": F.when(hit, 1).otherwise(0),
-            "shared_entity_count": F.lit(0),
-            "semantic": F.lit(None).cast("double"),
-        }
+    side = materialize(
+        context.join(bounded_broadcast(pool.select("video_id")), "video_id", "left_semi").select(
+            "video_id",
+            "country",
+            haystack().alias("_hay"),
+            is_success().alias("analysis_success"),
+            view_score().alias("view_score"),
+            (F.coalesce("published_at", F.lit("")) != "").alias("has_date"),
+            F.lit(0).alias("issue_overlap_count"),
+            F.lit(0).alias("shared_entity_count"),
+            F.lit(None).cast("double").alias("semantic"),
+        ),
+        "side",
     )
     total, _ = relevance()
+    words = requests.select("keyword").filter(F.col("keyword").isNotNull()).distinct().withColumn("_word", F.lower("keyword"))
+    found = term_hits(side, ["video_id"], "_hay", words.select(F.col("_word").alias("term"))).select("video_id", F.col("term").alias("_word"))
+    hits = words.join(found, "_word").select("keyword", "video_id")
+    head = top_n(side.withColumn("shared_keyword_count", F.lit(0)).withColumn("relevance", total), ["country"], rank_order(), n)
+    head = head.agg(F.collect_list("video_id").alias("_head"))
+    others = words.join(F.broadcast(head)).select("keyword", "_word", F.explode("_head").alias("video_id")).join(hits, ["keyword", "video_id"], "left_anti")
+    pairs = hits.withColumn("shared_keyword_count", F.lit(1)).unionByName(
+        others.select("keyword", "video_id", F.when(F.col("_word") == "", 1).otherwise(0).alias("shared_keyword_count"))
+    )
+    met = pairs.join(side.drop("_hay"), "video_id")
     best = top_n(met.withColumn("relevance", total), ["keyword", "country"], rank_order(), n)
     return requests.join(best, "keyword").select(
         "event_id", "selected_id", F.lit(False).alias("existing"), "country", "video_id", "rank", "relevance"

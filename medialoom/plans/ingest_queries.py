@@ -251,11 +251,11 @@ _EVENT_OUTCOME = "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' TH
 _JOBS = f"SELECT *, {_STATUS} FROM (SELECT request_id, {_COUNTS} FROM (SELECT 'rt-' || user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS request_id, {_EVENT_OUTCOME} FROM events) GROUP BY 1)"
 
 
-def event_outcomes(events):
+def event_outcomes(events, span="yyyyMMdd", *keep):
     kind = F.col("event_type")
     outcome = F.when(kind == "purchase", "success").when(kind == "error", "failed").when(kind == "view", "skipped").otherwise("queued")
-    request = F.concat_ws("-", F.lit("rt"), F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
-    return events.select(request.alias("request_id"), outcome.alias("outcome"))
+    request = F.concat_ws("-", F.lit("rt"), F.col("user_id").cast("string"), F.date_format("ts", span))
+    return events.select(*keep, request.alias("request_id"), outcome.alias("outcome"))
 
 
 @query("ingest_jobs", _JOBS)
@@ -390,3 +390,53 @@ def stream_log_sink(spark, sf):
     log = event_stream(spark, sf).select(F.col("ts").alias("created_at"), F.col("event_type").alias("source_endpoint"), F.col("user_id").alias("target_id"), "props")
     rows = X.log_stream(spark, log, "created_at", scratch_path(spark, "log"), scratch_path(spark, "log-second"), keep_days=14)
     return rows.groupBy("day", "source_endpoint").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- state over several batches ----------------------------------------------------------------------
+
+
+def in_files(parts, folder, first=0):
+    """The rows of every part as one more file group of a stream's folder."""
+    for n, part in enumerate(parts, first):
+        part.write.mode("overwrite").parquet(f"{folder}/part={n:02d}")
+
+
+_MONTHLY = _JOBS.replace("%Y%m%d", "%Y%m")
+
+
+@query("stream_job_states", _MONTHLY)
+def stream_job_states(spark, sf):
+    """The events in four files, the last of which repeats the first; between the second and the third the stream restarts."""
+    events = V.events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = event_outcomes(events, "yyyyMM", "event_id", "ts")
+    folder, out, state = (scratch_path(spark, name) for name in ("job-events", "job-states", "job-checkpoint"))
+    third = F.pmod(F.col("event_id"), F.lit(3))
+    parts = [rows.filter(third == n) for n in range(3)]
+    read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).option("basePath", folder)
+    in_files(parts[:2], folder)
+    X.run_job_states(spark, read.parquet(f"{folder}/*"), out, state, delay="400 days")
+    in_files([parts[2], parts[0]], folder, 2)
+    X.run_job_states(spark, read.parquet(f"{folder}/*"), out, state, delay="400 days")
+    return X.current_jobs(spark, out)
+
+
+@query(
+    "stream_upsert_buckets",
+    "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM events GROUP BY 1",
+)
+def stream_upsert_buckets(spark, sf):
+    """Four batches, the second taken into the base before the others arrive, and written once more after that."""
+    rows = V.events(spark, sf).select("user_id", "event_type", "value", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    table = X.BucketTable(spark, scratch_path(spark, "buckets"), rows.schema, ["user_id"], ["ts", "event_id"], "ts", buckets=16)
+    folder = scratch_path(spark, "upsert-events")
+    in_files([rows.filter(F.pmod(F.col("event_id"), F.lit(4)) == n) for n in range(4)], folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/*")
+
+    def write(batch, batch_id):
+        table.write(batch, batch_id)
+        if batch_id == 1:
+            table.compact()
+            table.write(batch, batch_id)
+
+    X.run_to_end(stream, write, scratch_path(spark, "upsert-checkpoint"))
+    return table.read().select("user_id", "event_type", "value", "event_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 
 from medialoom.operators.ingest import daily_counts, job_counts, job_status, latest_rows
 from medialoom.session import scratch_path
+from medialoom.streaming.buckets import BucketTable  # noqa: F401
+from medialoom.streaming.jobs import current_jobs, run_job_states  # noqa: F401
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -107,26 +110,60 @@ def job_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def log_stream(spark: SparkSession, stream: DataFrame, time: str, path: str, fallback: str, keep_days: int) -> DataFrame:
-    """Request log appended by day; a failed write goes to the second place; old days are dropped.
+    """Request log appended by day; a batch that can't be written goes to the second place; old days are dropped.
 
-    Readers see the days within ``keep_days`` of the newest one.
+    Readers see the days of both places within ``keep_days`` of the newest one. A batch that succeeds at the second try
+    leaves nothing in the other place, so it isn't read twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("day", F.to_date(time))
+        rows = batch.withColumn("day", F.to_date(time)).persist()
+        rows.count()  # an error of the batch itself is no reason to try another place
+        name = f"batch_id={batch_id}"
         for place in (path, fallback):
             try:
-                rows.write.mode("overwrite").partitionBy("day").parquet(os.path.join(place, f"batch_id={batch_id}"))
-                return
+                rows.write.mode("overwrite").partitionBy("day").parquet(os.path.join(place, name))
             except Exception:
+                remove(spark, os.path.join(place, name))
                 if place == fallback:
                     raise
+            else:
+                if place == path:
+                    remove(spark, os.path.join(fallback, name))
+                break
+        rows.unpersist()
 
     run_to_end(stream, write, scratch_path(spark, "log-state"))
-    newest = spark.read.parquet(path).agg(F.max("day")).first()[0]
-    if newest is not None:
-        drop_old_days(spark, path, newest.toordinal() - keep_days)
-    return spark.read.parquet(path).drop("batch_id")
+    return read_log(spark, [path, fallback], StructType([*stream.schema.fields]).add("day", "date"), keep_days)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it can be reached."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Py4JJavaError:
+        pass
+
+
+def read_log(spark: SparkSession, places: list[str], schema: StructType, keep_days: int) -> DataFrame:
+    """The rows of all places that hold any, after days that are too old have been dropped everywhere."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    held = []
+    for place in places:
+        root = hadoop.Path(place)
+        if root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(root, "batch_id=*/day=*")):
+            held.append(place)
+    if not held:
+        return spark.createDataFrame([], schema)
+    logs = [spark.read.schema(StructType([*schema.fields]).add("batch_id", "long")).parquet(p) for p in held]
+    newest = max(log.agg(F.max("day")).first()[0] for log in logs)
+    out = None
+    for place, log in zip(held, logs, strict=True):
+        drop_old_days(spark, place, newest.toordinal() - keep_days)
+        rows = log.filter(F.col("day") >= F.lit(newest) - F.expr(f"INTERVAL {keep_days} DAYS")).drop("batch_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def drop_old_days(spark: SparkSession, path: str, oldest: int) -> int:
