@@ -25,6 +25,7 @@ from medialoom.functions.columns import (
 from medialoom.functions.lexemes import DEFAULT_ISSUE_KEYWORDS, SEARCH_STOPWORDS
 from medialoom.functions.ranking import top_n
 from medialoom.functions.vectors import dot
+from medialoom.operators.clusters import kmeans_clusters  # noqa: F401
 from medialoom.operators.terms import FEW_TERMS, term_hits
 from medialoom.session import materialize
 
@@ -635,21 +636,6 @@ def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def kmeans_clusters(items: DataFrame, k: int | None = None, seeds: int = 10) -> DataFrame:
-    """Cluster of each item, best of several seeds; ``k`` follows the number of items unless given."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = items.count()
-    if n <= 1:
-        return items.select("id", F.lit(0).alias("cluster_id"))
-    k = min(k or max(2, min(5, -(-n // 6))), n)
-    data = items.select("id", array_to_vector("vec").alias("features"))
-    fits = [KMeans(k=k, seed=seed, maxIter=50).fit(data) for seed in range(42, 42 + seeds)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("id", F.col("prediction").alias("cluster_id"))
-
-
 def compare_unknown(requests: DataFrame, pool: DataFrame, context: DataFrame, n: int) -> DataFrame:
     """Best pool candidates per country for videos the graph does not hold.
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -393,31 +395,31 @@ def dictionary_spans(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 def resolve_overlaps(spans: DataFrame, group: list[str], priority: Column) -> DataFrame:
     """Greedy choice of non-overlapping spans per sentence, best priority first, then input order ``seq``.
 
-    Spans are first cut into runs that touch (a running maximum of the ends), and only the spans of one run
-    are folded together: a list never grows beyond one run of overlapping spans.
+    A sentence's spans stream by in that order after one shuffle and a sort. The kept ones are held in order of place; as
+    they don't overlap, their ends are in order too, and a span is tried against one neighbour only. Spans without a start
+    or an end are left out; an end is not before its start.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group).orderBy("start_offset", "end_offset", "seq")
-    reach = F.max("end_offset").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("_new", F.when(F.col("start_offset") < reach, 0).otherwise(1))
-    runs = opened.withColumn("_run", F.sum("_new").over(w)).withColumn("_p", priority)
-    item = F.struct("_p", "seq", "start_offset", "end_offset")
-    listed = runs.groupBy(*group, "_run").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    empty = F.array().cast("array<struct<_p:int,seq:bigint,start_offset:int,end_offset:int>>")
-
-    def clear(kept: Column, s: Column) -> Column:
-        return ~F.exists(
-            kept,
-            lambda r: (s["end_offset"] > r["start_offset"]) & (s["start_offset"] < r["end_offset"]),
-        )
-
-    kept = F.aggregate(
-        "_items",
-        empty,
-        lambda acc, s: F.when(clear(acc, s), F.concat(acc, F.array(s))).otherwise(acc),
-    )
-    return listed.select(*group, F.inline(kept)).drop("_p")
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = spans.select(*group, priority.cast("int").alias("_p"), "seq", "start_offset", "end_offset")
+    rows = rows.filter("start_offset IS NOT NULL AND end_offset IS NOT NULL")
+    rows = rows.repartition(tasks, *group).sortWithinPartitions(*group, "_p", "seq")
+    schema = rows.drop("_p").schema
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+        for batch in batches:
+            taken = []
+            keys = zip(*[batch.column(c).to_pylist() for c in group], strict=True)
+            for i, (key, start, stop) in enumerate(zip(keys, batch.column("start_offset").to_pylist(), batch.column("end_offset").to_pylist(), strict=True)):
+                if key != at:
+                    at, kept = key, []
+                before = bisect_left(kept, (stop,)) - 1
+                if before < 0 or kept[before][1] <= start:
+                    insort(kept, (start, stop))
+                    taken.append(i)
+            yield batch.select(schema.names).take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(choose, schema)
 
 
 def keep_filter(spans: DataFrame, keep: DataFrame | None, keyword: str = "keyword") -> DataFrame:
