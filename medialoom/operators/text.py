@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from medialoom.functions.columns import (
     SPACE,
@@ -25,6 +25,7 @@ from medialoom.functions.columns import (
 )
 from medialoom.functions.lexemes import CAPTION_LANGUAGES, FUNCTION_WORDS, TRANSITIONS
 from medialoom.functions.ranking import first_per_key
+from medialoom.session import materialize
 
 # Length bounds of the splitter and the sentence filter.
 MIN_CHARS = 5
@@ -97,12 +98,12 @@ def prepared_sentences(df: DataFrame, text: str, pieces: Column | None = None) -
 _TRANSITION = re.compile("|".join(map(re.escape, TRANSITIONS)))
 
 
-def _halves(left: str, right: str) -> tuple[str, str] | None:
+def _plain_halves(left: str, right: str) -> tuple[str, str] | None:
     left, right = left.strip(), right.strip()
     return (left, right) if min(len(left), len(right)) >= MIN_CHUNK else None
 
 
-def _cut_once(chunk: str) -> tuple[str, str] | None:
+def _plain_cut(chunk: str) -> tuple[str, str] | None:
     """Best single cut of an over-long chunk: at a transition phrase, else at whitespace near the limit."""
     for hit in _TRANSITION.finditer(chunk):
         at = hit.start()
@@ -116,16 +117,16 @@ def _cut_once(chunk: str) -> tuple[str, str] | None:
                 return left, right
     last = min(CUT_TO, len(chunk) - MIN_CHUNK)
     spaces = [i for i in range(CUT_FROM, last + 1) if chunk[i].isspace()]
-    return _halves(chunk[: spaces[-1]], chunk[spaces[-1] :]) if spaces else None
+    return _plain_halves(chunk[: spaces[-1]], chunk[spaces[-1] :]) if spaces else None
 
 
 def chunk_pieces(sentence: str) -> list[str]:
-    """Pieces of one sentence, each at most ``LONG_CHUNK`` characters unless it cannot be cut."""
+    """``cut_pieces`` of one string on the driver; the two are held against each other by a test."""
     done: list[str] = []
     todo = [sentence.strip()]
     while todo:
         chunk = todo.pop()
-        cut = _cut_once(chunk) if len(chunk) > LONG_CHUNK else None
+        cut = _plain_cut(chunk) if len(chunk) > LONG_CHUNK else None
         if cut is None:
             done.append(chunk)
         else:
@@ -133,22 +134,67 @@ def chunk_pieces(sentence: str) -> list[str]:
     return done
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _long_chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else chunk_pieces(t))
+_PHRASE = "|".join(map(re.escape, TRANSITIONS))
 
 
-def split_long(df: DataFrame, text: str) -> DataFrame:
-    """Korean split, then every over-long piece cut further; numbered per document.
+def _places(chunk: Column) -> Column:
+    """Starts of the transition phrases, from left to right without overlaps: lengths of what is between them and of them."""
+    phrases = F.regexp_extract_all(chunk, F.lit(_PHRASE), F.lit(0))
+    parts = let(phrases, lambda p: F.arrays_zip(F.slice(F.split(chunk, _PHRASE, -1), F.lit(1), F.size(p)).alias("gap"), p.alias("phrase")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = s["at"] + F.length(x["gap"])
+        return F.struct((here + F.length(x["phrase"])).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))
+
+    return F.when(chunk.rlike(_PHRASE), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast("array<int>"))
+
+
+def _halves(left: Column, right: Column) -> Column:
+    return let(F.array(left, right), lambda halves: F.when(F.forall(halves, lambda h: F.length(h) >= MIN_CHUNK), halves))
+
+
+def _cut_once(chunk: Column) -> Column:
+    """Best single cut of an over-long chunk: at a transition phrase or the comma before it, else at whitespace near the limit."""
+    before = lambda at: F.btrim(F.left(chunk, at), F.lit(" ,"))
+    after = lambda at: strip(F.substring(chunk, at + 1, F.length(chunk)))
+
+    def options(at: Column) -> Column:
+        back = F.instr(F.reverse(F.left(chunk, at)), ",")
+        return F.array(_halves(before(at), after(at)), F.when(back > 0, _halves(before(at - back), after(at - back + 1))))
+
+    at_phrase = F.get(F.filter(F.flatten(F.transform(_places(chunk), options)), lambda o: o.isNotNull()), 0)
+    last = F.least(F.lit(CUT_TO), F.length(chunk) - MIN_CHUNK)
+    back = F.regexp_instr(F.reverse(F.substring(chunk, F.lit(CUT_FROM + 1), last - CUT_FROM + 1)), F.lit(SPACE))
+    at_space = F.when((last >= CUT_FROM) & (back > 0), _halves(strip(F.left(chunk, last - back + 1)), after(last - back + 1)))
+    return F.coalesce(at_phrase, at_space)
+
+
+def cut_pieces(sentence: Column) -> Column:
+    """Pieces of one sentence, each at most ``LONG_CHUNK`` characters unless it cannot be cut.
 
-    Only over-long pieces cross into Python: the rest of the array is passed on unchanged.
+    A fold over rounds: each cuts every open piece once, and closes those that are short or can't be cut. A cut leaves at
+    least ``MIN_CHUNK`` characters on either side, which bounds the rounds.
     """
+    piece = lambda text, open_: F.struct(text.alias("text"), open_.alias("open"))
+    too_long = lambda text: F.length(text) > LONG_CHUNK
+
+    def once(x: Column) -> Column:
+        parts = let(_cut_once(x["text"]), lambda cut: F.when(cut.isNull(), F.array(piece(x["text"], F.lit(False)))).otherwise(F.transform(cut, lambda t: piece(t, too_long(t)))))
+        return F.when(x["open"], parts).otherwise(F.array(x))
+
+    whole = let(strip(sentence), lambda t: F.array(piece(t, too_long(t))))
+    rounds = F.sequence(F.lit(0), F.floor(F.length(sentence) / MIN_CHUNK).cast("int"))
+    step = lambda pieces, _: F.when(F.exists(pieces, lambda x: x["open"]), F.flatten(F.transform(pieces, once))).otherwise(pieces)
+    return F.transform(F.aggregate(rounds, whole, step), lambda x: x["text"])
+
+
+def split_long(df: DataFrame, text: str) -> DataFrame:
+    """Korean split, then every over-long piece cut further; numbered per document."""
     clean = F.filter(F.transform(korean_pieces(F.col(text)), strip), lambda s: s != "")
     keep = [c for c in df.columns if c != text]
     pieces = df.select(*keep, F.posexplode(clean).alias("_piece", "_text"))
-    long_only = F.when(F.length("_text") > LONG_CHUNK, F.col("_text"))
-    cut = pieces.withColumn("_cut", F.coalesce(_long_chunks(long_only), F.array("_text")))
+    cut = pieces.withColumn("_cut", F.when(F.length("_text") > LONG_CHUNK, cut_pieces(F.col("_text"))).otherwise(F.array("_text")))
     return cut.select(
         *keep,
         F.col("_piece").alias("piece_id"),
@@ -279,8 +325,24 @@ def pick_track(tracks: DataFrame) -> DataFrame:
 LOOKBACK = 512
 
 
+def word_overlap(known: list[str], words: list[str]) -> int:
+    """Longest start of ``words`` that ``known`` ends with, by prefix function: one pass over both."""
+    fall, k = [0] * len(words), 0
+    for i in range(1, len(words)):
+        while k and words[i] != words[k]:
+            k = fall[k - 1]
+        k += words[i] == words[k]
+        fall[i] = k
+    k = 0
+    for word in known[max(0, len(known) - len(words)) :] if words else ():
+        while k and (k == len(words) or word != words[k]):
+            k = fall[k - 1]
+        k += word == words[k]
+    return k
+
+
 def _merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """New words of each segment of one block, given the block before it as context."""
+    """New words of each segment of one block, given segments before it as context."""
     pdf = pdf.sort_values("position", kind="stable")
     at_start = bool(pdf["is_first"].iloc[0])
     known: list[str] = []
@@ -288,17 +350,19 @@ def _merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
     for position, own, text in zip(pdf["position"], pdf["own"], pdf["segment_text"]):
         words = (text or "").split()
         exact = at_start or len(words) <= len(known)
-        longest = min(len(known), len(words))
-        overlap = next((k for k in range(longest, 0, -1) if known[-k:] == words[:k]), 0)
-        known = known + words[overlap:] if exact else words
+        overlap = word_overlap(known, words)
+        if exact:
+            known += words[overlap:]
+        else:
+            known = words
         if own:
             rows.append((position, " ".join(words[overlap:]), exact))
     return pd.DataFrame(rows, columns=["position", "new_text", "exact"]).assign(
-        video_id=pdf["video_id"].iloc[0]
+        video_id=pdf["video_id"].iloc[0], block_id=pdf["block_id"].iloc[0]
     )
 
 
-_MERGED = "video_id string, position bigint, new_text string, exact boolean"
+_MERGED = "video_id string, block_id bigint, position bigint, new_text string, exact boolean"
 
 
 def merge_captions(segments: DataFrame, block: int = LOOKBACK) -> DataFrame:
@@ -306,34 +370,32 @@ def merge_captions(segments: DataFrame, block: int = LOOKBACK) -> DataFrame:
 
     ``segments(video_id, position, segment_text)``, positions numbered from 0 without gaps. Merged text
     always ends with the whole last segment, so a block of ``block`` segments only needs its predecessor
-    as context unless a segment is longer than all new words of that context. Such segments are marked
-    inexact, and their videos alone are folded as one group.
+    as context unless a segment is longer than all new words of that context. Blocks with such segments
+    are merged again with four times the context, until that holds enough words or starts with the video;
+    no other block of the video is touched.
     """
     base = segments.select(F.col("video_id").cast("string"), F.col("position").cast("bigint"), "segment_text")
-    home = F.floor(F.col("position") / block)
-    placed = base.select(
-        "*", F.explode(F.array(home, home + 1)).alias("block_id"), home.alias("_home")
-    ).select(
-        "video_id",
-        "position",
-        "segment_text",
-        "block_id",
-        (F.col("_home") == F.col("block_id")).alias("own"),
-        (F.col("block_id") <= 1).alias("is_first"),
-    )
-    by_block = placed.groupBy("video_id", "block_id").applyInPandas(_without_block, _MERGED)
-    unsure = by_block.filter(~F.col("exact")).select("video_id").distinct()
-    whole = (
-        base.join(unsure, "video_id", "left_semi")
-        .withColumns({"own": F.lit(True), "is_first": F.lit(True)})
-        .groupBy("video_id")
-        .applyInPandas(_merge_block, _MERGED)
-    )
-    return by_block.join(unsure, "video_id", "left_anti").unionByName(whole).drop("exact")
-
-
-def _without_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _merge_block(pdf.drop(columns="block_id"))
+    home = base.withColumn("_home", F.floor(F.col("position") / block))
+    placed = home.select("*", F.explode(F.array("_home", F.col("_home") + 1)).alias("block_id"))
+    behind, done = 1, None
+    while True:
+        marked = placed.select(
+            "video_id",
+            "position",
+            "segment_text",
+            "block_id",
+            (F.col("_home") == F.col("block_id")).alias("own"),
+            (F.col("block_id") <= behind).alias("is_first"),
+        )
+        merged = materialize(marked.groupBy("video_id", "block_id").applyInPandas(_merge_block, _MERGED), "captions")
+        unsure = merged.filter(~F.col("exact")).select("video_id", "block_id").distinct()
+        sure = merged.join(unsure, ["video_id", "block_id"], "left_anti").select("video_id", "position", "new_text")
+        done = sure if done is None else done.unionByName(sure)
+        if unsure.isEmpty():
+            return done
+        behind *= 4
+        context = unsure.select("video_id", "block_id", F.explode(F.sequence(F.greatest(F.col("block_id") - behind, F.lit(0)), "block_id")).alias("_home"))
+        placed = home.join(context, ["video_id", "_home"])
 
 
 # --- records -----------------------------------------------------------------------------------------

@@ -171,3 +171,32 @@ def test_surrogate_id(spark):
 
     df = col(spark, ["abc", "영상"])
     assert values(df, C.surrogate_id(F.col("v"))) == [int(hashlib.sha256(s.encode()).hexdigest()[:15], 16) for s in ("abc", "영상")]
+
+
+def test_pieces_as_columns_equal_the_plain_ones(spark):
+    rng = random.Random(9)
+    parts = ["하지만", "그러나", "라고 밝혔다", "고 말했다", "이라며", "라고", ",", ", ", " ", "  ", "\t", "\u3000", "가나다", "word", "ß🙂", "x" * 30, "문제는"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(400)] + ["", " ", "가" * 300, "a b" * 3000]
+    df = col(spark, texts)
+    assert values(df, T.cut_pieces(F.col("v"))) == [T.chunk_pieces(t) for t in texts]
+    assert "Python" not in T.split_long(df.withColumnRenamed("v", "t"), "t")._jdf.queryExecution().toString()
+
+
+def test_word_overlap_like_trying_every_length():
+    rng = random.Random(10)
+    for _ in range(3000):
+        known, words = (["ab"[rng.random() < p] for _ in range(rng.randint(0, 12))] for p in (0.3, 0.3))
+        want = max(k for k in range(min(len(known), len(words)) + 1) if known[len(known) - k :] == words[:k])
+        assert T.word_overlap(known, words) == want
+
+
+def test_merge_with_long_segments_after_many_repeats(spark):
+    """The last segment is longer than all new words of thousands of segments before it, in one of the videos only."""
+    n = 3000
+    rows = [("long", i, "w1" if i else " ".join(f"w{j}" for j in range(1500, 0, -1))) for i in range(n)] + [("long", n, " ".join(f"w{j}" for j in range(1500, 0, -1)) + " end")]
+    rows += [("plain", i, f"x{i} x{i + 1}") for i in range(n)]
+    df = spark.createDataFrame(rows, "video_id string, position bigint, segment_text string")
+    got = {(r.video_id, r.position): r.new_text for r in T.merge_captions(df, block=16).collect()}
+    assert len(got) == 2 * n + 1
+    assert got["long", n] == "end" and not any(got["long", i] for i in range(1, n))
+    assert got["plain", 0] == "x0 x1" and all(got["plain", i] == f"x{i + 1}" for i in range(1, n))
