@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from medialoom.functions.columns import blank_to_null, clamp01, first_text, strip, surrogate_id
-from medialoom.functions.lexemes import CAPTION_LANGUAGES, FUNCTION_WORDS
+from medialoom.functions.lexemes import CAPTION_LANGUAGES, FUNCTION_WORDS, TRANSITIONS
 from medialoom.operators import text as T
 from medialoom.plans.registry import query
 from medialoom.plans.sqlviews import (
@@ -45,7 +47,34 @@ def sentence_split_ko(spark, sf):
     return T.split_sentences_ko(docs, "text").select("doc_id", "sentence_id", "sentence_text")
 
 
-@query("sentence_split_long")
+_PHRASE = "|".join(re.escape(t).replace("\\ ", " ") for t in TRANSITIONS)
+_BACK = "strpos(reverse(left(t, a)), ',')"
+
+
+def _s_pair(cut: str, rest: str) -> str:
+    return f"{{'l': trim(left(t, {cut}), ' ,'), 'r': {s_strip(f'substr(t, {rest} + 1)')}}}"
+
+
+def _s_cut(source: str) -> str:
+    """Rows ``(doc_id, piece_id, way, t)`` with the two halves of ``t`` as ``cut``, null where it is short or can't be cut."""
+    starts = "list_transform(range(1, len(h) + 1), lambda i: (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT)"
+    by_phrase = f"flatten(list_transform({starts}, lambda a: [{_s_pair('a', 'a')}, CASE WHEN {_BACK} > 0 THEN {_s_pair(f'a - {_BACK}', f'a - {_BACK} + 1')} END]))"
+    by_space = f"[CASE WHEN near IS NOT NULL THEN {{'l': {s_strip('left(t, near)')}, 'r': {s_strip('substr(t, near + 1)')}}} END]"
+    fits = f"lambda o: o IS NOT NULL AND length(o.l) >= {T.MIN_CHUNK} AND length(o.r) >= {T.MIN_CHUNK}"
+    space = f"list_max(list_filter(range({T.CUT_FROM}, least({T.CUT_TO}, length(t) - {T.MIN_CHUNK}) + 1), lambda i: regexp_full_match(substr(t, i + 1, 1), '{SPACE}')))"
+    return f"""SELECT doc_id, piece_id, way, t, CASE WHEN length(t) > {T.LONG_CHUNK} THEN list_filter(list_concat({by_phrase}, {by_space}), {fits})[1] END AS cut
+    FROM (SELECT *, regexp_extract_all(t, '{_PHRASE}') AS h, regexp_split_to_array(t, '{_PHRASE}') AS g, {space} AS near FROM ({source}))"""
+
+
+_HALF = "SELECT doc_id, piece_id, way || side AS way, CASE side WHEN '0' THEN cut.l ELSE cut.r END AS t FROM parts, (VALUES ('0'), ('1')) AS s(side) WHERE cut IS NOT NULL"
+
+
+@query(
+    "sentence_split_long",
+    f"""WITH RECURSIVE pieces AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS piece_id, '' AS way FROM (SELECT doc_id, {s_clean_list(_KO)} AS l FROM documents)),
+    parts AS ({_s_cut('SELECT doc_id, piece_id, way, t FROM pieces')} UNION ALL {_s_cut(_HALF)})
+    SELECT doc_id, piece_id::INT AS piece_id, (row_number() OVER (PARTITION BY doc_id, piece_id ORDER BY way) - 1)::INT AS part_id, t AS sentence_text FROM parts WHERE cut IS NULL""",
+)
 def sentence_split_long(spark, sf):
     return T.split_long(V.text_table(spark, sf, "documents").select("doc_id", "text"), "text")
 
@@ -127,7 +156,17 @@ def caption_lines(spark, sf):
     return T.caption_lines(V.text_table(spark, sf, "pages").select("page_id", "html"), "html")
 
 
-@query("caption_merge")
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
+_OVERLAP = "coalesce(list_max(list_filter(range(1, least(len(known), len(words)) + 1), lambda k: known[len(known) - k + 1:] = words[1:k])), 0)"
+
+
+@query(
+    "caption_merge",
+    f"""WITH RECURSIVE segments AS (SELECT conv_id, turn, {_WORDS} AS words FROM conversations),
+    merged AS (SELECT conv_id, turn, words AS known, words AS fresh FROM segments WHERE turn = 0
+    UNION ALL SELECT conv_id, turn, known || words[o + 1:], words[o + 1:] FROM (SELECT s.conv_id, s.turn, known, words, {_OVERLAP} AS o FROM merged m JOIN segments s ON s.conv_id = m.conv_id AND s.turn = m.turn + 1))
+    SELECT conv_id::VARCHAR AS video_id, turn AS position, array_to_string(fresh, ' ') AS new_text FROM merged""",
+)
 def caption_merge(spark, sf):
     segments = V.turns(spark, sf).select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("position"), F.col("text").alias("segment_text")
