@@ -15,6 +15,8 @@ WORDS_IN_CHUNK = 5
 LEAST_BYTES = 64
 #: Longer chunks get edges at any code point, about every ``POINTS_IN_CHUNK``-th; none is longer than ``LONGEST_BYTES``.
 LONG_BYTES, POINTS_IN_CHUNK, LONGEST_BYTES = 256, 16, 1024
+#: Slots of the bitmap of repeated digests, and how many of them are put together at once.
+SLOTS, SLOTS_IN_PART = 1 << 26, 1 << 20
 GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -44,40 +46,87 @@ def edges(data: bytes, words: int = WORDS_IN_CHUNK) -> np.ndarray:
     return np.union1d(found, point[np.concatenate(forced)])
 
 
-def chunk_rows(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``(id, start, length, digest)`` in UTF-8 bytes: each chunk with the next one, a lone chunk by itself."""
+def chunk_rows(docs: DataFrame, doc_id: str, text: str, words: int, wanted=None) -> DataFrame:
+    """``(id, own, start, length, d1, d2)`` in UTF-8 bytes: each chunk with the next one, a lone chunk by itself.
+
+    ``own`` tells texts of equal id apart; ``d1`` and ``d2`` are a digest of 128 bits. With ``wanted``, a broadcast bitmap,
+    only chunks whose slot is set in it are given out.
+    """
 
     def cut(cols: dict) -> dict:
         at, start, length, digests = [], [], [], []
+        bitmap = None if wanted is None else wanted.value
         for i, value in enumerate(cols["text"]):
             data = (value.as_py() or "").encode("utf-8", "replace")
             if not data:
                 continue
             e = edges(data, words)
             lo, hi = (e[:-2], e[2:]) if len(e) > 2 else (e[:-1], e[1:])
+            both = b"".join([xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+            both = np.frombuffer(both, "<i8").reshape(-1, 2)
+            if bitmap is not None:
+                slot = both[:, 0] & (SLOTS - 1)
+                held = bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+                lo, hi, both = lo[held], hi[held], both[held]
             at.append(np.full(len(lo), i))
             start.append(lo)
             length.append(hi - lo)
-            digests += [xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            digests.append(both)
         join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+        rows = pa.array(join(at, np.int64))
+        both = np.concatenate([np.empty((0, 2), np.int64), *digests])
         return {
-            "id": cols["id"].take(pa.array(join(at, np.int64))),
+            "id": cols["id"].take(rows),
+            "own": cols["own"].take(rows),
             "start": pa.array(join(start, np.int32)),
             "length": pa.array(join(length, np.int32)),
-            "digest": pa.array(np.array(digests, np.uint64).view(np.int64)),
+            "d1": pa.array(np.ascontiguousarray(both[:, 0])),
+            "d2": pa.array(np.ascontiguousarray(both[:, 1])),
         }
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
-    return map_slices(rows, cut, "id bigint, start int, length int, digest bigint")
+    return map_slices(keyed_rows(docs, doc_id, text).where("id IS NOT NULL"), cut, "id bigint, own bigint, start int, length int, d1 bigint, d2 bigint")
+
+
+def keyed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.withColumn("own", F.xxhash64("text"))
+
+
+def slots_of(known: DataFrame) -> np.ndarray:
+    """A bitmap over the slots of the digests: of a fixed size, put together by executors in parts."""
+
+    def pack(batches):
+        at, bits = None, None
+        for batch in batches:
+            for part, slot in zip(np.asarray(batch.column("part")).tolist(), np.asarray(batch.column("slot")).tolist(), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_pydict({"part": [at], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+                    at, bits = part, np.zeros(SLOTS_IN_PART, bool)
+                bits[slot & (SLOTS_IN_PART - 1)] = True
+        if at is not None:
+            yield pa.RecordBatch.from_pydict({"part": [at], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slots = known.select(F.col("d1").bitwiseAND(SLOTS - 1).alias("slot")).distinct()
+    slots = slots.withColumn("part", F.floor(F.col("slot") / SLOTS_IN_PART)).repartition("part").sortWithinPartitions("part")
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in slots.mapInArrow(pack, "part bigint, bits binary").collect():  # 8 MB at most
+        out[r["part"] * SLOTS_IN_PART // 8 : (r["part"] + 1) * SLOTS_IN_PART // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, words: int, least_bytes: int) -> DataFrame:
-    """``(id, spans)``: byte spans of chunks that a document of smaller id has too, runs of ``least_bytes`` and more."""
-    chunks = chunk_rows(docs, doc_id, text, words)
-    known = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    known = materialize(known.select("digest", "first"), "digests")  # so that the join's hot digests can be split
-    again = chunks.join(known, "digest").where("id > first")
-    spans = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
+    """``(id, own, spans)``: byte spans of chunks that a document of smaller id has too, runs of ``least_bytes`` and more.
+
+    Texts are cut twice: for the digests that several ids have, and then for the places of those digests alone. The bitmap
+    between the two only decides how many other chunks are moved.
+    """
+    both = ["d1", "d2"]
+    known = chunk_rows(docs, doc_id, text, words).groupBy(*both).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    known = materialize(known.select(*both, "first"), "digests")  # so that the join's hot digests can be split
+    wanted = docs.sparkSession.sparkContext.broadcast(slots_of(known))
+    again = chunk_rows(docs, doc_id, text, words, wanted).join(known, both).where("id > first")
+    spans = again.groupBy("id", "own").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
 
     def join(acc, x):
         last = F.element_at(acc, -1)
@@ -87,7 +136,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, words: int, least_by
 
     none = F.array().cast("array<struct<start:int,stop:int>>")
     runs = F.filter(F.aggregate("spans", none, join), lambda s: s["stop"] - s["start"] >= least_bytes)
-    return spans.select("id", runs.alias("spans")).where(F.size("spans") > 0)
+    return spans.select("id", "own", runs.alias("spans")).where(F.size("spans") > 0)
 
 
 def dedup_substrings(
@@ -100,17 +149,18 @@ def dedup_substrings(
     id; runs of repeated chunks of ``least_bytes`` and more are removed, ``spans`` has their bytes. The document of
     smallest id keeps a passage.
 
-    A null text gives null with no spans. Null ids are never changed; rows of equal id are not compared with each other.
+    A null text gives null with no spans. Null ids are never changed; rows of equal id are not compared with each other, and each
+    loses what its own text repeats. Very long texts are cut whole, one at a time.
     Other columns are ignored; an empty table gives an empty result.
     """
     found = repeated_spans(docs, doc_id, text, words, least_bytes)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(found, "id", "left")
+    rows = keyed_rows(docs, doc_id, text).join(found, ["id", "own"], "left")
 
     def cut(cols: dict) -> dict:
         texts, sizes, gone = [], [], []
         for value, spans in zip(cols["text"], cols["spans"], strict=True):
             data, out, at = (value.as_py() or "").encode("utf-8", "replace"), [], 0
-            for span in [s for s in spans.as_py() or [] if s["stop"] <= len(data)]:
+            for span in spans.as_py() or []:
                 out.append(data[at : span["start"]])
                 at = span["stop"]
             left = b"".join([*out, data[at:]])
