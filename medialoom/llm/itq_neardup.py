@@ -43,19 +43,19 @@ def fit_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def embedding_links(vectors: DataFrame, vec_id: str, embedding: str, label: str, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """``(classes, links)``: distinct vectors of a label ``(label, h1, h2, rep, copies)`` and linked pairs ``(a, b)`` of
-    their representatives. See ``embedding_components``."""
+    """``(classes, links)``: distinct vectors of a label ``(label, h1, h2, cid, rep, copies)``, where ``cid`` is a hash of the
+    class and ``rep`` its smallest id, and linked pairs ``(a, b)`` of classes. See ``embedding_components``."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).alias("v"), F.col(label).alias("label"))
     rows = rows.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())
     keyed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
     classes = keyed.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "classes")
-    reps = keyed.join(classes.select("label", "h1", "h2", F.col("rep").alias("id")), ["label", "h1", "h2", "id"], "left_semi")
-    reps = reps.select("id", "label", "v").dropDuplicates(["id", "label"])
+    classes = materialize(classes.withColumn("cid", F.xxhash64("label", "h1", "h2")), "classes")
+    reps = keyed.join(classes.select("label", "h1", "h2", "cid", F.col("rep").alias("id")), ["label", "h1", "h2", "id"])
+    reps = reps.dropDuplicates(["cid"]).select(F.col("cid").alias("id"), "label", "v")
     width = reps.agg(F.max(F.size("v"))).first()[0]
     sample = bounded_sample(reps.select("id", "v"), "id", SAMPLE_ROWS).toArrow()["v"].combine_chunks() if width else []
     if len(sample) < 1:
-        return classes, classes.selectExpr("rep AS a", "rep AS b").where("false")
+        return classes, classes.selectExpr("cid AS a", "cid AS b").where("false")
     projection, cut = fit_rotation(padded(sample, width))
     weights = (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64)).astype(np.uint64)
 
@@ -113,16 +113,17 @@ def embedding_components(
     are compared by their vectors, each pair once.
 
     Null, empty or zero vectors, those with null or non-finite components, null labels and null ids link with nothing.
-    Vectors of unequal length never link. Repeated rows link with each other. Other columns are ignored; an empty
+    Vectors of unequal length never link. Repeated rows link with each other; rows that share an id but not the vector or
+    the label are linked by what they hold. Other columns are ignored; an empty
     table gives an empty result.
     """
     classes, links = embedding_links(vectors, vec_id, embedding, label, cosine)
-    copies = classes.select(F.col("rep").alias("id"), "label", "copies")
-    size_of = copies.groupBy("id").agg(F.max("copies").alias("copies"))
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("id")))
-    others = ends.join(size_of, "id").groupBy("rep").agg(F.sum("copies").alias("others"))
-    comps = connected_components(links, "a", "b").withColumnRenamed("id", "rep")
-    of_class = classes.join(others, "rep", "left").join(comps, "rep", "left").select(
+    size_of = classes.select(F.col("cid").alias("id"), "copies")
+    ends = links.select(F.col("a").alias("cid"), F.col("b").alias("id")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("id")))
+    others = ends.join(size_of, "id").groupBy("cid").agg(F.sum("copies").alias("others"))
+    comps = materialize(connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("of")), "components")
+    first = comps.join(classes.select("cid", "rep"), "cid").groupBy("of").agg(F.min("rep").alias("component"))
+    of_class = classes.join(others, "cid", "left").join(comps.join(first, "of"), "cid", "left").select(
         "label", "h1", "h2",
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n"),
         F.coalesce("component", "rep").alias("component"),
