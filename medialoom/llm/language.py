@@ -83,11 +83,11 @@ def held_out(doc_id: str) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str) -> Model | None:
-    """Fit on at most ``ROWS_PER_LANGUAGE`` rows of each language, chosen by a hash; the first of them are landmarks."""
+    """Fit on at most ``ROWS_PER_LANGUAGE`` distinct texts of each language, chosen by a hash; the first of them are landmarks."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).withColumn("key", F.xxhash64("text"))
-    # hashes below a share of each language's rows leave about three times the rows wanted, whatever the input
-    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # hashes below a share of each language's distinct texts leave about three times the texts wanted, whatever the input
+    sizes = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")), "languages")
     low = F.pmod("key", F.lit(1 << 40)) / float(1 << 40) * F.col("n") <= 3.0 * ROWS_PER_LANGUAGE
     keys = rows.select("lang", "key").join(bounded_broadcast(sizes), "lang").where(low).select("lang", "key").distinct()
     order = Window.partitionBy("lang").orderBy("key")
