@@ -63,6 +63,17 @@ def map_slices(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that are none of ``names``, whatever their case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """A list column without nulls as a two-dimensional array of doubles."""
     flat = np.asarray(column.flatten(), dtype=np.float64)

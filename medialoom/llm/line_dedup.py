@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import map_slices
+from medialoom.llm.common import map_slices, unused
 from medialoom.session import materialize
 
 BLOCK_CHARS = 50
@@ -146,11 +146,12 @@ def dedup_lines(
     gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs, doc_id, text, block_chars).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed"))
+    key, own, removed = unused(docs.columns, "_id", "_digest", "_removed")
+    gone = removed_lines(docs, doc_id, text, block_chars).select(F.col("id").alias(key), F.col("digest").alias(own), F.col("removed").alias(removed))
     lines = F.split(F.col(text).cast("string"), "\n")
     digest = F.xxhash64(F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c")))))
-    met = docs.select(*names).join(gone, (F.col(doc_id).cast("bigint") == F.col("_id")) & (digest == F.col("_digest")), "left")
-    gone_at = F.coalesce("_removed", F.array().cast("array<int>"))
+    met = docs.select(*names).join(gone, (F.col(doc_id).cast("bigint") == F.col(key)) & (digest == F.col(own)), "left")
+    gone_at = F.coalesce(removed, F.array().cast("array<int>"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_at, i.cast("int"))), "\n")
     return met.select(
         *[F.when(F.size(gone_at) > 0, kept).otherwise(F.col(c)).alias(c) if c == text else c for c in names],

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import WORD
+from medialoom.llm.common import WORD, unused
 from medialoom.session import materialize
 
 # Weights of the sources in code point order, repeating, and how often a document may be taken.
@@ -123,11 +123,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents that the mix takes, with all columns of ``docs``, each as often as it is taken."""
     names = docs.columns
-    taken = mix(docs, doc_id, text, source).groupBy(F.col(doc_id).cast("bigint").alias("_id"), F.col("digest").alias("_digest"))
-    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("bigint"), "_digest": F.xxhash64(text)})
-    met = keyed.join(taken, keyed["_id"].eqNullSafe(taken["_id"]) & (keyed["_digest"] == taken["_digest"])).drop(taken["_id"]).drop(taken["_digest"])
-    at = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    met = met.withColumn("_at", F.when(F.col("_rows") > 1, at).otherwise(1))
-    return met.withColumn("_n", F.explode(F.array_repeat(F.lit(0), share.cast("int")))).select(*names)
+    key, own, key_, own_, copies, rows, place, n = unused(names, "_id", "_digest", "_of", "_is", "_copies", "_rows", "_at", "_n")
+    taken = mix(docs, doc_id, text, source).groupBy(F.col(doc_id).cast("bigint").alias(key_), F.col("digest").alias(own_))
+    taken = taken.agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    keyed = docs.withColumns({key: F.col(doc_id).cast("bigint"), own: F.xxhash64(text)})
+    met = keyed.join(taken, F.col(key).eqNullSafe(F.col(key_)) & (F.col(own) == F.col(own_)))
+    at = F.row_number().over(Window.partitionBy(key, own).orderBy(F.lit(0)))
+    share = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(place) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    met = met.withColumn(place, F.when(F.col(rows) > 1, at).otherwise(1))
+    return met.withColumn(n, F.explode(F.array_repeat(F.lit(0), share.cast("int")))).select(*names)
