@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medialoom.functions.columns import bounded_broadcast
 from medialoom.llm.common import WORD, unused
 from medialoom.llm.jaccard_join import jaccard_components
 from medialoom.llm.language import UNKNOWN, held_out, predict_language
@@ -40,18 +41,21 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar five-word shingles the smallest id stays.
 
-    Every row is judged by its own text: a hash of it stands for the document, so rows that share an id but not the text
-    don't fall together. Rows of equal id and text are one. Documents without an id or without words stay as they are.
+    Every row is judged by its own text: where rows share an id but not the text, the text of smallest hash goes by the id
+    and the others by numbers of their own, from 2^62 on. Rows of equal id and text are one. Documents without an id or
+    without words stay as they are.
     """
-    key, place = unused(docs.columns, "_text", "_place")
+    own, least, key, place = unused(docs.columns, "_own", "_least", "_key", "_place")
     judged = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    rows = docs.where(judged).withColumn(key, F.xxhash64("text"))
-    texts = rows.groupBy(F.col(key).alias("key")).agg(F.min("doc_id").alias("least"))
-    groups = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    first = texts.join(groups, "key").groupBy("component_id").agg(F.min(F.struct("least", "key")).alias("first")).select("first.*")
-    at = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(0)))
-    stay = rows.join(first, (F.col("doc_id") == F.col("least")) & (F.col(key) == F.col("key")), "left_semi")
-    stay = stay.withColumn(place, at).where(F.col(place) == 1).select(*docs.columns)
+    rows = docs.where(judged).withColumn(own, F.xxhash64("text"))
+    several = rows.groupBy("doc_id").agg(F.min(own).alias(least), F.max(own).alias("most")).where(F.col(least) < F.col("most"))
+    several = bounded_broadcast(materialize(several.drop("most"), "several"))
+    number = F.when(F.col(least) < F.col(own), F.xxhash64("doc_id", own).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    rows = rows.join(several, "doc_id", "left").withColumn(key, F.coalesce(number, F.col("doc_id").cast("bigint")))
+    groups = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    at = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    stay = rows.join(first, key, "left_semi").withColumn(place, at).where(F.col(place) == 1).select(*docs.columns)
     return stay.unionByName(docs.where(~judged))
 
 
