@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import string
+from collections import Counter
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,9 @@ from pyspark.sql import functions as F
 
 from medialoom.llm.common import map_slices
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# the rest of a tag: a quoted value stands after "=" and may hold ">"; nothing is tried twice
+REST = re.compile(r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=(?!\s*+["']))*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # HTML element names by their role, and words in class, id or role that mark what is not the article.
@@ -29,10 +34,12 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "alert sidebar widget comment comments disqus reply replies menu nav navbar navigation breadcrumb breadcrumbs footer "
     "masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription signup "
-    "login popup modal overlay paywall toolbar pagination pager contentinfo complementary search".split()
+    "login popup modal overlay paywall toolbar pagination pager contentinfo complementary search foot copyright opinions reactions responses discussion feedback".split()
 )
-FRAMES = frozenset("area bar block bottom box button buttons container field form group holder inner item left links list outer right top unit wrap wrapper".split())
+FRAMES = frozenset("area bar block bottom box button buttons container field form group holder inner item left links list outer page reader readers right site top unit user users wrap wrapper".split())
 PUNCTUATION = frozenset(string.punctuation + "。，、；：？！…“”‘’«»")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTED = frozenset("li ul ol dl dd dt div section".split())
 CLOSES_P = frozenset(
     "p div article aside blockquote dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section "
     "table ul address details".split()
@@ -58,60 +65,111 @@ def hinted(attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, slash, name, rest)`` of every tag, comment and declaration (these without a name), in page order.
+
+    Each character is looked at a bounded number of times, whatever is left open: a comment without an end reaches to the
+    end of the page, what starts a tag before the last ">" ends there at the latest, and once a quote has no partner, the
+    tags after it end at the next ">".
+    """
+    at, last, quotes = page.find("<"), page.rfind(">"), True
+    while 0 <= at:
+        end = 0
+        if page.startswith("<!--", at):
+            shut = page.find("-->", at + 4)
+            end = shut + 3 if shut >= 0 else len(page)
+            yield at, end, "", "", ""
+        elif at < last:
+            if page[at + 1] in "!?":
+                end = page.index(">", at) + 1
+                yield at, end, "", "", ""
+            elif m := NAME.match(page, at + 1, last):
+                end = m.end() + 1
+                if page[m.end()] != ">":
+                    rest = REST.match(page, m.end()) if quotes else None
+                    quotes = rest is not None
+                    end = rest.end() if rest else page.index(">", m.end()) + 1
+                yield at, end, m[1], m[2].lower(), page[m.end() : end - 1]
+        at = page.find("<", end or at + 1)
+
+
+class Paths:
+    """Paths of block elements as numbers: each knows its parent, its name, its holder and whether it is in an article.
+
+    A path's holder is the outermost part that is an innermost article or main element, else its innermost container.
+    A number is larger than its parent's, so what paths hand down is found in one pass.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        self.parent, self.name, self.holder, self.article = [0], [""], [0], [False]
+
+    def below(self, parent: int, name: str) -> int:
+        at = self.known.setdefault((parent, name), len(self.parent))
+        if at == len(self.parent):
+            article = name in ("article", "main")
+            own = article or name in CONTAINERS and not self.article[parent]
+            self.parent.append(parent)
+            self.name.append(name)
+            self.holder.append(at if own else self.holder[parent])
+            self.article.append(article or self.article[parent])
+        return at
+
+
+def blocks_of(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     """The page's text blocks in order: path of block elements, text, characters within links.
 
     What stands in elements that never hold the article is left out; a page header only outside an article. Hinted elements
     are left out unless they are, or hold, an article or main element, or hold more than half of the text outside links.
     """
+    paths = Paths()
     found, words, linked = [], [], 0
-    stack: list[tuple[str, bool]] = []
-    marked: list[tuple[int, int]] = []  # hinted elements: depth and number
-    within: list[tuple[int, ...]] = []  # numbers of the hinted elements around each block
-    holding: set[int] = set()
-    hints = 0
-    path: tuple[str, ...] = ()
-    outside = in_link = 0
+    stack: list[tuple[str, bool, int, int]] = []  # name, left out, path and innermost hinted element around it
+    opened: Counter[str] = Counter()
+    around: list[int] = [-1]  # of each hinted element, the next one around it; element 0 is the page
+    within: list[int] = []  # innermost hinted element of each block
+    holding = {0}
+    path = hint = outside = in_link = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             found.append((path, text, min(linked, len(text))))
-            within.append(tuple(n for _, n in marked))
+            within.append(hint)
         words.clear()
         linked = 0
 
     def close(name: str) -> None:
-        nonlocal path, outside, in_link
+        nonlocal path, hint, outside, in_link
         if name in INLINE:
             in_link = 0 if name == "a" else in_link
             return
         flush()
         while stack:
-            top, out = stack.pop()
+            top, out, path, hint = stack.pop()
+            opened[top] -= 1
             outside -= out
-            if marked and marked[-1][0] > len(stack):
-                marked.pop()
             if top == name:
                 break
-        path = tuple(n for n, _ in stack)
-
-    at, end = 0, len(page)
-    while at < end:
-        m = MARKUP.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not outside:
-            words.append(page[at:stop])
+
+    def take(start: int, stop: int) -> None:
+        nonlocal linked
+        if stop > start and not outside:
+            words.append(page[start:stop])
             if in_link:
-                linked += stop - at
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
+                linked += stop - start
+
+    at = 0
+    for start, end, slash, name, rest in tags_of(page):
+        if start < at:  # within a script or the like
+            continue
+        take(at, start)
+        at = end
         if not name:
             continue
-        if m[1]:
-            if name in INLINE or any(n == name for n, _ in stack):
+        if slash:
+            if name in INLINE or opened[name]:
                 close(name)
             continue
         if name in INLINE:
@@ -123,33 +181,43 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
             continue
         if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            shut = shut_of(name).search(page, end)
+            at = shut.end() if shut else len(page)
             continue
-        inner = stack[-1][0] if stack else ""
-        if name in CLOSES_P and any(n == "p" for n, _ in stack):
+        if name in CLOSES_P and opened["p"]:
             close("p")
-        elif name == inner and name in ("li", "dt", "dd", "option", "tr", "td", "th"):
+        elif stack and name == stack[-1][0] and name in ("li", "dt", "dd", "option", "tr", "td", "th"):
             close(name)
         flush()
-        in_article = any(n in ("article", "main") for n, _ in stack)
-        out = name in OUTSIDE or name == "header" and not in_article or name not in ("html", "body") and unseen(m[3])
-        stack.append((name, out))
+        in_article = opened["article"] or opened["main"]
+        out = name in OUTSIDE or name == "header" and not in_article or name not in ("html", "body") and unseen(rest)
+        stack.append((name, out, path, hint))
+        opened[name] += 1
         if name in ("article", "main"):
-            holding.update(n for _, n in marked)
-        elif name not in ("html", "body") and not outside and not out and hinted(m[3]):
-            marked.append((len(stack), hints))
-            hints += 1
+            holding.add(hint)
+        elif name not in ("html", "body") and not outside and not out and hinted(rest):
+            around.append(hint)
+            hint = len(around) - 1
         outside += out
-        path = (*path, name)
+        path = paths.below(path, name)
+    take(at, len(page))
     flush()
-    sizes = [len(text) - in_links for _, text, in_links in found]
-    inside = [0] * hints
-    for size, around in zip(sizes, within, strict=True):
-        for n in around:
-            inside[n] += size
-    drop = {n for n in range(hints) if n not in holding and 2 * inside[n] <= sum(sizes)}
-    return [x for x, around in zip(found, within, strict=True) if drop.isdisjoint(around)]
+    inside = [0] * len(around)
+    for (_, text, in_links), n in zip(found, within, strict=True):
+        inside[n] += len(text) - in_links
+    for n in range(len(around) - 1, 0, -1):
+        inside[around[n]] += inside[n]
+        if n in holding:
+            holding.add(around[n])
+    drop = [False]
+    for n in range(1, len(around)):
+        drop.append(drop[around[n]] or n not in holding and 2 * inside[n] <= inside[0])
+    return paths, [x for x, n in zip(found, within, strict=True) if not drop[n]]
+
+
+@cache
+def shut_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*+>", re.I)
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -157,39 +225,50 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def main_text(page: str | None, share: float = 0.3) -> str:
-    """Blocks of the paths whose fused ratio is at least ``share`` of the best, with their containers, in page order.
+def main_text(page: str | None, share: float = 0.3, least: float = 0.2, in_links: float = 0.8) -> str:
+    """Blocks of the paths whose fused ratio is at least ``share`` of the best, with what their holders hold, in page order.
+    Before smoothing it has to be at least ``least`` of the best, so a large neighbour alone makes no path content.
 
     A path's ratios are its text length outside links and its punctuation marks per block. Both are smoothed over the
     paths in page order and fused by their product; paths in an article or main element count three times.
+
+    What stands beside such a path in its holder, outside any article, is held against thresholds of its own. List items and
+    bare elements of which at least ``in_links`` is linked text go. So does the text of a further container whose paths
+    all stay below ``least``, unless it is a table cell or holds a heading. Headings, captions and other short blocks stay.
     """
-    blocks = blocks_of(page or "")
+    paths, blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    paths = list(dict.fromkeys(p for p, _, _ in blocks))
-    at = {p: i for i, p in enumerate(paths)}
-    length, marks, n = np.zeros(len(paths)), np.zeros(len(paths)), np.zeros(len(paths))
+    order = list(dict.fromkeys(p for p, _, _ in blocks))
+    at = {p: i for i, p in enumerate(order)}
+    whole, length, marks, n = np.zeros((4, len(order)))
     for p, text, linked in blocks:
+        whole[at[p]] += len(text)
         length[at[p]] += len(text) - linked
         marks[at[p]] += sum(map(text.count, PUNCTUATION & set(text)))
         n[at[p]] += 1
-    weight = np.array([3.0 if {"article", "main"} & set(p) else 1.0 for p in paths])
+    weight = np.array([3.0 if paths.article[p] else 1.0 for p in order])
     fused = np.sqrt(smooth(length / n) * (1 + smooth(marks / n))) * weight
-    seeds = [p for p, f in zip(paths, fused, strict=True) if f >= share * fused.max()]
-    holders = {container(p) for p in seeds}
-    kept = {p for p in paths if any(len(h) <= len(p) and p[: len(h)] == h and (h[-1:] not in (("body",), ("html",), ()) or container(p) == h) for h in holders)}
+    alone = np.sqrt(length / n * (1 + marks / n)) * weight
+    strong = alone >= least * alone.max()
+    best = (fused >= share * fused.max()) & strong
+    seeds = [p for p, is_best in zip(order, best if best.any() else strong, strict=True) if is_best]
+    holders = {paths.holder[p] for p in seeds}
+    good = {paths.holder[p] for p, is_strong in zip(order, strong, strict=True) if is_strong or paths.name[p] in HEADINGS}
+    held = [False] * len(paths.parent)
+    for p in range(len(held)):
+        wide = paths.name[p] in ("body", "html", "")
+        held[p] = p in holders and not wide or held[paths.parent[p]]
+    kept = set()
+    for p, linked in zip(order, 1 - length / whole, strict=True):
+        own = paths.holder[p]
+        listed = linked >= in_links and paths.name[p] in LISTED and not paths.article[p]
+        weak = own not in holders and own not in good and not paths.article[p] and paths.name[own] not in ("td", "center")
+        if (held[p] or own in holders) and not listed and not weak:
+            kept.add(p)
     return "\n\n".join(text for p, text, _ in blocks if p in kept)
 
 
-def container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path up to its innermost article or main element, else up to its innermost container."""
-    for names in (("article", "main"), CONTAINERS):
-        for i in range(len(path), 0, -1):
-            if path[i - 1] in names:
-                return path[:i]
-    return ()
-
-
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page.
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 from medialoom.llm.html_main import extract_main_text, main_text
@@ -239,3 +240,26 @@ def test_main_text_in_hinted_wrappers():
         assert main_text(page) == text, tag
     assert main_text(f"<body><div class='widget'><article>{body}</article></div>{more}</body>") == text
     assert main_text(f"<body><div class='wrap'>{body}<div class='ad-box comment'>Buy, buy.</div></div></body>") == text
+
+
+def test_main_text_beside_what_is_none():
+    """Lists of links, opinions of readers and a foot within the article's own container go; its short blocks stay."""
+    body = "<p>" + "A long sentence, with several words and commas in it, again and again. " * 4 + "</p>"
+    text = " ".join(body[3:-4].split())
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Link number {i}</a></li>" for i in range(8)) + "</ul>"
+    assert main_text(f"<body><div>{body}{links}{body}</div></body>") == f"{text}\n\n{text}"
+    for other in ("<div class='reader-opinions'>Great post!</div>", "<div class=foot>(c) 2024 Us</div>", "<div class='zz'>Ja, gut!</div>"):
+        assert main_text(f"<body><div>{body}{body}{other}</div></body>") == f"{text}\n\n{text}", other
+    assert main_text(f"<body><div>{body}<ul><li>one</li><li>two, <a href=x>this</a></li></ul><h2>More</h2><p>Short.</p></div></body>") == f"{text}\n\none\n\ntwo, this\n\nMore\n\nShort."
+    assert main_text(f"<body><div>{body}<table><tr><td>1</td><td>two</td></tr></table></div></body>") == f"{text}\n\n1\n\ntwo"
+    assert main_text(f"<body><div>{body}<section><h2>End</h2><p>Yes.</p></section></div></body>") == f"{text}\n\nEnd\n\nYes."
+    assert main_text(f"<article>{body}{links}</article>").count("Link number") == 8
+
+
+def test_broken_markup_takes_linear_time():
+    """A megabyte of what is never closed; quoted values may hold tags, a quote without a partner may not eat the page."""
+    for part in ("<a ", "<!x", '<a href="', "<p title='>", "<script>", "<div>x", "<li><p>x<div class=ad>", "</p>", "<!--", "<a =="):
+        start = time.process_time()
+        main_text(part * (1_000_000 // len(part)))
+        assert time.process_time() - start < 20, part
+    assert main_text("<p title='a > b'>one</p><p title=\"x>two</p><p>three, it's 1 < 2</p>") == "one\n\ntwo\n\nthree, it's 1 < 2"
