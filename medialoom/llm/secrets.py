@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_lower", "entropy_upper")
+KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_lower", "entropy_upper", "entropy_short", "entropy_letters")
 LEAST_ASSIGNED = 12
 
 # Character classes: candidate pattern, alphabet, window, least entropy in bits, and what a candidate must have.
@@ -26,11 +26,29 @@ CLASSES = {
     "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", "0123456789ABCDEF", 32, 3.0, r"^(?=.*[0-9])(?=.*[A-Fa-f])"),
     "entropy_lower": (r"(?<![A-Za-z0-9])[a-z0-9]{24,}(?![A-Za-z0-9])", "abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.7, r"^(?=.*[0-9])(?=.*[a-z])"),
     "entropy_upper": (r"(?<![A-Za-z0-9])[A-Z0-9]{24,}(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 3.7, r"^(?=.*[0-9])(?=.*[A-Z])"),
+    "entropy_short": (
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9]{20,23}(?![A-Za-z0-9+/_-])",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+        20,
+        3.7,
+        r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])",
+    ),
+    # letters alone: names of several words have few short lower-case runs after two capitals
+    "entropy_letters": (
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z]{24,}(?![A-Za-z0-9+/_-])",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+        24,
+        3.9,
+        r"[A-Z]{2}[a-z]{1,2}[A-Z].*?[A-Z]{2}[a-z]{1,2}[A-Z]",
+    ),
 }
 # Hot stretches that are no secrets: those with a place holder in them, and paths of words. A place holder that is a part
 # between other characters than letters and digits by itself only parts the stretches.
-HOLDERS = "example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|1234567|abcdefg"
-ALLOWED = rf"(?i){HOLDERS}|^(?:[a-z]+[/_+-])+[a-z]+$"
+WORDS = "example|sample|dummy|placeholder|changeme|redacted"
+HOLDERS = WORDS + "|x{6,}|0{8,}|1234567|abcdefg"
+ALLOWED = rf"(?i){WORDS}|^(?:[a-z]+[/_+-])+[a-z]+$"
+# Keyboard sequences hold against a stretch only if too little for a window is left without them.
+SEQUENCES = "(?i)x{6,}|0{8,}|0?1234567(?:89?0?)?|abcdefg[h-z]*"
 PARTING = rf"(?i)(?:(?<![a-z0-9])(?=(?:{HOLDERS})(?![a-z0-9]))|(?!^)\G)[a-z0-9]"
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -110,12 +128,15 @@ def entropy_spans(text: Column, found: Column, name: str) -> Column:
     pattern, alphabet, width, least, has = CLASSES[name]
     kind = KINDS.index(name)
 
+    def secret(stretch: Column) -> Column:
+        return ~stretch.rlike(ALLOWED) & (F.length(F.regexp_replace(stretch, SEQUENCES, "")) >= width)
+
     def narrowed(span: Column) -> Column:
         candidate = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
         plain = F.upper(candidate) if name == "entropy_hex" else candidate
         windows = F.when(candidate.rlike(has), hot_windows(F.regexp_replace(plain, PARTING, " "), alphabet, width, least))
         return F.transform(
-            F.filter(F.coalesce(windows, F.array().cast("array<struct<lo:int,hi:int>>")), lambda w: ~F.substring(candidate, w["lo"] + 1, w["hi"] - w["lo"]).rlike(ALLOWED)),
+            F.filter(F.coalesce(windows, F.array().cast("array<struct<lo:int,hi:int>>")), lambda w: secret(F.substring(candidate, w["lo"] + 1, w["hi"] - w["lo"]))),
             lambda w: F.struct((span["start"] + w["lo"]).alias("start"), F.lit(kind).alias("kind"), (span["start"] + w["hi"]).alias("stop")),
         )
 
@@ -131,8 +152,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of every row, over the whole text.
 
     Base spans are the matches of the three fixed patterns. The method adds, per character class, every stretch of
-    a candidate string whose sliding windows reach the class's entropy, unless it is on the allow-list or overlaps a
-    base span. A span is kind:start:end in code points, end exclusive, in order of start, then kind.
+    a candidate string whose sliding windows reach the class's entropy, unless it is on the allow-list or lies within one
+    base span; what reaches beyond a base span is given whole, so spans may overlap. A span is kind:start:end in code points, end exclusive, in order of start, then kind.
 
     A null text is empty: no spans. Null ids and repeated rows are scanned like others. Other columns are ignored; an
     empty table gives an empty result.
@@ -148,7 +169,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     base = F.concat(located(t, ASSIGN, F.col("m0"), 0, long_enough), located(t, ACCESS, F.col("m1"), 1), located(t, HEX, F.col("m2"), 2))
     more = F.concat(*[entropy_spans(t, F.col(f"c{i}"), name) for i, name in enumerate(CLASSES)])
     rows = rows.withColumns({"base": base, "more": more})
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    beyond = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return rows.select(
         F.col("doc_id").alias(doc_id),
@@ -156,5 +177,5 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
-        written(F.concat("base", F.filter("more", apart))).alias("spans"),
+        written(F.concat("base", F.filter("more", beyond))).alias("spans"),
     )

@@ -10,7 +10,7 @@ import zlib
 from medialoom.llm.html_main import extract_main_text, main_text
 from medialoom.llm.language import language_report
 from medialoom.llm.line_dedup import dedup_lines, patience
-from medialoom.llm.secrets import ACCESS, ASSIGN, HEX, scan_secrets
+from medialoom.llm.secrets import ACCESS, ASSIGN, CLASSES, HEX, KINDS, scan_secrets
 from medialoom.llm.substring_dedup import dedup_substrings, edges
 
 DOCS = "doc_id bigint, text string, lang string, source string, id string, spans string"
@@ -78,6 +78,50 @@ def test_secrets_in_parts_and_single_case(spark):
     assert got[4] == got[5] == []
 
 
+def plain_entropy_spans(text, base):
+    """Every window's entropy counted anew; one place holder, which is most of its text, is in these texts."""
+    out = []
+    for name, (pattern, alphabet, width, least, has) in CLASSES.items():
+        for m in re.finditer(pattern, text):
+            if not re.search(has, m[0]):
+                continue
+            stretches = []
+            for at in range(len(m[0]) - width + 1):
+                window = m[0][at : at + width].upper() if name == "entropy_hex" else m[0][at : at + width]
+                bits = -sum(n / width * math.log2(n / width) for n in (window.count(c) for c in set(window)))
+                if set(window) <= set(alphabet) and bits >= least:
+                    if stretches and at <= stretches[-1][1]:
+                        stretches[-1][1] = at + width
+                    else:
+                        stretches.append([at, at + width])
+            for lo, hi in stretches:
+                span = (m.start() + lo, m.start() + hi)
+                if not re.search("^(?:[a-z]+[/_+-])+[a-z]+$|abcdefg", m[0][lo:hi], re.I) and not any(b[0] <= span[0] and span[1] <= b[1] for b in base):
+                    out.append((span[0], KINDS.index(name), span[1]))
+    return out
+
+
+def test_entropy_like_counting_every_window(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [letters, letters + "0123456789", letters[:26] + "0123456789", letters[26:] + "0123456789", "0123456789abcdef", letters + "0123456789+/_-"]
+    word = lambda: "".join(rng.choice(rng.choice(["aab", rng.choice(alphabets)])) if rng.random() < 0.15 else rng.choice(a) for _ in range(rng.randrange(12, 60)))
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(4):
+            a = rng.choice(alphabets)
+            parts.append(word())
+        texts.append(rng.choice([" ", ", ", " token=", "é"]).join(parts))
+    texts += ["kJ8sQ2vX9zLm4NpR0123456789abcdef0tYw3BcD6fGh1AaE", "parseHtmlDocumentFromTheUrlWithJsonData", "aB3dE5gH7jK9mN1pQ4sT", "tQWxRbNNmKoPPsDdFFghJkLZZxcVbnMMqE", "kJ8sQ2vX0123456789abcdefghijklm"]
+    got = {r.doc_id: r.spans for r in scan_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text)]
+        want = [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(plain_entropy_spans(text, base))]
+        assert [s for s in got[i].split(",") if s.startswith("entropy")] == want, text
+    assert [got[120 + i].split(",")[0] for i in range(4)] == ["entropy_base64:0:48", "", "entropy_short:0:20", "entropy_letters:0:34"]
+
+
 def test_secrets_of_an_empty_table(spark):
     assert scan_secrets(docs(spark, SECRETS and [(1, "x")]).where("false")).count() == 0
     assert re.fullmatch(ACCESS, "AKIA" + "A" * 14) and re.fullmatch(HEX, "0" * 16)
