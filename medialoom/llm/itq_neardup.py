@@ -11,9 +11,11 @@ from medialoom.llm.common import bounded_sample, map_slices, usable
 from medialoom.llm.components import connected_components
 from medialoom.session import materialize
 
-BITS, TABLES, CHUNK = 64, 4, 16
+BITS = 64
+CHUNKS = (16, 12, 10, 8, 6, 4)  # bits per table, tried in this order
 SAMPLE_ROWS = 20_000
 ROUNDS = 30
+TRIAL_ROWS, TRIAL_LINKS, TRIAL_RECALL = 2_000, 200, 0.99
 
 
 def padded(column: pa.Array, width: int) -> np.ndarray:
@@ -28,20 +30,54 @@ def padded(column: pa.Array, width: int) -> np.ndarray:
 
 
 def fit_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Projection and thresholds: principal axes, rotated so that signs fit best, each bit split at its median."""
+    """Projection and thresholds of ``BITS`` bits: principal axes, rotated so that signs fit best, each bit split at its
+    median. Vectors of fewer dimensions get several rotations."""
     mean = x.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
-    axes = axes[:, ::-1][:, : min(BITS, x.shape[1])]
+    _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(x.shape[1], -1) if len(x) > 1 else np.eye(x.shape[1]))
+    axes = axes[:, ::-1][:, :BITS]
     v = (x - mean) @ axes
-    turn, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((v.shape[1], v.shape[1])))
-    for _ in range(ROUNDS):
-        z = v @ turn
-        u, _, w = np.linalg.svd(np.where(z >= 0, 1.0, -1.0).T @ v)
-        turn = (u @ w).T
-    projection = axes @ turn
+    random, parts = np.random.default_rng(0), []
+    while sum(p.shape[1] for p in parts) < BITS:
+        turn, _ = np.linalg.qr(random.standard_normal((v.shape[1], v.shape[1])))
+        for _ in range(ROUNDS):
+            z = v @ turn
+            u, _, w = np.linalg.svd(np.where(z >= 0, 1.0, -1.0).T @ v)
+            turn = (u @ w).T
+        parts.append(axes @ turn)
+    projection = np.concatenate(parts, axis=1)[:, :BITS]
     return projection, np.median(x @ projection, axis=0)
 
 
+def links_of_sample(x: np.ndarray, labels: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of the sample's first ``TRIAL_ROWS`` rows with all; if they are few, these rows and the same rows turned
+    by the angle of ``cosine`` in any direction."""
+    pairs = []
+    for at in range(0, min(len(x), TRIAL_ROWS), 250):
+        i, j = np.nonzero((x[at : at + 250] @ x.T >= cosine) & (labels[at : at + 250, None] == labels[None, :]))
+        keep = i + at < j
+        pairs.append(np.stack([i + at, j], 1)[keep][:20_000])
+    found = np.concatenate(pairs)
+    if len(found) >= TRIAL_LINKS:
+        return x[found[:, 0]], x[found[:, 1]]
+    near = x[:TRIAL_ROWS]
+    aside = np.random.default_rng(1).standard_normal(near.shape)
+    aside -= np.einsum("ij,ij->i", aside, near)[:, None] * near
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    return near, cosine * near + np.sqrt(max(0.0, 1 - cosine**2)) * aside
+
+
+def plan_tables(differ: np.ndarray) -> tuple[int, int]:
+    """``(chunk, radius)`` from the bits in which linked pairs differ: the widest chunk whose tables find ``TRIAL_RECALL`` of
+    the pairs (two bits apart in some chunk at most), and how many bits all but a thousandth of the pairs differ in."""
+    radius = max(20, int(np.quantile(differ.sum(axis=1), 0.999)) + 2)
+    for chunk in CHUNKS:
+        tables = BITS // chunk
+        apart = differ[:, : tables * chunk].reshape(len(differ), tables, chunk).sum(axis=2)
+        if (apart.min(axis=1) <= 2).mean() >= TRIAL_RECALL:
+            break
+    return chunk, radius
+
+
 def embedding_links(vectors: DataFrame, vec_id: str, embedding: str, label: str, cosine: float) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)``: distinct vectors of a label ``(label, h1, h2, cid, rep, copies)``, where ``cid`` is a hash of the
     class and ``rep`` its smallest id, and linked pairs ``(a, b)`` of classes. See ``embedding_components``."""
@@ -53,11 +89,15 @@ def embedding_links(vectors: DataFrame, vec_id: str, embedding: str, label: str,
     reps = keyed.join(classes.select("label", "h1", "h2", "cid", F.col("rep").alias("id")), ["label", "h1", "h2", "id"])
     reps = reps.dropDuplicates(["cid"]).select(F.col("cid").alias("id"), "label", "v")
     width = reps.agg(F.max(F.size("v"))).first()[0]
-    sample = bounded_sample(reps.select("id", "v"), "id", SAMPLE_ROWS).toArrow()["v"].combine_chunks() if width else []
+    sample = bounded_sample(reps.select("id", F.xxhash64("label").alias("label"), "v"), "id", SAMPLE_ROWS).toArrow() if width else []
     if len(sample) < 1:
         return classes, classes.selectExpr("cid AS a", "cid AS b").where("false")
-    projection, cut = fit_rotation(padded(sample, width))
-    weights = (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64)).astype(np.uint64)
+    x = padded(sample["v"].combine_chunks(), width)
+    projection, cut = fit_rotation(x)
+    one, other = links_of_sample(x, sample["label"].to_numpy(), cosine)
+    chunk, radius = plan_tables((one @ projection > cut) != (other @ projection > cut))
+    tables = BITS // chunk
+    weights = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)).astype(np.uint64)
 
     def encode(cols: dict) -> dict:
         bits = padded(cols["v"], width) @ projection > cut
@@ -68,18 +108,18 @@ def embedding_links(vectors: DataFrame, vec_id: str, embedding: str, label: str,
     coded = materialize(
         map_slices(reps, encode, f"id bigint, label {fields['label']}, v {fields['v']}, code bigint"), "codes"
     )
-    flips = F.array(*[F.lit(x) for x in [0, *(1 << i for i in range(CHUNK))]])
+    flips = F.array(*[F.lit(x) for x in [0, *(1 << i for i in range(chunk))]])
     probes = (
-        coded.select("id", "label", F.size("v").alias("dim"), "code", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t"))
-        .withColumn("chunk", F.expr(f"shiftrightunsigned(code, t * {CHUNK}) & {(1 << CHUNK) - 1}").cast("int"))
+        coded.select("id", "label", F.size("v").alias("dim"), "code", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+        .withColumn("chunk", F.expr(f"shiftrightunsigned(code, t * {chunk}) & {(1 << chunk) - 1}").cast("int"))
         .withColumn("flip", F.explode(flips))
         .select("label", "dim", "t", F.col("chunk").bitwiseXOR(F.col("flip")).alias("key"), "id", "code", "flip")
     )
     x, y = probes.alias("x"), probes.alias("y")
     diff = F.col("x.code").bitwiseXOR(F.col("y.code"))
-    part = lambda i: F.bit_count(F.shiftrightunsigned(diff, i * CHUNK).bitwiseAND((1 << CHUNK) - 1))
+    part = lambda i: F.bit_count(F.shiftrightunsigned(diff, i * chunk).bitwiseAND((1 << chunk) - 1))
     first = F.lit(False)
-    for i in range(TABLES):
+    for i in range(tables):
         here = F.col("x.t") == i
         for j in range(i):
             here &= part(j) > 2
@@ -88,8 +128,7 @@ def embedding_links(vectors: DataFrame, vec_id: str, embedding: str, label: str,
         )
         first |= here & flips_met
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("label", "dim", "t", "key")]
-    radius = F.bit_count(diff) <= 20
-    pairs = x.join(y, same[0] & same[1] & same[2] & same[3] & (F.col("x.id") < F.col("y.id")) & radius & first)
+    pairs = x.join(y, same[0] & same[1] & same[2] & same[3] & (F.col("x.id") < F.col("y.id")) & (F.bit_count(diff) <= radius) & first)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("label"))
 
     def rerank(cols: dict) -> dict:
@@ -108,9 +147,10 @@ def embedding_components(
 
     Vectors of equal, non-null label link when their cosine in double precision is at least ``cosine``. Equal vectors of
     a label are one class; a rotation learned by iterative quantisation on about ``SAMPLE_ROWS`` rows gives every class
-    64 balanced bits. Classes that differ in at most two bits of one of four 16-bit chunks (each table holds every code
-    under its own chunk and all chunks one bit away, so two codes meet two bits apart), and in at most 20 bits in all,
-    are compared by their vectors, each pair once.
+    64 balanced bits. Classes that differ in at most two bits of some chunk (each table holds every code under its own chunk
+    and all chunks one bit away, so two codes meet two bits apart) are compared by their vectors, each pair once. Chunks
+    have 16 bits, or fewer if links of the sample ask for it: where all vectors share a direction, codes of linked vectors
+    differ in many bits. The same links give the number of bits beyond which no pair is compared, 20 at least.
 
     Null, empty or zero vectors, those with null or non-finite components, null labels and null ids link with nothing.
     Vectors of unequal length never link. Repeated rows link with each other; rows that share an id but not the vector or

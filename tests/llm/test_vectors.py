@@ -45,6 +45,23 @@ def test_links_like_all_pairs(spark):
     assert got[None].n_links == 0 and got[None].component_id is None
 
 
+def test_links_of_vectors_with_a_common_direction(spark):
+    """The cosine is not centred: most of every vector's length may lie in one direction that all share."""
+    rng = np.random.default_rng(31)
+    for n, dims, common in ((1200, 64, 0.9), (1200, 64, 0.8), (900, 24, 0.6)):
+        own = rng.standard_normal((n, dims)) + (1.5 if dims > 30 else 4) * rng.standard_normal((n // 20, dims))[np.arange(n) % (n // 20)]
+        own[:, 0] = 0
+        x = np.sqrt(1 - common) * own / np.linalg.norm(own, axis=1, keepdims=True)
+        x[:, 0] = np.sqrt(common)
+        rows = [(i, v.tolist(), i % 2, "x") for i, v in enumerate(x)]
+        same = (np.arange(n) % 2)[:, None] == np.arange(n) % 2
+        link = (x @ x.T >= 0.93) & same & ~np.eye(n, dtype=bool)
+        got = {r.vec_id: r.n_links for r in embedding_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+        found = np.array([got[i] for i in range(n)])
+        assert link.sum() > 2000 and (found <= link.sum(1)).all()
+        assert found.sum() >= 0.97 * link.sum(), (dims, common, found.sum() / link.sum())
+
+
 def test_links_of_an_empty_table(spark):
     assert embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.kept for r in embedding_components(spark.createDataFrame(odd_rows(0)[:3], SCHEMA)).collect()] == [True] * 3
