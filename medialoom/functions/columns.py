@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 # The characters treated as whitespace (as a class and as a list), and the token pattern.
 SPACE = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
@@ -96,12 +97,28 @@ def surrogate_id(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("bigint")
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``small`` only after counting that it holds at most ``max_rows`` rows.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: eight for a number or time, else the length of the text or of its JSON."""
+    sizes = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            sizes.append(F.octet_length(c))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(c))))
+        else:
+            sizes.append(F.lit(8))
+    return F.lit(8).cast("bigint") + sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0))
 
-    Beyond the bound the plain frame is returned and the join runs as a shuffle join, where adaptive
+
+def bounded_broadcast(small: DataFrame, max_rows: int = 100_000, max_bytes: int = 128 << 20) -> DataFrame:
+    """Broadcast ``small`` only after one count shows at most ``max_rows`` rows of at most ``max_bytes`` in all.
+
+    Beyond a bound the plain frame is returned and the join runs as a shuffle join, where adaptive
     execution splits skewed keys.
     """
-    if small.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
+    seen = small.select(row_bytes(small).alias("bytes")).limit(max_rows + 1)
+    found = seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    if found["rows"] <= max_rows and found["bytes"] <= max_bytes:
         return F.broadcast(small)
     return small

@@ -124,14 +124,16 @@ def allowed_polarities(labels: Column) -> Column:
 def blocklist(decisions: DataFrame, base: list[str] = BASE_BLOCKLIST) -> DataFrame:
     """Blocked words: a fixed base and the blocking sections of the review decisions.
 
-    ``decisions(section, item)``: an item is a word or a JSON object naming its word.
+    ``decisions(section, item)``: an item is a word or a JSON object naming its word, parsed once.
     """
     item = strip(F.col("item"))
     named = F.coalesce(
-        *[F.nullif(strip(F.get_json_object(item, f"$.{k}")), F.lit("")) for k in ("surface", "keyword", "keyword_text")]
+        *[F.nullif(strip(F.try_variant_get("parsed", f"$.{k}", "string")), F.lit("")) for k in ("surface", "keyword", "keyword_text")]
     )
-    word = F.when(item.startswith("{"), named).otherwise(item)
-    reviewed = decisions.filter(F.col("section").isin(*BLOCK_SECTIONS)).select(word.alias("word"))
+    word = F.when(F.col("item").startswith("{"), named).otherwise(F.col("item"))
+    items = decisions.filter(F.col("section").isin(*BLOCK_SECTIONS)).select(item.alias("item"))
+    parsed = F.when(F.col("item").startswith("{"), F.try_parse_json("item"))
+    reviewed = items.select("item", parsed.alias("parsed")).select(word.alias("word"))
     fixed = decisions.sparkSession.createDataFrame([(w,) for w in base], "word string")
     return reviewed.unionByName(fixed).filter(F.col("word") != "").distinct()
 

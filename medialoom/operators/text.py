@@ -481,18 +481,24 @@ TASKS = ["SUMMARY", "SCORE", "DETAIL", "COMPARE"]
 
 
 def clean_intent(df: DataFrame, message: str) -> DataFrame:
-    """Reply text to typed columns: the JSON slice is cut out, names checked, numbers coerced, bounds kept."""
-    body = F.regexp_extract(F.col(message), r"(?s)\{.*\}", 0)
+    """Reply text to typed columns: the JSON slice is cut out, names checked, numbers coerced, bounds kept.
+
+    The slice is parsed once into a variant, from which every field is taken. What is no JSON object, or names a key twice,
+    gives the defaults.
+    """
+    reply = "_reply"
+    while reply in df.columns:
+        reply += "_"
 
     def field(*names: str) -> Column:
-        values = [F.get_json_object(body, f"$.{n}") for n in names]
+        values = [F.try_variant_get(reply, f"$.{n}", "string") for n in names]
         return F.coalesce(*[F.when(v != "", v) for v in values])
 
     def named(options: list[str], *names: str, default: str | None = None) -> Column:
         value = F.upper(field(*names))
         return F.when(value.isin(*options), value).otherwise(F.lit(default))
 
-    listed = F.from_json(field("keywords"), "array<string>")
+    listed = F.try_variant_get(reply, "$.keywords", "array<string>")
     words = F.slice(
         F.filter(F.transform(F.coalesce(listed, F.array()), strip), lambda w: w.isNotNull() & (w != "")),
         1,
@@ -501,7 +507,8 @@ def clean_intent(df: DataFrame, message: str) -> DataFrame:
     whole = field("limit").try_cast("double").try_cast("int")
     limit = F.coalesce(F.when(whole != 0, whole), F.lit(5))
     keep = [c for c in df.columns if c != message]
-    return df.select(
+    parsed = F.try_parse_json(F.regexp_extract(F.col(message), r"(?s)\{.*\}", 0))
+    return df.withColumn(reply, parsed).select(
         *keep,
         named(INTENTS, "intent", default="GENERAL_CHAT").alias("intent"),
         F.array_join(words, "|").alias("keywords"),

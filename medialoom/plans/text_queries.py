@@ -19,7 +19,9 @@ from medialoom.plans.sqlviews import (
     s_votes,
     with_views,
 )
+from medialoom.session import scratch_path
 from medialoom.sources import views as V
+from medialoom.sources.files import read_caption_files
 
 
 @query(
@@ -156,6 +158,26 @@ def caption_lines(spark, sf):
     return T.caption_lines(V.text_table(spark, sf, "pages").select("page_id", "html"), "html")
 
 
+@query(
+    "scan_caption_files",
+    """SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, length(unnest(l)) AS n_chars, generate_subscripts(l, 1) - 1 AS place
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+)
+def scan_caption_files(spark, sf):
+    """Every document is written as a caption track, one cue a line; place counts lines from the track's first."""
+    cue = lambda x, i: F.concat(F.lit("00:00.000 --> 00:09.000\n<v A>"), "doc_id", F.lit(":"), i, F.lit(":"), F.length(x), F.lit("</v>\n"))
+    cues = F.transform(F.split("text", "\n"), cue)
+    path = scratch_path(spark, "tracks")
+    V.table(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("WEBVTT\n\n"), F.array_join(cues, "\n"))).write.text(path)
+    part = lambda i, kind: F.get(F.split("line_text", ":"), F.lit(i)).cast(kind)
+    lines = read_caption_files(spark, path).select(
+        part(0, "bigint").alias("doc_id"), part(1, "int").alias("line"), part(2, "int").alias("n_chars"), "file", "line_index"
+    )
+    first = lines.where("line = 0").select("doc_id", F.col("line_index").alias("first"))
+    placed = lines.join(first, "doc_id")
+    return placed.select("doc_id", "line", "n_chars", (F.col("line_index") - F.col("first")).alias("place"))
+
+
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
 _OVERLAP = "coalesce(list_max(list_filter(range(1, least(len(known), len(words)) + 1), lambda k: known[len(known) - k + 1:] = words[1:k])), 0)"
 

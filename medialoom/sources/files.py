@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from medialoom.functions.columns import strip
-from medialoom.operators.text import parse_flag
+from medialoom.functions.columns import bounded_broadcast, strip
+from medialoom.operators.text import caption_lines, parse_flag
+from medialoom.session import materialize
 
 CORRUPT = "_corrupt"
 
@@ -71,6 +72,29 @@ def read_jsonl_dir(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(path)
 
 
+def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line_index, line_text)``: the caption lines of every file at ``path``, numbered in file order.
+
+    Files are read in splits, a line whole in one of them, so no file has to be one row or fit into a task. A line's number is
+    the number of lines that the file's earlier splits hold, which is a small table, and its place in its own split. Markup
+    that goes on over a line's end stays.
+    """
+    at = ["file", "block"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("read"),  # grows with the place within a split
+        F.col("value").alias("text"),
+    )
+    kept = materialize(caption_lines(lines, "text").withColumnRenamed("line_index", "part"), "captions")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    starts = blocks.select(*at, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("read", "part"))
+    numbered = kept.withColumn("place", place).join(bounded_broadcast(starts), at)
+    return numbered.select("file", (F.col("start") + F.col("place") - 1).alias("line_index"), "line_text")
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = True) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 

@@ -2,10 +2,12 @@
 
 import os
 import random
+import time
 
 from medialoom.operators.ingest import job_counts, job_status, latest_rows
 from medialoom.streaming.buckets import BucketTable
 from medialoom.streaming.jobs import COUNTERS, current_jobs, run_job_states
+from medialoom.streaming.streams import dedupe_stream
 from pyspark.sql import functions as F
 
 EVENT = "event_id bigint, request_id string, outcome string"
@@ -136,3 +138,15 @@ def test_log_rows_of_the_second_place_are_read(spark, tmp_path):
         got = log_stream(spark, stream(spark, folder), "ts", str(place), str(tmp_path / name), 14)
         assert sorted(r.event_id for r in got.collect()) == [0, 1, 2]
         assert (tmp_path / name).exists() == (name == "second")
+
+
+def test_dedupe_over_batches_forgets_what_is_past_the_horizon(spark, tmp_path):
+    """Repeats within the horizon go, in whichever batch they come; an id whose time is past has left the state."""
+    folder = str(tmp_path / "in")
+    rows = [(i, f"r{i}", "queued") for i in range(100)]
+    batches = [(rows[:60] + rows[:9], None), (rows[40:] + rows[20:50], None), (rows[95:] + [(500, "x", "queued")], 120), ([(600, "y", "queued")], 5_000), ([(1, "r1", "queued"), (600, "y", "queued")], 5_001)]
+    for n, (batch, at) in enumerate(batches):
+        put(spark, folder, f"b{n}", batch, at)
+        time.sleep(1.1)  # files are taken in the order of their times
+    out = dedupe_stream(spark, stream(spark, folder), "ts", ["event_id"], "150 seconds")
+    assert sorted(r.event_id for r in out.collect()) == sorted([*range(100), 500, 600, 1])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions import columns as C
 from medialoom.operators import text as T
+from medialoom.sources.files import read_caption_files
 
 
 def col(spark, values, kind="string"):
@@ -200,3 +201,63 @@ def test_merge_with_long_segments_after_many_repeats(spark):
     assert len(got) == 2 * n + 1
     assert got["long", n] == "end" and not any(got["long", i] for i in range(1, n))
     assert got["plain", 0] == "x0 x1" and all(got["plain", i] == f"x{i + 1}" for i in range(1, n))
+
+
+def test_intent_fields_like_one_lookup_each(spark):
+    """One parse into a variant gives what a look into the text for every field gave."""
+    rng = random.Random(12)
+    some = lambda: rng.choice(['"recent"', '"SCORE"', "7", "0", "2.5", '"3"', "null", "true", '""', '"asc"', "[1]", '{"a":1}', "1e1", "-4"])
+    keys = ["intent", "sort_by", "sortBy", "sort_direction", "sortDirection", "candidate_index", "candidateIndex", "answer_task", "answerTask", "limit", "confidence"]
+    replies = []
+    for _ in range(150):
+        fields = [f'"{k}": {some()}' for k in rng.sample(keys, rng.randrange(len(keys)))]
+        fields += rng.choice([[], ['"keywords": [" a ", "", "b c", null, 3]'], ['"keywords": "a"'], ['"keywords": []']])
+        replies.append("so " + "{" + ", ".join(fields) + rng.choice(["}", "}", "} end", ""]))
+    df = col(spark, replies)
+    body = F.regexp_extract("v", r"(?s)\{.*\}", 0)
+
+    def field(*names):
+        return F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{n}"), F.lit("")) for n in names])
+
+    one_of = lambda options, c, other=None: F.when(F.upper(c).isin(*options), F.upper(c)).otherwise(F.lit(other))
+    number = lambda c: c.try_cast("double").try_cast("int")
+    listed = F.coalesce(F.from_json(field("keywords"), "array<string>"), F.array())
+    want = df.select(
+        "id",
+        one_of(T.INTENTS, field("intent"), "GENERAL_CHAT"),
+        F.array_join(F.filter(F.transform(listed, C.strip), lambda w: w != ""), "|"),
+        one_of(T.SORTS, field("sort_by", "sortBy")),
+        one_of(["ASC", "DESC"], field("sort_direction", "sortDirection"), "DESC"),
+        number(field("candidate_index", "candidateIndex")),
+        one_of(T.TASKS, field("answer_task", "answerTask")),
+        F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(F.nullif(number(field("limit")), F.lit(0)), F.lit(5)))),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(field("confidence").try_cast("double"), F.lit(0.0)))),
+    )
+    got = T.clean_intent(df, "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1 and "get_json_object" not in plan
+
+
+def test_caption_files_in_splits(spark, tmp_path):
+    """Files cut into many splits give the lines of the whole files, in their order."""
+    rng = random.Random(13)
+    for n in range(3):
+        cues = [f"{i}\n00:{i:03}.000 --> 00:{i:03}.900\n<c>track {n} {i}</c> {'é' * rng.randrange(60)}\n" for i in range(200 * n)]
+        (tmp_path / f"{n}.vtt").write_bytes(("WEBVTT\n\n" + rng.choice(["\n", "\r\n"]).join(cues)).encode())
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    want = sorted(map(tuple, T.caption_lines(whole, "value").collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = read_caption_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == want and len(want) == 600
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit("y" * 500)).alias("a"), F.lit(None).cast("map<string,int>").alias("m"))
+    hinted = lambda **bounds: "broadcast" in C.bounded_broadcast(df, **bounds)._jdf.queryExecution().logical().toString()
+    assert hinted() and not hinted(max_rows=999) and not hinted(max_bytes=1_400_000) and hinted(max_bytes=1_700_000)
