@@ -141,12 +141,12 @@ def test_log_rows_of_the_second_place_are_read(spark, tmp_path):
 
 
 def test_dedupe_over_batches_forgets_what_is_past_the_horizon(spark, tmp_path):
-    """Repeats within the horizon go, in whichever batch they come; an id whose time is past has left the state."""
+    """Repeats within the horizon go, in whichever batch they come; an id whose time is past leaves it after a batch."""
     folder = str(tmp_path / "in")
     rows = [(i, f"r{i}", "queued") for i in range(100)]
-    batches = [(rows[:60] + rows[:9], None), (rows[40:] + rows[20:50], None), (rows[95:] + [(500, "x", "queued")], 120), ([(600, "y", "queued")], 5_000), ([(1, "r1", "queued"), (600, "y", "queued")], 5_001)]
+    batches = [(rows[:60] + rows[:9], None), (rows[40:] + rows[20:50], None), (rows[95:] + [(500, "x", "queued")], 120), ([(600, "y", "queued")], 5_000), ([(700, "z", "queued")], 5_001), ([(1, "r1", "queued"), (600, "y", "queued")], 5_002)]
     for n, (batch, at) in enumerate(batches):
         put(spark, folder, f"b{n}", batch, at)
         time.sleep(1.1)  # files are taken in the order of their times
     out = dedupe_stream(spark, stream(spark, folder), "ts", ["event_id"], "150 seconds")
-    assert sorted(r.event_id for r in out.collect()) == sorted([*range(100), 500, 600, 1])
+    assert sorted(r.event_id for r in out.collect()) == sorted([*range(100), 500, 600, 700, 1])
