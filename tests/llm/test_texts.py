@@ -9,7 +9,7 @@ import zlib
 
 from medialoom.llm.html_main import extract_main_text, main_text
 from medialoom.llm.language import language_report
-from medialoom.llm.line_dedup import dedup_lines, patience
+from medialoom.llm.line_dedup import common_lines, dedup_lines, held_runs, patience
 from medialoom.llm.secrets import ACCESS, ASSIGN, CLASSES, HEX, KINDS, scan_secrets
 from medialoom.llm.substring_dedup import dedup_substrings, edges
 
@@ -208,6 +208,56 @@ def test_lines_like_every_run(spark):
     assert got[2] == "own 2" and got[3] == "own 3" and got[14] == "14" and got[22] == "22" and got[32] == "r"
 
 
+def test_changed_passages_go_by_alignment(spark):
+    """Passages of short rare lines with lines changed, inserted or left out; only their order tells that they are copies."""
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choice("abcdefghijklm ") for _ in range(rng.randrange(26, 40))).strip().ljust(26, "x")
+    rows, want = [], {}
+    for n in range(30):
+        passage = [line() for _ in range(8)]
+        other = [line() for _ in range(3)]
+        rows.append((2 * n, "\n".join([*other, *passage, line()])))
+        kept, copy = [], []
+        for at, x in enumerate(passage):
+            act = "same" if at % 2 == 0 else rng.choice(["change", "insert", "drop"])
+            new = [] if act == "drop" else [line()] if act != "same" else []
+            copy += [x, *new] if act in ("same", "insert") else new
+            kept += new
+        ends = [line()], [line(), line()]
+        rows.append((2 * n + 1, "\n".join([*ends[0], *copy, *ends[1]])))
+        # what stands behind the last shared line is not in a gap, but it is no shared line either
+        want[2 * n + 1] = "\n".join([*ends[0], *kept, *ends[1]])
+    single = line()
+    rows += [(100, f"{single}\nown line of the hundredth"), (101, f"{single}\nown line of the next document")]  # one line is no block
+    apart = [line(), line()]
+    rows += [(110, "\n".join([apart[0], *"abc", apart[1]])), (111, "\n".join([apart[0], *"def", apart[1]]))]  # a gap of three lines
+    order = [line(), line()]
+    rows += [(120, f"{order[0]}\nq\n{order[1]}"), (121, f"{order[1]}\nr\n{order[0]}")]  # another order
+    often = [line(), line()]
+    rows += [(200 + i, f"{often[0]}\n{i}\n{often[1]}") for i in range(9)]  # nine times is not rare
+    got = {r.doc_id: r.text for r in dedup_lines(docs(spark, rows)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == text for i, text in rows if i not in want)
+    runs_only = {r.doc_id: r.text for r in dedup_lines(docs(spark, rows), rare_times=0).collect()}
+    by_runs = lines_held_before(sorted(rows))
+    assert [runs_only[i] for i, _ in sorted(rows)] == by_runs and sum(runs_only[i] != got[i] for i in want) > 20
+
+
+def test_alignment_decides_and_runs_are_compared():
+    a, b = [1, 2, 3, 4, 5, 6], [1, 9, 3, 8, 5, 6, 7]
+    assert common_lines(patience(a, b), [30] * 7, {0, 2}, 50, 2) == ([4, 5], [0, 2])
+    assert common_lines([], [30] * 7, {0, 2}, 50, 2) == ([], [])
+    assert common_lines(patience(a, b), [30] * 7, {0, 2}, 50, 0) == ([4, 5], [])
+    assert held_runs([1, 1, 2, 3], [3, 1, 2, 3, 1, 1], [(1, 3), (2, 4), (4, 6), (0, 2)]) == [(1, 4), (4, 6)]
+
+
+def test_many_empty_lines_take_linear_time(spark):
+    line = "a line that is long enough by itself, with fifty characters"
+    rows = [(1, line + "\n" * 40_000 + line), (2, "x\n" + line + "\n" * 40_000 + line), (3, "\n" * 40_000 + "own")]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[1].n_removed == 0 and got[2].text == "x" and got[3].n_removed == 0
+
+
 def test_repeated_passages_go(spark):
     rng = random.Random(6)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
