@@ -391,20 +391,25 @@ def related_features(
     near = F.filter(
         "s_keywords", lambda k: ~F.array_contains("c_keywords", F.lower(k)) & F.contains("c_hay", F.lower(k))
     )
+    # counts and the skip test use the plain lists, so a query that wants no texts neither sorts nor writes them
     out = joined.withColumns(
         {
-            "shared_issues": F.array_sort(F.array_intersect("s_issues", "c_issues")),
-            "shared_entities": F.array_sort(F.array_intersect("s_entities", "c_entities")),
-            "shared_keywords": F.concat(F.array_sort(exact), near),
+            "_issues": F.array_intersect("s_issues", "c_issues"),
+            "_entities": F.array_intersect("s_entities", "c_entities"),
+            "_exact": exact,
+            "_near": near,
             "semantic": clamp01(dot(F.col("s_vec"), F.col("c_vec"))) if semantic else F.lit(None).cast("double"),
             "opinion_distance": F.abs(F.col("s_opinion") - F.col("c_opinion")),
         }
     )
     out = out.withColumns(
         {
-            "issue_overlap_count": F.size("shared_issues"),
-            "shared_keyword_count": F.size("shared_keywords"),
-            "shared_entity_count": F.size("shared_entities"),
+            "shared_issues": F.sort_array("_issues"),
+            "shared_entities": F.sort_array("_entities"),
+            "shared_keywords": F.concat(F.sort_array("_exact"), "_near"),
+            "issue_overlap_count": F.size("_issues"),
+            "shared_keyword_count": F.size("_exact") + F.size("_near"),
+            "shared_entity_count": F.size("_entities"),
             "similarity": F.coalesce("semantic", clamp01(1.0 - F.col("opinion_distance"))),
         }
     )
@@ -424,8 +429,11 @@ def related_features(
         .otherwise(F.array().cast("array<string>"))
     )
     out = out.withColumns({"relevance": total, "score_breakdown": breakdown, "reasons": F.concat(found, closing)})
-    return out.withColumn("skip_reason", F.when(F.size("reasons") == 0, "candidate_no_relation_signal")).drop(
-        "s_issues", "s_entities", "s_keywords", "s_vec", "c_vec", "c_issues", "c_entities", "c_keywords", "c_hay"
+    shared = F.greatest("issue_overlap_count", "shared_keyword_count", "shared_entity_count") > 0
+    related = F.coalesce(shared | (F.col("semantic") >= SEMANTIC_CUT) | missing, F.lit(False))
+    return out.withColumn("skip_reason", F.when(~related, "candidate_no_relation_signal")).drop(
+        "s_issues", "s_entities", "s_keywords", "s_vec", "c_vec", "c_issues", "c_entities", "c_keywords", "c_hay",
+        "_issues", "_entities", "_exact", "_near",
     )
 
 
