@@ -90,11 +90,12 @@ def with_noun_quota(
     return out.select(*group, "slot", F.coalesce("_noun", "_own").alias("_row")).select(*group, "slot", "_row.*")
 
 
-def focus_keywords(tokens: DataFrame, totals: DataFrame) -> DataFrame:
+def focus_keywords(tokens: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Repeated keywords per document scored by sentence share and frequency, before the quota.
 
-    ``tokens(doc_id, sentence_id, form, surface, tag)``, ``totals(doc_id, total)``. Occurrences are first
-    counted per sentence, so distinct sentences are plain row counts.
+    ``tokens(doc_id, sentence_id, form, surface, tag)``, ``totals(doc_id, total)``; without the second, each
+    token carries the ``total`` of its document, and the sentences are read once. Occurrences are first counted
+    per sentence, so distinct sentences are plain row counts.
     """
     tag = F.col("tag")
     key = F.when(among(tag, NOUN_TAGS), strip(F.col("form"))).when(
@@ -105,16 +106,17 @@ def focus_keywords(tokens: DataFrame, totals: DataFrame) -> DataFrame:
         & ~among(F.lower("keyword"), FOCUS_STOPWORDS)
         & ~among(F.lower(strip(F.col("surface"))), FOCUS_STOPWORDS)
     )
-    per_sentence = rows.groupBy("doc_id", "keyword", "sentence_id").agg(F.count(F.lit(1)).alias("n"))
+    carried = [F.max("total").alias("total")] if totals is None else []
+    per_sentence = rows.groupBy("doc_id", "keyword", "sentence_id").agg(F.count(F.lit(1)).alias("n"), *carried)
     counted = per_sentence.groupBy("doc_id", "keyword").agg(
-        F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("sentence_count")
+        F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("sentence_count"), *carried
     )
     repeated = counted.filter((F.col("occurrence_count") >= MIN_TF) & (F.col("sentence_count") >= MIN_DF))
     most = repeated.groupBy("doc_id").agg(F.max("occurrence_count").alias("_max"))
     score = 0.8 * (F.col("sentence_count") / F.col("total")) + 0.2 * (F.col("occurrence_count") / F.col("_max"))
+    scored = repeated.join(most, "doc_id")
     return (
-        repeated.join(most, "doc_id")
-        .join(totals, "doc_id")
+        (scored if totals is None else scored.join(totals, "doc_id"))
         .withColumn("score", round4(clamp01(score)))
         .drop("_max", "total")
     )

@@ -277,9 +277,7 @@ def focus_tokens(spark, sf):
     ),
 )
 def focus_keywords(spark, sf):
-    tokens = focus_tokens(spark, sf)
-    totals = V.prepared(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    ranked = K.focus_keywords(tokens, totals)
+    ranked = K.focus_keywords(focus_tokens(spark, sf))
     return K.with_noun_quota(ranked, ["doc_id"], K.focus_order()).select("doc_id", "slot", "keyword", "score")
 
 
