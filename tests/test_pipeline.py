@@ -194,6 +194,23 @@ def test_same_issue_pairs_equal_all_pairs(spark):
     assert got == want
 
 
+def test_candidates_are_ranked_per_issue_set(spark):
+    """A hundred sources of one set of issues cost one list, whatever their number; the fallback fills short lists in the row."""
+    vids = [video(f"v{i:03}", "KR" if i < 100 else "US", i + 1) for i in range(104)] + [video("x", "CN", 5)]
+    edges = [(f"v{i:03}", "i0", "X") for i in range(104)]
+    videos, part_of = spark.createDataFrame(vids, VIDEO), spark.createDataFrame(edges, "video_id string, issue_id string, cluster_type string")
+    sources = P.issue_sets(videos, part_of)
+    assert sources.count() == 105
+    per_set = P.best_per_set(sources, P.best_per_issue(videos, part_of, 3), 3)
+    assert per_set.count() == 6
+    lists = P.lists_of_sources(sources, per_set.drop("rank"))
+    assert {r.source_id: r.candidates for r in lists.collect()}["v000"] == [("US", "v101"), ("US", "v102"), ("US", "v103")]
+    pool = spark.createDataFrame([("US", "v100"), ("US", "v103"), ("CN", "x"), (None, "y")], "country string, video_id string")
+    filled = {r.source_id: [tuple(c) for c in r.candidates] for r in P.with_fallback(lists, pool, 4).collect()}
+    assert sorted(filled["v000"]) == [("CN", "x", 1), ("US", "v100", 1), ("US", "v101", 0), ("US", "v102", 0), ("US", "v103", 0)]
+    assert sorted(filled["x"]) == [("US", "v100", 1), ("US", "v103", 1)]
+
+
 def test_keyword_extraction(spark):
     df = spark.createDataFrame([(["a, b", "A", "news", None], "x"), ([], "the Big title")], "raw array<string>, t string")
     got = [r[0] for r in df.select(P.extract_keywords(F.col("raw"), F.col("t"), 5)).collect()]
