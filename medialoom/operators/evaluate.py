@@ -7,7 +7,10 @@ have been aggregated and partitioned, never the texts or sentences behind them.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,6 +327,11 @@ FEATURES = [
 GROUP = ["source_id", "keyword", "country"]
 
 
+def _slim(rows: DataFrame) -> DataFrame:
+    values = [F.col(f).cast("int").cast("double") if f in ("analysis_success", "published_at") else F.col(f).cast("double") for f in FEATURES]
+    return rows.select(*GROUP, "candidate_id", "relevance", F.array(*values).alias("f"))
+
+
 def variant_scores(rows: DataFrame, variants: dict[str, tuple[float, ...]]) -> DataFrame:
     """Score of every candidate under every variant.
 
@@ -336,8 +344,7 @@ def variant_scores(rows: DataFrame, variants: dict[str, tuple[float, ...]]) -> D
             for n, v in variants.items()
         ]
     )
-    values = [F.col(f).cast("int").cast("double") if f in ("analysis_success", "published_at") else F.col(f).cast("double") for f in FEATURES]
-    slim = rows.select(*GROUP, "candidate_id", "relevance", F.array(*values).alias("f"))
+    slim = _slim(rows)
     # A fixed number keeps adaptive execution from merging partitions that are about to grow many times.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = slim.repartition(parts, *GROUP)
@@ -401,6 +408,112 @@ def variant_means(metrics: DataFrame, stability: DataFrame) -> DataFrame:
     )
 
 
+def _group_metrics(rows: dict[str, np.ndarray], weights: np.ndarray, base: int, k: int, relevant: int) -> np.ndarray:
+    """``(variants, 6)``: nDCG, recall, reciprocal rank, relevant in the top, overlap and Spearman in units of 0.0001,
+    each summed over the groups. Rows are sorted by group, then candidate, so stable sorts break ties by candidate."""
+    starts = np.flatnonzero(np.diff(rows["group"], prepend=rows["group"][0] - 1))
+    sizes = np.diff(starts, append=len(rows["group"]))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    ranks = np.arange(len(group)) - starts[group] + 1
+    worth = rows["relevance"]  # NaN where there is none
+    good = worth >= relevant
+    gain = np.nan_to_num(np.power(2.0, worth) - 1.0)
+    discount = np.log2(ranks + 1.0)
+    top = ranks <= k
+    units = lambda x: np.floor(x * 10000.0 + 0.5).astype(np.int64).sum()
+
+    def dcg(order: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(top, gain[order] / discount, 0.0), starts)
+
+    ideal = dcg(np.lexsort((-worth, group)))
+    relevant_all = np.add.reduceat(good.astype(np.int64), starts)
+
+    def order_of(w: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(group))
+        for i, x in enumerate(w):
+            score = score + rows["f"][:, i] * x
+        return np.lexsort((-score, group))
+
+    def places(order: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), np.int64)
+        out[order] = ranks
+        return out
+
+    at_base = places(order_of(weights[base]))
+    n = sizes.astype(float)
+    out = []
+    for w in weights:
+        order = order_of(w)
+        place = places(order)
+        hits = np.add.reduceat((good[order] & top).astype(np.int64), starts)
+        first = np.minimum.reduceat(np.where(good[order], ranks, np.inf), starts)
+        apart = np.add.reduceat((place - at_base) ** 2, starts).astype(float)
+        both = np.add.reduceat(((place <= k) & (at_base <= k)).astype(np.int64), starts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ndcg = np.where(ideal == 0, 1.0, dcg(order) / ideal)
+            recall = np.where(relevant_all == 0, 1.0, hits / relevant_all)
+            spearman = np.where(n < 2, 1.0, 1.0 - 6.0 * apart / (n * (n * n - 1.0)))
+        jaccard = both / (np.minimum(k, sizes) * 2 - both)
+        out.append([units(ndcg), units(recall), units(1.0 / first), hits.sum() * 10000, units(jaccard), units(spearman)])
+    return np.array(out, np.int64)
+
+
+MEANS = ["ndcg", "recall", "mrr", "top_relevant", "jaccard", "spearman"]
+
+
+def sweep_means(rows: DataFrame, variants: dict[str, tuple[float, ...]], k: int = TOP_K, relevant: int = RELEVANT) -> DataFrame:
+    """``variant_means`` of ``ranking_metrics`` and ``against_baseline``, for many variants.
+
+    One shuffle brings the candidates of a group together; a batch of whole groups is then scored and ranked under every
+    variant, and only sums per variant leave the task. So rows are never multiplied by the variants. Metrics are rounded
+    to four digits before they are summed, as whole numbers.
+    """
+    names, weights = list(variants), np.array(list(variants.values()), float)
+    base = names.index("baseline")
+    slim = _slim(rows).withColumns({"relevance": F.col("relevance").cast("double"), "group": F.struct(*GROUP)}).drop(*GROUP)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = slim.repartition(parts, "group").sortWithinPartitions("group", "candidate_id").select("group", "relevance", "f")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, groups, rest = np.zeros((len(names), len(MEANS)), np.int64), 0, None
+
+        def add(table: pa.Table) -> None:
+            nonlocal sums, groups
+            number = _numbers(table)
+            flat = table["f"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            part = {"group": number, "relevance": table["relevance"].to_numpy().astype(float), "f": flat.reshape(len(number), -1)}
+            sums = sums + _group_metrics(part, weights, base, k, relevant)
+            groups += int(number[-1]) + 1
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            number = _numbers(rest) if len(rest) else np.zeros(0, int)
+            whole = int(np.searchsorted(number, number[-1])) if len(number) else 0  # the last group may go on
+            if whole:
+                add(rest.slice(0, whole))
+                rest = rest.slice(whole)
+        if rest is not None and len(rest):
+            add(rest)
+        if groups:
+            columns = [pa.array(names), pa.array([groups] * len(names), pa.int64()), *[pa.array(c) for c in sums.T]]
+            yield pa.RecordBatch.from_arrays(columns, ["variant", "groups", *MEANS])
+
+    found = placed.mapInArrow(summed, "variant string, groups long, " + ", ".join(f"{c} long" for c in MEANS))
+    mean = lambda c: round4(F.sum(c).cast("double") / 10000.0 / F.sum("groups")).alias(f"mean_{c}")
+    return found.groupBy("variant").agg(F.sum("groups").alias("_n"), *[mean(c) for c in MEANS]).withColumnRenamed("_n", "groups")
+
+
+def _numbers(table: pa.Table) -> np.ndarray:
+    """Number of each row's group, from 0; rows are sorted by group."""
+    fields = table["group"].combine_chunks().flatten()
+    changed = np.zeros(len(table), bool)
+    for values in fields:
+        codes = values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(changed)
+
+
 def country_stability(stability: DataFrame) -> DataFrame:
     mean = F.sum(F.col("jaccard").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1))
     return stability.groupBy("variant", "country").agg(round4(mean).alias("mean_jaccard"))

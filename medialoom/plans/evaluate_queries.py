@@ -368,5 +368,4 @@ def ndcg_metrics(spark, sf):
     ),
 )
 def relevance_sweep(spark, sf):
-    scored = E.variant_scores(relevance_rows(spark, sf), VARIANTS)
-    return E.variant_means(E.ranking_metrics(scored), E.against_baseline(scored))
+    return E.sweep_means(relevance_rows(spark, sf), VARIANTS)

@@ -274,6 +274,26 @@ def test_sweeps_have_the_expected_variants():
         E.simplex_weights(0)
 
 
+def test_sweep_means_equal_those_of_the_multiplied_rows(spark):
+    """Groups of one row, ties, groups over several Arrow batches, and groups without a relevant row; rows are not multiplied."""
+    rng = random.Random(4)
+    rows = [(f"s{i % 9 if i % 3 else 0}", "k" if i % 2 else None, "KR", i, rng.randint(0, 3), *(float(rng.randint(0, 2)) for _ in range(4)), i % 2 == 0, 0.5, True) for i in range(300)]
+    rows += [("one", "k", "KR", 1, 0, 1.0, 1.0, 1.0, 1.0, True, 0.1, True)]
+    cols = "source_id string, keyword string, country string, candidate_id int, relevance int, issue_overlap_count double, shared_keyword_count double, shared_entity_count double, semantic_similarity double, analysis_success boolean, view_score double, published_at boolean"
+    df = spark.createDataFrame(rows, cols)
+    df = df.fillna("none", ["keyword"])
+    names = dict(list(E.relevance_variants().items())[:12])
+    scored = E.variant_scores(df, names)
+    want = sorted(map(tuple, E.variant_means(E.ranking_metrics(scored), E.against_baseline(scored)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        means = E.sweep_means(df, names)
+        assert sorted(map(tuple, means.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate" not in means._jdf.queryExecution().toString()
+
+
 def test_ab_separation(spark):
     rows = [("v", "A", 0.9), ("v", "A", 0.8), ("v", "B", 0.2)]
     r = E.ab_separation(spark.createDataFrame(rows, "variant string, dataset string, overall double")).first()
