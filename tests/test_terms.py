@@ -61,6 +61,17 @@ def test_search_with_few_and_with_many_terms(spark, monkeypatch):
     assert [tuple(r) for r in graph.search_videos(df, wanted, 20).orderBy("country", "rank").collect()] == few != []
 
 
+def test_terms_are_tried_once_per_set_of_words(spark):
+    """Texts of one set of words share the trials, and their own counts still decide their points."""
+    rows = [(f"v{i:02d}", "KR", " ".join(["war"] * (i + 1) + ["trade"]), ["war trade"], "", 0.0, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "video_id string, country string, title string, keywords array<string>, published_at string, view_count double, status string")
+    terms = spark.createDataFrame([("war trade",), ("war war",), ("trade",), ("gone war",)], "term string")
+    out = graph.search_videos_by_terms(df, terms, 20)
+    assert "_set" in out._jdf.queryExecution().toString()
+    want = {r.video_id: r.score for r in graph.search_videos(df, [t.term for t in terms.collect()], 20).collect()}
+    assert {r.video_id: r.score for r in out.collect()} == want and len(set(want.values())) == 12
+
+
 def test_issues_and_target_words_with_few_and_with_many(spark, monkeypatch):
     df, issues = context(spark), ["Taiwan", "WAR", "war", "ra", "nothing"]
     run = lambda: sorted(map(repr, country.issue_records(df, ["kr"], issues, "2026-01-02", "2026-01-08").select("video_id", "issues").collect()))
