@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from medialoom.functions.columns import among, clamp01, round4, strip
 from medialoom.functions.lexemes import FOCUS_STOPWORDS, KEYWORD_STOPWORDS
-from medialoom.functions.ranking import top_n
 
 # List lengths, quota and minimum counts.
 TOP_N, NOUN_QUOTA = 5, 2
@@ -48,15 +48,16 @@ def stopword(c: Column, words: list[str] = KEYWORD_STOPWORDS) -> Column:
 def keyword_shares(rows: DataFrame, weight: Column, group: list[str]) -> DataFrame:
     """Weight of each keyword and its share of the group's total.
 
-    Rows are summed per keyword before anything is ranked; the total is joined back from a second sum over
-    those far fewer rows.
+    Rows are summed per keyword first; the total is a window over those far fewer rows. Rows that come partitioned by
+    columns of the group are not shuffled again. A weight that is a decimal of eight digits is summed as a long number.
     """
-    weights = rows.groupBy(*group, "keyword").agg(F.sum(weight.cast("decimal(20,4)")).alias("weight"))
-    totals = weights.groupBy(*group).agg(F.sum("weight").alias("_all"))
+    kind = rows.select(weight).schema[0].dataType
+    exact = weight if isinstance(kind, DecimalType) and kind.scale <= 4 else weight.cast("decimal(20,4)")
+    weights = rows.groupBy(*group, "keyword").agg(F.sum(exact).alias("weight"))
+    totals = weights.withColumn("_all", F.sum("weight").over(Window.partitionBy(*group)))
     share = F.col("weight").cast("double") / F.col("_all").cast("double")
     return (
-        weights.join(totals, group)
-        .filter(F.col("_all") > 0)
+        totals.filter(F.col("_all") > 0)
         .withColumn("score", round4(clamp01(share)))
         .withColumn("weight", F.col("weight").cast("double"))
         .drop("_all")
@@ -69,52 +70,63 @@ def with_noun_quota(
     """Top ``limit`` keywords where at least ``quota`` are nouns, if the list has them.
 
     Missing nouns are taken from below the cut, best first, and overwrite the lowest-ranked predicates; a
-    replaced row keeps its slot. Only ``2 * limit + quota`` rows per group go beyond the ranking step.
+    replaced row keeps its slot. One pass in the order of the ranks: only ``2 * limit + quota`` rows per group go
+    beyond the ranking step, and nothing is joined.
     """
-    noun = ~F.col("keyword").endswith("다")
-    head = top_n(ranked, group, order, limit, "slot").withColumn("is_noun", noun)
-    # Nouns are ordered first instead of filtered first: both rankings then read the same shuffle.
-    best_nouns = top_n(ranked, group, [noun.desc(), *order], limit + quota, "place").filter(noun)
-    below = best_nouns.join(head.select(*group, "keyword"), [*group, "keyword"], "left_anti")
-    by_place = Window.partitionBy(*group).orderBy("place")
-    spare = below.withColumn("j", F.row_number().over(by_place)).filter(F.col("j") <= quota).drop("place")
+    payload = [c for c in ranked.columns if c not in group]
+    best = Window.partitionBy(*group).orderBy(*order)
+    nouns = F.count_if("is_noun").over(best.rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranked.withColumn("is_noun", ~F.col("keyword").endswith("다"))
+    placed = placed.withColumns({"slot": F.row_number().over(best), "_nth": nouns})
+    head = F.col("slot") <= limit
+    few = placed.filter(head | (F.col("is_noun") & (F.col("_nth") <= limit + quota)))
 
     whole = Window.partitionBy(*group)
-    missing = F.greatest(F.lit(quota) - F.count_if("is_noun").over(whole), F.lit(0))
-    lowest = Window.partitionBy(*group, "is_noun").orderBy(F.col("slot").desc())
-    slots = head.withColumn("_missing", missing).withColumn("j", F.row_number().over(lowest))
-    open_slots = slots.withColumn("j", F.when(~F.col("is_noun") & (F.col("j") <= F.col("_missing")), F.col("j")))
-    payload = [c for c in ranked.columns if c not in group]
-    fill = spare.select(*group, "j", F.struct(*payload).alias("_noun"))
-    out = open_slots.select(*group, "slot", "j", F.struct(*payload).alias("_own")).join(fill, [*group, "j"], "left")
-    return out.select(*group, "slot", F.coalesce("_noun", "_own").alias("_row")).select(*group, "slot", "_row.*")
+    own = F.count_if(head & F.col("is_noun")).over(whole)
+    behind = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("_open").desc(), F.col("slot").desc()))
+    few = few.withColumns({"_held": own, "_open": head & ~F.col("is_noun"), "_own": F.struct(*payload)})
+    few = few.withColumn("_j", F.when(F.col("_open"), behind).when(~head, F.col("_nth") - F.col("_held")))
+    # A group has one spare noun per number, so the aggregate over the group is that noun.
+    spare = lambda n: F.first(F.when(~head & (F.col("_j") == n), F.col("_own")), ignorenulls=True).over(whole)
+    spares = F.array(*[spare(n) for n in range(1, quota + 1)]) if quota else F.array(F.lit(None))
+    replaced = F.col("_open") & (F.col("_j") <= F.lit(quota) - F.col("_held"))
+    fill = F.when(replaced, F.get("_spares", F.col("_j").cast("int") - 1)) if quota else F.lit(None)
+    out = few.withColumn("_spares", spares).filter(head)
+    return out.select(*group, "slot", F.coalesce(fill, F.col("_own")).alias("_row")).select(*group, "slot", "_row.*")
+
+
+def focus_keyword(form: Column, tag: Column) -> Column:
+    """Keyword of a stripped form: nouns as they are, verbs with the predicate ending."""
+    return F.when(among(tag, NOUN_TAGS), form).when(tag.startswith("VV"), predicate_text(form))
+
+
+def focus_words(tokens: DataFrame) -> DataFrame:
+    """Tokens whose keyword is long enough and no stopword, nor their surface."""
+    keyword = focus_keyword(strip(F.col("form")), F.col("tag"))
+    return tokens.withColumn("keyword", keyword).filter(
+        (F.length("keyword") >= 2)
+        & ~among(F.lower("keyword"), FOCUS_STOPWORDS)
+        & ~among(F.lower(strip(F.col("surface"))), FOCUS_STOPWORDS)
+    )
 
 
 def focus_keywords(tokens: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Repeated keywords per document scored by sentence share and frequency, before the quota.
 
-    ``tokens(doc_id, sentence_id, form, surface, tag)``, ``totals(doc_id, total)``; without the second, each
+    ``tokens(doc_id, sentence_id, form, surface, tag)``, or what ``focus_words`` leaves of them with ``keyword`` in
+    place of the last three; ``totals(doc_id, total)``; without totals, each
     token carries the ``total`` of its document, and the sentences are read once. Occurrences are first counted
-    per sentence, so distinct sentences are plain row counts.
+    per sentence, so distinct sentences are plain row counts. Tokens that come partitioned by document are not shuffled.
     """
-    tag = F.col("tag")
-    key = F.when(among(tag, NOUN_TAGS), strip(F.col("form"))).when(
-        tag.startswith("VV"), predicate_text(strip(F.col("form")))
-    )
-    rows = tokens.withColumn("keyword", key).filter(
-        (F.length("keyword") >= 2)
-        & ~among(F.lower("keyword"), FOCUS_STOPWORDS)
-        & ~among(F.lower(strip(F.col("surface"))), FOCUS_STOPWORDS)
-    )
+    rows = tokens if "keyword" in tokens.columns else focus_words(tokens)
     carried = [F.max("total").alias("total")] if totals is None else []
     per_sentence = rows.groupBy("doc_id", "keyword", "sentence_id").agg(F.count(F.lit(1)).alias("n"), *carried)
     counted = per_sentence.groupBy("doc_id", "keyword").agg(
         F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("sentence_count"), *carried
     )
     repeated = counted.filter((F.col("occurrence_count") >= MIN_TF) & (F.col("sentence_count") >= MIN_DF))
-    most = repeated.groupBy("doc_id").agg(F.max("occurrence_count").alias("_max"))
+    scored = repeated.withColumn("_max", F.max("occurrence_count").over(Window.partitionBy("doc_id")))
     score = 0.8 * (F.col("sentence_count") / F.col("total")) + 0.2 * (F.col("occurrence_count") / F.col("_max"))
-    scored = repeated.join(most, "doc_id")
     return (
         (scored if totals is None else scored.join(totals, "doc_id"))
         .withColumn("score", round4(clamp01(score)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.functions.columns import round4
+from medialoom.functions.columns import among, round4
 from medialoom.functions.lexemes import FOCUS_STOPWORDS, KEYWORD_STOPWORDS
 from medialoom.operators import keywords as K
 from medialoom.operators import scoring as S
@@ -217,16 +217,12 @@ VIEWS["ftkw"] = (
 
 
 def frame_topic_shares(spark, sf):
-    words = V.word_rows(V.classified(spark, sf))
-    form, tag, opinion = F.col("form"), F.col("tag"), F.col("label") == "opinion_like"
-    rows = words.select(
-        "doc_id",
-        "confidence",
-        F.when(opinion, "FRAME").otherwise("TOPIC").alias("keyword_type"),
-        F.when(opinion, K.morpheme_keyword(form, tag, K.FRAME_TAGS))
-        .otherwise(K.morpheme_keyword(form, tag, K.TOPIC_TAGS))
-        .alias("keyword"),
-    ).filter(F.col("keyword").isNotNull() & ~K.stopword(F.col("keyword")))
+    # Turned into a decimal once per sentence; with eight digits it is summed as a long number.
+    sentences = V.classified_by_document(spark, sf).withColumn("confidence", F.col("confidence").cast("decimal(8,4)"))
+    opinion = F.col("label") == "opinion_like"
+    made = lambda form, tag: F.when(opinion, K.morpheme_keyword(form, tag, K.FRAME_TAGS)).otherwise(K.morpheme_keyword(form, tag, K.TOPIC_TAGS))
+    words = V.keywords_in(sentences.select("doc_id", "label", "confidence", "sentence_text"), made)
+    rows = words.withColumn("keyword_type", F.when(opinion, "FRAME").otherwise("TOPIC")).filter(~among(F.lower("keyword"), KEYWORD_STOPWORDS))
     return K.keyword_shares(rows, F.col("confidence"), ["doc_id", "keyword_type"]).drop("weight")
 
 
@@ -263,7 +259,10 @@ VIEWS["fwords"] = (
 
 
 def focus_tokens(spark, sf):
-    return V.word_rows(V.classified(spark, sf)).withColumn("surface", F.col("form"))
+    """Keywords of the tokens; a form is its own surface."""
+    sentences = V.classified_by_document(spark, sf).select("doc_id", "sentence_id", "total", "sentence_text")
+    words = V.keywords_in(sentences, lambda form, tag: F.when(~among(F.lower(form), FOCUS_STOPWORDS), K.focus_keyword(form, tag)))
+    return words.filter((F.length("keyword") >= 2) & ~among(F.lower("keyword"), FOCUS_STOPWORDS))
 
 
 @query(
