@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from medialoom.functions.ranking import top_n
 from medialoom.session import materialize
 
-# The size of a block of table rows, of the scores held at once, and the decimals of a score. A task holds
+# The size of a block of table rows, of the scores held at once, of the vectors sent to lists or their cosines
+# with the centres, and the decimals of a score. A task holds
 # one block and one matrix of scores, besides an Arrow batch.
-BLOCK_BYTES, SCORE_BYTES, DECIMALS = 16 << 20, 32 << 20, 6
+BLOCK_BYTES, SCORE_BYTES, PIECE_BYTES, DECIMALS = 16 << 20, 32 << 20, 4 << 20, 6
 SAMPLE_ROWS, SAMPLED_IN_LIST, LISTS_PER_ROOT, ROUNDS, TRIALS = 8192, 16, 2, 6, 256
 TABLE_SIDE, QUERY_SIDE = 0, 1
 
@@ -48,6 +49,18 @@ def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(rounded, order, 1)
 
 
+def piece_rows(width: int) -> int:
+    """Rows of ``width`` numbers that a task works on at once."""
+    return max(1, PIECE_BYTES // (8 * max(1, width)))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in batches of at most ``rows``."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _streamed(k: int, query_id: str):
     """Table rows of a block are gathered, its queries multiplied with them; blocks come one after the other."""
 
@@ -193,8 +206,10 @@ def top_k_by_lists(
     sample = unit_rows(rows.filter(F.pmod(F.xxhash64("hit_id"), F.lit(1 << 30)) < share).select("vec").toArrow()["vec"].combine_chunks())
     index = Lists.fit(sample, max(1, min(int(LISTS_PER_ROOT * n**0.5), len(sample) // SAMPLED_IN_LIST)), k, recall) if len(sample) else Lists(np.zeros((1, width)), np.inf)
 
+    step = piece_rows(max(len(index.centres), width))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, step):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.own(unit_rows(b.column("vec"))).astype(np.int32))], ["hit_id", "vec", "list"])
 
     listed = materialize(rows.mapInArrow(assign, "hit_id string, vec array<double>, list int"), "lists")
@@ -204,11 +219,13 @@ def top_k_by_lists(
     cuts = F.array(*[F.lit(max(1, -(-int(h) * width * 8 // max_bytes))) for h in held])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, step):
             lists = index.wanted(unit_rows(b.column("vec")), held, k)
             at = np.repeat(np.arange(b.num_rows), [len(w) for w in lists])
-            taken = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))], [query_id, "vec", "block"])
+            looked = np.concatenate(lists)
+            for i in range(0, len(at), piece_rows(width)):
+                taken = b.take(pa.array(at[i : i + piece_rows(width)]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(looked[i : i + piece_rows(width)])], [query_id, "vec", "block"])
 
     sent = asked.mapInArrow(ask, f"{query_id} {kind}, vec array<double>, block int")
     sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.get(cuts, F.col("block")) - 1)))

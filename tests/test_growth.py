@@ -1,8 +1,10 @@
 """Steps whose tables per task or shuffles must not grow with the input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medialoom.operators import keywords as K
+from medialoom.operators import similarity
 from medialoom.sources import views as V
 
 
@@ -45,3 +47,19 @@ def test_text_parts_follow_the_bytes_of_the_text(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * 100) for i in range(64)], "doc_id int, text string")
     monkeypatch.setattr(V, "PART_BYTES", 100)
     assert V.partitioned_texts(docs, "doc_id", "text").rdd.getNumPartitions() == 64
+
+
+def test_pieces_hold_no_more_rows_than_asked_and_lose_none():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["x"])
+    cut = list(similarity.pieces(iter([batch, batch.slice(0, 0)]), 4))
+    assert [b.num_rows for b in cut] == [4, 4, 2]
+    assert [x for b in cut for x in b.column("x").to_pylist()] == list(range(10))
+
+
+def test_search_in_lists_is_the_same_in_small_pieces(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("word"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 9)]).alias("vec"))
+    asked = rows.select(F.col("word").cast("long").alias("q"), "vec")
+    find = lambda: sorted(map(tuple, similarity.top_k_by_lists(asked, rows, "q", "word").collect()))
+    whole = find()
+    monkeypatch.setattr(similarity, "PIECE_BYTES", 8 * 8 * 16)
+    assert find() == whole
