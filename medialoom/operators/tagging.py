@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,7 +15,7 @@ from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from medialoom.functions.columns import (
     TOKEN,
@@ -190,35 +191,33 @@ def mark_blocked(
 # --- tokens and candidates ---------------------------------------------------------------------------
 
 _WORD = re.compile(TOKEN)
-_TOKENS = ArrayType(StructType([StructField("form", StringType()), StructField("start", IntegerType())]))
 
-
-@F.pandas_udf(_TOKENS)
-def _located(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(ArrayType(IntegerType()))
+def _starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: [{"form": m.group(), "start": m.start()} for m in _WORD.finditer(t or "")])
+        yield texts.map(lambda t: np.fromiter((m.start() for m in _WORD.finditer(t or "")), np.int32))
 
 
 def token_rows(sentences: DataFrame, tag) -> DataFrame:
     """Default token table with offsets; ``tag`` maps a form column to a part of speech.
 
-    The next token rides along, so adjacency needs no window.
+    The next token rides along, so adjacency needs no window. Python gives the places only, one array of numbers a sentence.
     """
-    located = sentences.withColumn("_tokens", _located("sentence_text"))
-    out = located.select("*", F.posexplode("_tokens").alias("token_index", "_t")).withColumn(
-        "_n", F.get("_tokens", F.col("token_index") + 1)
-    )
+    located = sentences.withColumns({"_starts": _starts("sentence_text"), "_forms": tokens(F.col("sentence_text"))})
+    out = located.select("*", F.posexplode("_forms").alias("token_index", "_form"))
+    after = F.col("token_index") + 1
+    out = out.withColumns({"_next": F.get("_forms", after), "_start": F.get("_starts", F.col("token_index")), "_behind": F.get("_starts", after)})
     return out.select(
         *sentences.columns,
         "token_index",
-        F.col("_t.form").alias("form"),
-        F.col("_t.form").alias("surface"),
-        tag(F.col("_t.form")).alias("tag"),
-        F.col("_t.start").alias("start"),
-        F.length("_t.form").alias("len"),
-        F.col("_n.form").alias("next_form"),
-        tag(F.col("_n.form")).alias("next_tag"),
-        F.col("_n.start").alias("next_start"),
+        F.col("_form").alias("form"),
+        F.col("_form").alias("surface"),
+        tag(F.col("_form")).alias("tag"),
+        F.col("_start").alias("start"),
+        F.length("_form").alias("len"),
+        F.col("_next").alias("next_form"),
+        tag(F.col("_next")).alias("next_tag"),
+        F.col("_behind").alias("next_start"),
     )
 
 

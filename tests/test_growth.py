@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medialoom.operators import keywords as K
-from medialoom.operators import similarity
+from medialoom.operators import similarity, tagging
 from medialoom.sources import views as V
 
 
@@ -63,3 +63,10 @@ def test_search_in_lists_is_the_same_in_small_pieces(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(similarity, "PIECE_BYTES", 8 * 8 * 16)
     assert find() == whole
+
+
+def test_token_places_leave_python_as_numbers_in_code_points(spark):
+    assert tagging._starts.returnType.simpleString() == "array<int>"
+    rows = spark.createDataFrame([(1, "\U0001f600 ab 가나, x cd"), (2, "!"), (3, None)], "doc_id int, sentence_text string")
+    found = tagging.token_rows(rows, V.tag_of).orderBy("token_index").collect()
+    assert [(r.doc_id, r.form, r.start, r.next_form, r.next_start) for r in found] == [(1, "ab", 2, "가나", 5), (1, "가나", 5, "cd", 11), (1, "cd", 11, None, None)]
