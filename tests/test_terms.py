@@ -92,3 +92,23 @@ def test_blocked_words_need_no_nested_loop(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
     assert {r.embed_text for r in out.collect()} == {"good mood", "mood", "bad", "fine"}
     assert terms.FEW_TERMS > 0
+
+
+def test_many_terms_leave_texts_where_they_are(spark):
+    """No text is shuffled however many terms there are; only what may be a term is."""
+    texts = spark.range(300).select("id", F.concat_ws(" ", F.lit("x" * 50), F.concat(F.lit("w"), F.col("id")), F.lit("w7")).alias("body"))
+    words = spark.range(300).select(F.concat(F.lit("w"), F.col("id")).alias("term"))
+    out = term_hits(texts, ["id"], "body", words, 20)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = sum(f"w{j}" in f"w{i} w7" for i in range(300) for j in range(300))
+    assert out.count() == want
+
+
+def test_windows_over_the_end_of_a_step(spark, monkeypatch):
+    monkeypatch.setattr(terms, "STEP", 7)
+    texts, words = made(5, 60, 60), [*made(6, 80, 9), "aa", "aaa", "aaaaaaaaaaaa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "a" * 40])], "id int, body string")
+    step = terms._possible_hits(spark.createDataFrame([(w,) for w in sorted({*words} - {""})], "term string"), ["id"])
+    rows = df.select("id", F.col("body").alias("_text")).mapInArrow(step, "id int, term string, n long").collect()
+    got = {(r.id, r.term, r.n) for r in rows if r.term in words}
+    assert got == {(i, w, t.count(w)) for i, t in enumerate([*texts, "a" * 40]) for w in words if w and w in t}
