@@ -6,8 +6,10 @@ import time
 
 from medialoom.operators.ingest import job_counts, job_status, latest_rows
 from medialoom.streaming.buckets import BucketTable
-from medialoom.streaming.jobs import COUNTERS, current_jobs, run_job_states
+from medialoom.streaming import jobs
+from medialoom.streaming.jobs import COUNTERS, JobStates, current_jobs, run_job_states
 from medialoom.streaming.streams import dedupe_stream
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 EVENT = "event_id bigint, request_id string, outcome string"
@@ -71,6 +73,64 @@ def test_quiet_jobs_late_events_and_ids_that_leave(spark, tmp_path):
     assert jobs() == {"open": (2, 1, 1, 0, "RUNNING"), "done": (0, 1, 0, 0, "COMPLETED"), "other": (0, 2, 0, 0, "COMPLETED")}
 
 
+class Calls:
+    """State and timers in memory that count how often they are called."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def exists(self):
+        return self.called(self.value is not None)
+
+    def get(self):
+        return self.called(self.value)
+
+    def update(self, value):
+        self.value = self.called(value)
+
+    def containsKey(self, key):
+        return self.called(key in self.map)
+
+    def updateValue(self, key, value):
+        self.map[key] = self.called(value)
+
+    def values(self):
+        return self.called(iter(list(self.map.values())))
+
+    def registerTimer(self, at):
+        self.called(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self.called(self.timers.discard(at))
+
+    def clear(self):
+        self.called(self.map.clear())
+
+
+def test_calls_of_the_state_do_not_grow_with_a_jobs_events(monkeypatch):
+    monkeypatch.setattr(jobs, "BLOCK", 16, raising=False)
+    state, job = Calls(), JobStates(10, 100)
+    job.init(state)
+    for n, lo in enumerate((0, 30, 10, 0)):
+        ids = [*range(lo, lo + 60), lo]
+        rows = [Row(event_id=i, outcome="queued", ms=1000 * i) for i in ids]
+        state.calls = 0
+        out = list(job.handleInputRows(("r",), iter(rows), None))
+        assert state.calls <= 20
+        assert [o["queued_count"] for o in out] == [[60], [90], [], []][n]
+    assert state.timers == {89_010, 89_100} and len(state.map) == 5
+
+
 VERSION = "user int, n int, value double, ts timestamp"
 
 
