@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from medialoom.operators import graph
 from medialoom.operators import keywords as K
 from medialoom.operators import similarity, tagging
 from medialoom.sources import views as V
@@ -70,3 +71,13 @@ def test_token_places_leave_python_as_numbers_in_code_points(spark):
     rows = spark.createDataFrame([(1, "\U0001f600 ab 가나, x cd"), (2, "!"), (3, None)], "doc_id int, sentence_text string")
     found = tagging.token_rows(rows, V.tag_of).orderBy("token_index").collect()
     assert [(r.doc_id, r.form, r.start, r.next_form, r.next_start) for r in found] == [(1, "ab", 2, "가나", 5), (1, "가나", 5, "cd", 11), (1, "cd", 11, None, None)]
+
+
+def test_lexical_similarity_shuffles_no_single_words(spark):
+    texts = spark.createDataFrame([(1, "war war trade"), (2, "War trade deal"), (3, "!"), (4, None), (5, "sun"), (5, "sun rain")], "id int, text string")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (2, 3), (3, 4), (2, 5), (5, 5), (1, 9)], "left_id int, right_id int")
+    out = graph.lexical_similarity(pairs, texts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "token" in line]
+    got = {(r.left_id, r.right_id): r.similarity for r in out.collect()}
+    assert got == {(1, 2): 0.7746, (2, 1): 0.7746, (1, 1): 1.0, (2, 3): None, (3, 4): None, (2, 5): 0.0, (5, 5): 1.0, (1, 9): None}
