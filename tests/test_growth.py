@@ -1,9 +1,11 @@
 """Steps whose tables per task or shuffles must not grow with the input."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from medialoom.operators import graph
+from medialoom.operators import graph, ingest
 from medialoom.operators import keywords as K
 from medialoom.operators import similarity, tagging
 from medialoom.sources import views as V
@@ -81,3 +83,24 @@ def test_lexical_similarity_shuffles_no_single_words(spark):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "token" in line]
     got = {(r.left_id, r.right_id): r.similarity for r in out.collect()}
     assert got == {(1, 2): 0.7746, (2, 1): 0.7746, (1, 1): 1.0, (2, 3): None, (3, 4): None, (2, 5): 0.0, (5, 5): 1.0, (1, 9): None}
+
+
+def test_candidates_are_shuffled_once_into_parts_that_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "PART_ROWS", 20, raising=False)
+    rows = [(f"r{i % 40}", i, f"v{i % 7}", "KR" if i % 40 or i % 7 else ("KR", "US")[i % 2]) for i in range(400)]
+    rows += [("large", 1000 + i, f"w{i}", "KR") for i in range(121)] + [(None, 2000, "v1", "KR")]
+    df = spark.createDataFrame(rows, "request_id string, seq int, video_id string, country_code string")
+    out = ingest.select_candidates(df, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    shuffles = {re.sub(r"#\d+", "", line.split("Exchange ")[1].split(", [plan_id")[0]) for line in plan.splitlines() if "Exchange hashpartitioning" in line}
+    counts, rows_once = "hashpartitioning(request_id, 8), ENSURE_REQUIREMENTS", "hashpartitioning(request_id, 27), REPARTITION_BY_NUM"
+    assert shuffles == {counts, rows_once}
+    want = set()
+    for request in {r[0] for r in rows} - {None, "large"}:
+        used, seen = {}, set()
+        for _, seq, video, country in sorted((r for r in rows if r[0] == request), key=lambda r: r[1]):
+            if video not in seen and used.get(country, 0) < 2:
+                seen.add(video)
+                used[country] = used.get(country, 0) + 1
+                want.add((request, seq, video, country))
+    assert {tuple(r) for r in out.collect()} == want
