@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from medialoom.functions.columns import ratio, round4
 from medialoom.functions.ranking import top_n
 from medialoom.operators.terms import FEW_TERMS, term_hits
+from medialoom.session import materialize
 
 # Marks and weights of the approach scorecard, and its acceptance marks.
 MARKS = {
@@ -33,8 +34,8 @@ def _views() -> Column:
 def issue_records(context: DataFrame, countries: list[str], issues: list[str], date_from: str, date_to: str) -> DataFrame:
     """Usable videos with the issues their title, keywords or issue names mention, in configured order.
 
-    All conditions are plain filters on the scan. A few issue texts are literals; more are searched by one automaton in
-    title and keywords, which a zero character parts.
+    All conditions are plain filters on the scan. Issues are searched in title and keywords, which a zero character parts: a few
+    as literals, more by one automaton. The optimizer moves no filter below an explode, so keywords and issues are made once.
     """
     kept = context.filter(
         F.upper("country").isin(*[c.upper() for c in countries])
@@ -47,20 +48,22 @@ def issue_records(context: DataFrame, countries: list[str], issues: list[str], d
     if len(issues) > FEW_TERMS:
         return issues_by_terms(kept, issues)
 
-    def mentions(issue: str) -> Column:
-        text = F.lit(issue.lower())
-        return F.contains(F.lower("title"), text) | F.exists("keywords", lambda k: F.contains(F.lower(k), text))
+    def mentioned(text: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(i.lower())), F.lit(i)) for i in issues]))
 
-    matched = F.array_compact(F.array(*[F.when(mentions(i), F.lit(i)) for i in issues]))
-    return kept.withColumn("issues", matched).filter(F.size("issues") > 0)
+    matched = F.transform(F.array(searched()), mentioned)
+    return kept.select("*", F.explode(F.filter(matched, lambda m: F.size(m) > 0)).alias("issues"))
+
+
+def searched() -> Column:
+    return F.lower(F.concat_ws("\x00", "title", F.array_join("keywords", "\x00")))
 
 
 def issues_by_terms(kept: DataFrame, issues: list[str]) -> DataFrame:
     """Rows of ``kept(video_id, title, keywords, ...)`` with the issues they mention, in the order of ``issues``."""
     spark = kept.sparkSession
     listed = spark.createDataFrame([(i.lower(), n, i) for n, i in enumerate(issues)], "term string, place int, issue string")
-    text = F.lower(F.concat_ws("\x00", "title", F.array_join("keywords", "\x00")))
-    found = term_hits(kept.select("video_id", text.alias("text")), ["video_id"], "text", listed.select("term"))
+    found = term_hits(kept.select("video_id", searched().alias("text")), ["video_id"], "text", listed.select("term"))
     named = found.join(listed, "term").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("place", "issue"))).alias("_issues"))
     return kept.join(named, "video_id").withColumn("issues", F.col("_issues.issue")).drop("_issues")
 
@@ -69,15 +72,16 @@ def balanced_sample(records: DataFrame, issues: list[str], size: int) -> DataFra
     """Equal newest share per issue without repeats, topped up with the newest of the rest.
 
     Only the newest ``size`` rows of each issue and overall can ever be chosen, so the data is cut to those
-    first; the greedy choice then sees at most ``size * (len(issues) + 1)`` rows whatever the input.
+    first; the greedy choice then sees at most ``size * (len(issues) + 1)`` rows whatever the input. The records are read once:
+    null stands for all issues.
     """
     quota = max(1, size // max(1, len(issues)))
     slim = records.select("video_id", "published_at", "issues")
     newest = [F.col("published_at").desc(), F.col("video_id").desc()]
-    per_issue = slim.select("*", F.explode("issues").alias("_issue")).filter(F.col("_issue").isin(*issues))
+    known = F.filter("issues", lambda i: i.isin(*issues)) if issues else F.array().cast("array<string>")
+    per_issue = slim.select("*", F.explode(F.concat(known, F.array(F.lit(None).cast("string")))).alias("_issue"))
     head = top_n(per_issue, ["_issue"], newest, size).select("video_id", "published_at", "issues")
-    overall = slim.orderBy(*newest).limit(size)
-    pool = head.unionByName(overall).dropDuplicates(["video_id"]).withColumn("_g", F.lit(0))
+    pool = head.dropDuplicates(["video_id"]).withColumn("_g", F.lit(0))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["published_at", "video_id"], ascending=False)
@@ -121,7 +125,7 @@ def channel_views(rows: DataFrame) -> DataFrame:
 
 def channel_share(rows: DataFrame, n: int) -> DataFrame:
     """Top channels with the share of the best three in all views."""
-    per_channel = channel_views(rows)
+    per_channel = materialize(channel_views(rows), "channels")
     totals = per_channel.groupBy("issue", "country").agg(F.sum("views").alias("_all"))
     best = top_n(per_channel, ["issue", "country"], [F.col("views").desc(), F.col("channel")], max(n, 3))
     three = best.filter(F.col("rank") <= 3).groupBy("issue", "country").agg(F.sum("views").alias("_three"))
@@ -142,7 +146,7 @@ def country_ranking(rows: DataFrame) -> DataFrame:
 
 def channel_centrality(rows: DataFrame, n: int) -> DataFrame:
     """Channels by weighted degree with the number of channels of their (issue, country)."""
-    per_channel = channel_views(rows)
+    per_channel = materialize(channel_views(rows), "channels")
     sizes = per_channel.groupBy("issue", "country").agg(F.count(F.lit(1)).alias("community_size"))
     best = top_n(per_channel, ["issue", "country"], [F.col("views").desc(), F.col("channel")], n)
     return best.join(sizes, ["issue", "country"]).select(
@@ -176,10 +180,12 @@ def validation_accuracy(records: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two runs hold the same rows, and how many differ."""
-    left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_first"))
-    right = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_second"))
-    return left.join(F.broadcast(right)).withColumn("reproducible", F.col("only_first") + F.col("only_second") == 0)
+    """Whether two runs hold the same rows, and how many differ; each run is made once."""
+    both = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(-1)))
+    more = both.groupBy(*a.columns).agg(F.sum("_s").alias("_d"))
+    surplus = lambda d: F.coalesce(F.sum(F.when(d > 0, d)), F.lit(0).cast("bigint"))
+    counts = more.agg(surplus(F.col("_d")).alias("only_first"), surplus(-F.col("_d")).alias("only_second"))
+    return counts.withColumn("reproducible", F.col("only_first") + F.col("only_second") == 0)
 
 
 def scorecard(accuracy: DataFrame, reproducible: DataFrame, records: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from medialoom.operators import graph, ingest
+from medialoom.operators import country, graph, ingest
 from medialoom.operators import keywords as K
 from medialoom.operators import similarity, tagging
 from medialoom.sources import views as V
@@ -104,3 +104,50 @@ def test_candidates_are_shuffled_once_into_parts_that_follow_their_number(spark,
                 used[country] = used.get(country, 0) + 1
                 want.add((request, seq, video, country))
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_runs_are_made_once_to_be_compared(spark):
+    a, b = spark.range(6).select((F.col("id") % 3).alias("x")), spark.range(7).select((F.col("id") % 3).alias("x"))
+    out = country.same_rows(a, b)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    assert tuple(out.first()) == (0, 1, False)
+    assert tuple(country.same_rows(b, a).first()) == (1, 0, False)
+    assert tuple(country.same_rows(a, a).first()) == (0, 0, True)
+    assert tuple(country.same_rows(a.limit(0), a.limit(0)).first()) == (0, 0, True)
+
+
+def test_context_reads_lines_once(spark):
+    rows = [("1", 2, "b a", "Brand#12", "t"), ("1", 1, "c", "Brand#13", "t"), ("1", 3, "c", "Brand#12", "u"), ("2", 1, "the", "Brand#2", "t"), ("4", 1, "x1", "Brand#2", "t")]
+    lines = spark.createDataFrame(rows, "video_id string, l_linenumber int, p_name string, p_brand string, p_type string")
+    videos = spark.createDataFrame([("1", "title one"), ("2", ""), ("3", "alone here")], "video_id string, title string")
+    out = graph.video_context_of_lines(videos, V.line_edges(lines))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    want = graph.video_context(videos, V.part_of(lines), V.has_entity(lines), V.keyword_rows(lines))
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def video_records(spark):
+    rows = [(f"v{i:02d}", ("KR", "US")[i % 2], f"2026-01-{1 + i % 9:02d}", [["War", "sun"], ["war Trade"], ["x"]][i % 3], "ch" + str(i % 4), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "video_id string, country string, published_at string, keywords array<string>, channel string, view_count double")
+    return df.select("*", F.lit("A Deal").alias("title"), F.lit(None).cast("string").alias("status"))
+
+
+def test_records_make_keywords_and_issues_once(spark):
+    slow = video_records(spark).withColumn("keywords", F.transform("keywords", lambda k: F.concat(k, F.lit("marker"))))
+    out = country.issue_records(slow, ["KR", "US"], ["war", "trademarker", "deal"], "2026-01-01", "2026-01-09")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("marker), namedlambda") <= 1
+    assert {(r.video_id, tuple(r.issues)) for r in out.collect()} == {(f"v{i:02d}", [("war", "deal"), ("war", "trademarker", "deal"), ("deal",)][i % 3]) for i in range(30)}
+    assert country.issue_records(slow, ["KR", "US"], ["gone"], "2026-01-01", "2026-01-09").count() == 0
+
+
+def test_sample_and_channels_read_records_once(spark):
+    records = country.issue_records(video_records(spark), ["KR", "US"], ["war", "sun"], "2026-01-01", "2026-01-09")
+    sample = country.balanced_sample(records, ["sun", "war"], 6)
+    assert sample._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    newest = sorted((r.published_at, r.video_id, r.issues) for r in records.collect())[::-1]
+    suns = [v for _, v, i in newest if "sun" in i][:3]
+    wars = [v for _, v, i in newest if v not in suns][:3]
+    assert {tuple(r) for r in sample.collect()} == {(v, "sun") for v in suns} | {(v, "war") for v in wars}
+    best = country.channel_centrality(country.by_issue(records), 5)
+    assert "LogicalRDD" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.community_size for r in best.collect()} == {2}
