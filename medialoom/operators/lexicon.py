@@ -30,6 +30,7 @@ from medialoom.functions.lexemes import (
 from medialoom.functions.ranking import first_per_key, top_n
 from medialoom.operators.tagging import mark_blocked
 from medialoom.operators.terms import term_hits
+from medialoom.session import materialize
 
 HANGUL = "[가-힣]"
 GENERIC = sorted({*LEXICON_BLACKLIST, *DESCRIPTOR_NOUNS, *GENERIC_NOUNS, *GENERIC_PREDICATES})
@@ -249,8 +250,10 @@ def review_candidates(spans: DataFrame, surfaces_kept: int = 5, examples_kept: i
 
     ``spans(keyword, surface, score DECIMAL, doc_id, sentence_id, token_index, search_keyword)``. Counts
     run over partial aggregates; the short lists come from pruned rankings, so a frequent keyword never
-    sends its rows to one task.
+    sends its rows to one task. The spans are written once, because four aggregates read them.
     """
+    columns = ["keyword", "surface", "score", "doc_id", "sentence_id", "token_index", "search_keyword"]
+    spans = materialize(spans.select(*columns), "spans")
     per_doc = spans.groupBy("keyword", "doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.max("score").alias("m"), F.collect_set("search_keyword").alias("q")
     )
@@ -300,7 +303,7 @@ def review_decisions(stats: DataFrame, known: DataFrame, n: int = NEW_DECISIONS,
         "keyword", "count", "video_count", "max_score", F.col("_d.decision").alias("decision"), F.col("_d.reason").alias("reason")
     )
     support = F.struct((-F.col("count")).alias("a"), (-F.col("video_count")).alias("b"), (-F.col("max_score")).alias("c"), F.col("keyword").alias("d"))
-    ranked = decided.withColumn("_s", support)
+    ranked = materialize(decided, "decided").withColumn("_s", support)
     chosen = ranked.filter(F.col("decision") != "PROTECTED").orderBy("_s").limit(n)
     cut = chosen.agg(F.max("_s").alias("_cut"), F.count(F.lit(1)).alias("_n"))
     protected = ranked.filter(F.col("decision") == "PROTECTED").join(F.broadcast(cut))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from medialoom.operators import country, graph, ingest
 from medialoom.operators import keywords as K
 from medialoom.operators import similarity, tagging
+from medialoom.plans import lexicon_queries
 from medialoom.sources import views as V
 
 
@@ -126,6 +127,17 @@ def test_context_reads_lines_once(spark):
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def reads_documents(df):
+    return any("documents.parquet" in f for f in df.inputFiles())
+
+
+def test_spans_are_found_once(spark):
+    assert not reads_documents(lexicon_queries.review_decisions(spark, SMALL))
+
+
 def video_records(spark):
     rows = [(f"v{i:02d}", ("KR", "US")[i % 2], f"2026-01-{1 + i % 9:02d}", [["War", "sun"], ["war Trade"], ["x"]][i % 3], "ch" + str(i % 4), float(i)) for i in range(30)]
     df = spark.createDataFrame(rows, "video_id string, country string, published_at string, keywords array<string>, channel string, view_count double")
