@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.functions.columns import round4
+from medialoom.functions.columns import bounded_broadcast, round4, tokens
 from medialoom.operators import tagging as G
 from medialoom.plans.registry import query
 from medialoom.plans.sqlviews import s_resolve, s_round4, s_tag, with_views
+from medialoom.session import materialize
 from medialoom.sources import views as V
 
 
@@ -163,12 +164,15 @@ def reject_stats(spark, sf):
     ),
 )
 def emotion_spans_simple(spark, sf):
-    words = V.word_rows(V.classified(spark, sf))
+    forms = tokens(F.col("sentence_text")).alias("forms")
+    listed = materialize(V.prepared(spark, sf).select("doc_id", "sentence_id", forms), "words")
+    words = listed.select("doc_id", "sentence_id", F.posexplode("forms").alias("token_index", "form"))
     vocabulary = words.select(F.col("form").alias("keyword_text")).distinct()
     hits = G.top_k_similar(
         V.keyword_vectors(spark, sf)(vocabulary), V.lexicon_vectors(spark, sf), "keyword_text", "word", k=1, threshold=G.SIMILARITY
     )
-    return words.join(hits.withColumnRenamed("keyword_text", "form"), "form").select(
+    hits = bounded_broadcast(materialize(hits.withColumnRenamed("keyword_text", "form"), "hits"))
+    return words.join(hits, "form").select(
         "doc_id", "sentence_id", "token_index", "form", F.col("hit_id").alias("matched_word"), round4(F.col("score")).alias("score")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medialoom.operators import country, graph, ingest
 from medialoom.operators import keywords as K
 from medialoom.operators import similarity, tagging
-from medialoom.plans import lexicon_queries
+from medialoom.plans import lexicon_queries, tag_queries
 from medialoom.sources import views as V
 
 
@@ -134,6 +134,10 @@ def reads_documents(df):
     return any("documents.parquet" in f for f in df.inputFiles())
 
 
+def test_words_are_cut_once(spark):
+    assert not reads_documents(tag_queries.emotion_spans_simple(spark, SMALL))
+
+
 def test_spans_are_found_once(spark):
     assert not reads_documents(lexicon_queries.review_decisions(spark, SMALL))
 
