@@ -147,10 +147,11 @@ def emotion_spans_variant(spark, sf):
     ),
 )
 def reject_stats(spark, sf):
-    tokens = G.build_candidates(V.opinion_tokens(spark, sf))
-    before = tokens.filter("reject_reason IS NOT NULL").select(F.col("reject_reason").alias("reason"))
-    after = V.resolved(spark, sf, trace=True).select(F.coalesce("reject_reason", F.lit("accepted")).alias("reason"))
-    gate = V.gated(spark, sf).select(F.when(F.col("gate_passed"), "gate_passed").otherwise("low_gate_score").alias("reason"))
+    opinions = materialize(V.gated(spark, sf), "opinions")
+    written = materialize(V.opinion_tokens(spark, sf, opinions=opinions), "tokens")
+    before = G.build_candidates(written).filter("reject_reason IS NOT NULL").select(F.col("reject_reason").alias("reason"))
+    after = V.resolved(spark, sf, trace=True, tokens_=written).select(F.coalesce("reject_reason", F.lit("accepted")).alias("reason"))
+    gate = opinions.select(F.when(F.col("gate_passed"), "gate_passed").otherwise("low_gate_score").alias("reason"))
     return before.unionByName(after).unionByName(gate).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

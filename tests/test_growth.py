@@ -138,6 +138,10 @@ def test_words_are_cut_once(spark):
     assert not reads_documents(tag_queries.emotion_spans_simple(spark, SMALL))
 
 
+def test_opinions_and_tokens_are_made_once(spark):
+    assert not reads_documents(tag_queries.reject_stats(spark, SMALL))
+
+
 def test_spans_are_found_once(spark):
     assert not reads_documents(lexicon_queries.review_decisions(spark, SMALL))
 
