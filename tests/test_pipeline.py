@@ -1,3 +1,4 @@
+import datetime
 import random
 from decimal import Decimal
 
@@ -67,6 +68,26 @@ def test_oversized_request_is_rejected(spark):
     assert I.select_candidates(df, 5).count() == 0
 
 
+def test_requests_of_any_size_are_selected_exactly(spark):
+    rng = random.Random(4)
+    plain = [(i, f"v{i % 90}", "KR" if i % 90 % 2 else "US") for i in range(400)]
+    mixed = [(i, f"v{rng.randint(0, 150) if i > 60 else i % 2}", rng.choice(["KR", "US", "CN"])) for i in range(400)]
+    rows = [("plain", *x) for x in plain] + [("mixed", *x) for x in mixed]
+    want = {("plain", *x) for x in plain_select(plain, 3)} | {("mixed", *x) for x in plain_select(mixed, 3)}
+    df = spark.createDataFrame(rows, "request_id string, seq int, video_id string, country_code string")
+    assert {tuple(r) for r in I.select_candidates(df, 3, most=None).collect()} == want
+
+
+def test_ingest_queries_select_from_large_requests(spark, tmp_path):
+    from medialoom.plans import ingest_queries
+
+    ts = datetime.datetime(2024, 1, 3)
+    rows = [(i, ts, user, "view", 1.0, f'{{"k": {i % 40}}}') for i in range(300) for user in (7, i)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = ingest_queries.ingest_candidates(spark, str(tmp_path)).filter("request_id = 'rt-7-1'").collect()
+    assert {(r.seq, r.video_id, r.country_code) for r in out} == {(i, f"v{i}", ("KR", "US", "CN")[i % 3]) for i in range(6)}
+
+
 def test_candidate_fields(spark):
     rows = [("r", 1, " v1 ", " t ", "kr", "KO", 1.0), ("r", 2, "v2", " ", "kr", "ko", 1.0), ("r", 3, "v3", "t", "k", "ko", 1.0), ("r", 4, "v4", "t", "kr", "ko", -1.0)]
     df = spark.createDataFrame(rows, "request_id string, seq int, video_id string, title string, country_code string, language string, view_count double")
